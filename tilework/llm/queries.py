@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tilework.llm import mixing, quality
+from tilework.llm import bitplanes, minhash, mixing, quality, spans
 
 QUERIES = {
     "op1_line_quality": quality.query,
     "op3_pareto_mix": mixing.query,
+    "op4_tensored_minhash": minhash.query,
+    "op6_bit_planes": bitplanes.query,
+    "op7_piece_offsets": spans.query,
 }
 ORACLES = {
     "op1_line_quality": quality.ORACLE,
     "op3_pareto_mix": mixing.ORACLE,
+    "op4_tensored_minhash": minhash.ORACLE,
 }
