@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from tilework.llm import bitplanes, minhash, mixing, quality, spans
+import corpus_pipeline
+from tilework.llm import bitplanes, density, fixity, minhash, mixing, paragraphs, quality, spans, toxicity, transport
 
 QUERIES = {
     "op1_line_quality": quality.query,
+    "op2_deobfuscated_toxicity": toxicity.query,
     "op3_pareto_mix": mixing.query,
     "op4_tensored_minhash": minhash.query,
+    "op5_transport_streams": transport.query,
     "op6_bit_planes": bitplanes.query,
     "op7_piece_offsets": spans.query,
+    "op8_merkle_fixity": fixity.query,
+    "op9_paragraph_banding": paragraphs.query,
+    "op10_text_density": density.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_line_quality": quality.ORACLE,
