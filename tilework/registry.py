@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilework.plans import tiles
+from tilework.plans import features, rasters, stores, tiles
 
-MODULES = (tiles,)
+MODULES = (tiles, features, stores, rasters)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
