@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents, small, written
+from tilework.llm.common import documents, in_arrow, small, written
 
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 21
@@ -163,7 +163,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, kind: int =
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     d = d.select("doc_id", F.spark_partition_id().alias("_range"), "text")
-    return written(d.mapInArrow(run, "range int, file int, n_docs long, n_ids long, bytes binary"), "id-planes")
+    return written(in_arrow(d, run, "range int, file int, n_docs long, n_ids long, bytes binary"), "id-planes")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 )
 
     placed = files.join(small(starts), (F.col("range") == F.col("r")) & (F.col("file") == F.col("f"))).select("start", "bytes")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return in_arrow(placed, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def default_tokenizer() -> str:

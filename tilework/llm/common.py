@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when a count shows that it has no more rows than this (narrow rows only).
 BROADCAST_ROWS = 200_000
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,17 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of BATCH_BYTES at most (the session's own bound, if lower, stays): an
+    executor and its Python workers each hold a batch a task, and texts are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    current = re.match(r"\d+", conf.get(key))
+    if current is None or not 0 < int(current[0]) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A written table, with a broadcast hint if its counted rows are few enough; else as it is (a shuffle join)."""
     rows = df.count() if rows is None else rows

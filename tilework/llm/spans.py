@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents
+from tilework.llm.common import documents, in_arrow
 
 MARK = "▁"
 UNITS = 600_000
@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
             )
 
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return in_arrow(d, run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -237,7 +237,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long")
+    return in_arrow(d, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long")
 
 
 def default_model() -> str:

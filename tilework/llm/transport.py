@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents
+from tilework.llm.common import documents, in_arrow
 
 PACKET, SYNC = 188, 0x47
 MAP_PID, DATA_PID, PROGRAM, PRIVATE = 0x1000, 0x0100, 1, 0x06
@@ -250,7 +250,7 @@ def stored(docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(r) for r in raw], pa.int64()), pa.array([mux(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def access_units(media: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def access_units(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=names)
 
     schema = "doc_id long, pid int, stream_type int, unit int, pts long, dts long, random_access boolean, data binary"
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
+    return in_arrow(media.select(F.col("doc_id").cast("long"), "media"), run, schema)
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def described(media: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, schema)
+    return in_arrow(media, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
