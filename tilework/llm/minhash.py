@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents, small, written
+from tilework.llm.common import documents, in_arrow, small, written
 from tilework.llm.links import linked
 
 
@@ -53,18 +53,21 @@ def signature(k: int, rows: int, half_keys: int, seed: int = 11):
 
 def signatures(docs: DataFrame, k: int, rows: int, half_keys: int) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
-    return written(d.mapInArrow(signature(k, rows, half_keys), "doc_id long, _t long, n long, set long, set2 long, halves array<long>"), "signatures")
+    return written(in_arrow(d, signature(k, rows, half_keys), "doc_id long, _t long, n long, set long, set2 long, halves array<long>"), "signatures")
 
 
-def table_keys(classes: DataFrame, half_keys: int) -> DataFrame:
-    """key, node, n: the keys of all tables in which a class could meet another."""
-    halves = classes.select("node", "n", F.posexplode("halves").alias("side", "half"))
+def live_halves(classes: DataFrame, half_keys: int) -> DataFrame:
+    """node, one, two: of each class the half keys of either side that another class has too."""
+    halves = classes.select("node", F.posexplode("halves").alias("side", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("_m")).where("_m > 1").select("half")
     first = F.col("side") < half_keys
-    live = halves.join(shared, "half").groupBy("node", "n").agg(
-        F.collect_list(F.when(first, F.col("half"))).alias("one"), F.collect_list(F.when(~first, F.col("half"))).alias("two")
-    )
-    return live.select("node", "n", F.explode("one").alias("i"), "two").select("node", "n", "i", F.explode("two").alias("j")).select(F.xxhash64("i", "j").alias("key"), "node", "n")
+    sides = [F.collect_list(F.when(c, F.col("half"))).alias(n) for c, n in ((first, "one"), (~first, "two"))]
+    return halves.join(shared, "half").groupBy("node").agg(*sides).where("size(one) > 0 AND size(two) > 0")
+
+
+def table_keys(halves: DataFrame) -> DataFrame:
+    """key, node: the keys of all tables in which a class could meet another."""
+    return halves.select("node", F.explode("one").alias("i"), "two").select("node", "i", F.explode("two").alias("j")).select(F.xxhash64("i", "j").alias("key"), "node")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, half_keys: int = 13) -> DataFrame:
@@ -84,7 +87,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         found = d.join(small(wanted), (d["_t"] == F.col("_tt")) & d["doc_id"].eqNullSafe(F.col("_id")))
         return found.select("node", "text").dropDuplicates(["node"])
 
-    roots = linked(table_keys(classes, half_keys), texts_of, k, percent)
+    roots = linked(table_keys(live_halves(classes, half_keys)), texts_of, k, percent)
     placed = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = placed.join(least, "root").select(F.col("node").alias("set"), "component_id")

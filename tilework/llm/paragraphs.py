@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents, small, written
+from tilework.llm.common import documents, in_arrow, small, written
 from tilework.llm.links import linked
 
 SCHEMA = "doc_id long, _t long, line int, start long, stop long, n_words long, node long, n long, bands array<long>, text string"
@@ -86,17 +86,17 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
     line counts a document's lines from 0; component_id is the least node hash of the component.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
-    units = d.mapInArrow(paragraphs(k, min_words, rows, bands, False), SCHEMA)
+    units = in_arrow(d, paragraphs(k, min_words, rows, bands, False), SCHEMA)
     units = written(units.select("doc_id", "_t", "line", "start", "stop", "n_words", "node"), "paragraphs")
-    keyed = d.mapInArrow(paragraphs(k, min_words, rows, bands, True), SCHEMA).select("node", "n", F.explode("bands").alias("key"))
-    keys = written(keyed.groupBy("key", "node", "n").agg(F.lit(1)).select("key", "node", "n"), "bands")
+    keyed = in_arrow(d, paragraphs(k, min_words, rows, bands, True), SCHEMA)
+    keys = keyed.select(F.explode("bands").alias("key"), "node").distinct()
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = written(units.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_t", "line")).alias("at")), "wanted")
         wanted = wanted.select(F.col("node").alias("_node"), F.col("at._t").alias("_tt"), F.col("at.line").alias("_line"))
         few = wanted.groupBy("_tt").agg(F.collect_set("_line").alias("_lines"))
         found = d.join(small(written(few, "wanted")), d["_t"] == F.col("_tt")).select("doc_id", "_t", "text")
-        lines = found.dropDuplicates(["_t"]).mapInArrow(paragraphs(k, min_words, rows, bands, False, True), SCHEMA)
+        lines = in_arrow(found.dropDuplicates(["_t"]), paragraphs(k, min_words, rows, bands, False, True), SCHEMA)
         return lines.join(wanted, (F.col("_t") == F.col("_tt")) & (F.col("line") == F.col("_line"))).select("node", "text")
 
     roots = linked(keys, texts_of, k, percent)
