@@ -72,7 +72,7 @@ def test_jdbc(spark, sf, tmp_path):
     assert got.count() == p.count()
     box = got.where("lon BETWEEN 0 AND 50")
     assert "PushedFilters" in box._jdf.queryExecution().executedPlan().toString() and box.count() == p.where("lon BETWEEN 0 AND 50").count()
-    assert jdbc.read_features_jdbc(spark, url, query="SELECT id, lon FROM pts WHERE lat > 0", driver=driver).count() == p.where("lat > 0").count()
+    assert jdbc.read_features_jdbc(spark, url, query='SELECT "id", "lon" FROM pts WHERE "lat" > 0', driver=driver).count() == p.where("lat > 0").count()
     with pytest.raises(ValueError):
         jdbc.read_features_jdbc(spark, url)
 
