@@ -5,8 +5,10 @@ import html
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilework.llm import common, density, fixity, minhash, mixing, paragraphs, quality, toxicity, transport
 
@@ -30,7 +32,8 @@ def sentence(seed, n):
 def base(text):
     w = WORDS.findall(text or "")
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)}
+    often = Counter(windows)
+    covered = {i + j for i, x in enumerate(windows) if often[x] > 1 for j in range(3)}
     lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
@@ -262,7 +265,7 @@ def test_audit_finds_exactly_the_damage(spark):
     archive = fixity.records(pages)
     clean = fixity.audit(archive, archive).collect()
     assert len(clean) == 602 and {r["status"] for r in clean} == {"ok"}
-    broken = archive.where("record_id IS NULL OR record_id != 33").withColumn("warc", __import__("pyspark").sql.functions.expr("CASE WHEN record_id IN (5, 599) THEN warc || 'z' ELSE warc END"))
+    broken = archive.where("record_id IS NULL OR record_id != 33").withColumn("warc", F.expr("CASE WHEN record_id IN (5, 599) THEN warc || 'z' ELSE warc END"))
     broken = broken.unionByName(spark.createDataFrame([(9999, "extra")], "record_id long, warc string"))
     got = {r["record_id"]: r["status"] for r in fixity.audit(archive, broken).collect()}
     assert {k: v for k, v in got.items() if v != "ok"} == {33: "missing", 5: "corrupt", 599: "corrupt", 9999: "extra"}
