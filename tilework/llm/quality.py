@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilework.llm.common import SPACE, WORD, documents, words
+from tilework.llm.common import SPACE, WORD, documents, words, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -126,12 +126,20 @@ def quality_verdicts(docs: DataFrame, host: str = "source", text: str = "text",
 def apply_quality(docs: DataFrame, host: str = "source", text: str = "text", max_loss: float = 0.5, **limits) -> DataFrame:
     """The documents that stay, in their own columns, without the lines above the limit. Columns of docs whose names
     begin with an underscore may clash with this operator's own."""
-    f = base_features(docs, text).withColumn("_t", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = _with_losses(f, line_losses(docs, host, text, **limits), host, text)
-    out = out.where(~F.expr(BASE_FAILED) & ~(F.col("removed_words") > F.col("n_words") * max_loss))
+    # verdicts are written first: a filter on them must not be pushed into the features' expressions
+    d = docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text"))
+    f = base_features(d, "_text").withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit("")))).drop("_text")
+    v = _with_losses(f, line_losses(d, "_host", "_text", **limits), "_host", "_text")
+    v = written(v.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt"), F.col("_host").alias("_hh"), "n_words", "n_repeat_words", "removed_words", "_keys"), "verdicts")
+    v = v.where(~F.expr(BASE_FAILED) & ~(F.col("removed_words") > F.col("n_words") * max_loss)).select("_id", "_tt", "_hh", "_keys").dropDuplicates(["_id", "_tt", "_hh"])
+    out = docs.withColumn("_t", F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = out.join(v, out["doc_id"].eqNullSafe(v["_id"]) & (out["_t"] == v["_tt"]) & out[host].eqNullSafe(v["_hh"]))
     left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_keys", F.xxhash64(F.col(host), normalised(x))))
     cleaned = F.when(F.col("_keys").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return out.withColumn(text, cleaned).select(*docs.columns)
+    out = out.withColumn(text, cleaned)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_keys").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
