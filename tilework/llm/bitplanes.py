@@ -23,6 +23,7 @@ ordered by their text's hash; extra columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +99,23 @@ def unpack(data: bytes, blocks: range | None = None) -> tuple[np.ndarray, list[t
     return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), who
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+#: The pre-tokens of the byte-level vocabularies, for units without characters on which libraries' classes could differ.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_UNUSUAL = re.compile("[^\t\n\r -~\u00a1-\u024f]")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes."""
+    """Ids of whole texts as little-endian uint32 bytes. Where the tokenizer is byte-level BPE without a normaliser, a
+    new unit's pre-tokens go to the library's model one by one, and are remembered too: words come with and without
+    punctuation."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -108,6 +125,25 @@ class Encoder:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.cache: dict[str, bytes] = {}
+        self.pre: dict[str, bytes] = {}
+        shape = json.loads(self.tokenizer.to_str())
+        before, model = shape["pre_tokenizer"] or {}, shape["model"]
+        self.by_model = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"] and shape["normalizer"] is None and model["type"] == "BPE" and not model["dropout"]
+        self.model = self.tokenizer.model
+
+    def _pre_token(self, p: str) -> bytes:
+        found = self.pre.get(p)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+            found = self.pre[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        if not self.by_model:
+            return self._encode(units)
+        if len(self.pre) > UNITS:
+            self.pre.clear()
+        return [self._encode([u])[0] if _UNUSUAL.search(u) else b"".join(map(self._pre_token, PRE_TOKEN.findall(u))) for u in units]
 
     def _encode(self, units: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
@@ -125,8 +161,8 @@ class Encoder:
                 cache.clear()
                 new = set(units)
             new = list(new)
-            cache.update(zip(new, self._encode([" " + u for u in new]), strict=True))
-        return self._encode([first])[0] + b"".join(map(cache.__getitem__, units))
+            cache.update(zip(new, self._units([" " + u for u in new]), strict=True))
+        return self._units([first])[0] + b"".join(map(cache.__getitem__, units))
 
 
 @lru_cache(maxsize=2)
