@@ -1,7 +1,7 @@
 """From candidate keys to verified links and their components, without all pairs of a group.
 
-1. Star round: in each group of equal keys all nodes are compared with one of its nodes, the least of a hash order; of
-   all its groups' pivots a node takes the least one, so the round verifies a pair a node at most, whatever the
+1. Star round: in each group of equal keys all nodes are compared with one of its nodes, the one that shares keys with most; of
+   all its groups' pivots a node takes the best one, so the round verifies a pair a node at most, whatever the
    groups' sizes. Components of the verified links follow (large-star / small-star rounds, each a shuffle of narrow rows), and
    groups that lie in one component are done.
 2. Exact rest: among the nodes of groups that are still open, all pairs of different components that could reach the
@@ -132,10 +132,13 @@ def linked(keys: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k: int,
 
     texts_of: nodes (node) -> their texts (node, text).
     """
-    shared = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a != _b").select("key")
-    members = written(keys.join(shared, "key").select("key", "node"), "members")
+    shared = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count("*").alias("w")).where("_a != _b").select("key", "w")
+    members = written(keys.join(shared, "key").select("key", "node", "w"), "members")
+    # the node that shares keys with most others is the nearest to all of its groups
+    central = members.groupBy("node").agg(F.sum("w").alias("w"))
+    members = written(members.drop("w").join(central, "node").select("key", "node", "w"), "members")
     texts = written(texts_of(members.select("node").distinct()), "texts")
-    pivots = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("p"))
+    pivots = members.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), "node")).alias("p"))
     pairs = members.join(pivots, "key").where("node != p.node").groupBy("node").agg(F.min("p").alias("p"))
     edges = written(verified(pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")), texts, k, percent), "links")
     roots = written(components(edges), "roots")
