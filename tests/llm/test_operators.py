@@ -184,6 +184,48 @@ def test_repeated_passages(spark):
     assert paragraphs.repeated_passages(frame(spark, [])).count() == 0
 
 
+def shared_run(a, b):
+    """Length of the longest run of words that both texts have, by brute force."""
+    a, b, best, before = a.split(), b.split(), 0, {}
+    for x in a:
+        now = {j: before.get(j - 1, 0) + 1 for j, y in enumerate(b) if x == y}
+        best, before = max([best, *now.values()]), now
+    return best
+
+
+def test_passages_inside_across_and_wrapped_over_lines(spark):
+    def wrapped(text, n):
+        w = text.split()
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    rows = []
+    for g in range(0, 40, 4):
+        p = sentence(1000 + g, 51 + g)
+        own = [sentence(2000 + 10 * g + i, 90) for i in range(8)]
+        rows += [
+            (10 * g, f"{own[0]} {p} {own[1]}", "s"),  # inside a longer line
+            (10 * g + 1, f"{own[2]} é\n{p} {own[3]}", "s"),  # at a line's start
+            (10 * g + 2, f"{own[4]} {wrapped(p, 9)} {own[5]}", "s"),  # over short lines
+            (10 * g + 3, f"{own[6]} {edited(p, 50)} {own[7]}" if g else own[6], "s"),  # an edit, of which g words follow
+        ]
+    docs = frame(spark, rows)
+    got = paragraphs.repeated_passages(docs).collect()
+    texts = {d: t for d, t, _ in rows}
+    for r in got:
+        piece = texts[r["doc_id"]].encode()[r["start"] : r["stop"]].decode().split()
+        assert len(piece) == r["n_words"]
+        g = r["doc_id"] // 10
+        want = sentence(1000 + g, 51 + g).split()
+        if r["doc_id"] % 10 < 3:
+            assert piece == want and r["kept"] == (r["doc_id"] % 10 == 0) and r["first_doc"] == 10 * g
+        else:
+            assert piece[:50] == want[:50] and not r["kept"]
+    assert {r["doc_id"] for r in got} == set(texts) - {3}
+    out = [r["text"] for r in paragraphs.without_repeats(docs).orderBy("doc_id").collect()]
+    assert out[0] == rows[0][1] and out[1] == f"{sentence(2002, 90)} é\n{sentence(2003, 90)}"
+    assert all(shared_run(a, b) < 50 for a, b in itertools.combinations(out, 2))
+
+
 # ---- toxicity --------------------------------------------------------------------------------------------------------
 
 

@@ -1,31 +1,42 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of at least min_words words. Its k-word shingle set gets bands * rows minhashes; paragraphs that
-agree in all rows of a band collide. With 14 bands of 3 rows a pair of similarity s >= 0.8 collides with probability
-1 - (1 - s**3)**14 > 0.9999. Colliding paragraphs are verified on their full sets (exact Jaccard), links are closed
-to components, and a component with paragraphs of two documents or more is a repeated passage: its first paragraph (least
-document, then place) stays, the others are removed.
+Units are of two kinds:
 
-Equal paragraphs are one node whatever their number, so a line that a third of all documents share is one node with
+- Lines of at least min_words words. A line's k-word shingle set gets bands * rows minhashes; lines that agree in all rows
+  of a band collide. With 14 bands of 3 rows a pair of similarity s >= 0.8 collides with probability 1 - (1 - s**3)**14
+  > 0.9999. Colliding lines are verified on their full sets (exact Jaccard) and links are closed to components.
+- Windows of min_words words over the whole text, newlines being space like any other. A window starts where a shingle's hash
+  is the least of min_words places in a row, so starts depend on the words alone and every run of 2 * min_words - 1
+  words or more that two texts share has a window of both, wherever lines begin. Equal windows match. Matches on one
+  diagonal of two texts that touch are one run, and a run is extended word by word to both sides, over edits too, as long as
+  as many edits as the span then has leave its shingles at the similarity.
+
+Of the lines of a component, and of equal windows, the first (least document, then place) stays and the others are
+removed, if they lie in two documents or more. A removed word has its counterpart earlier in that order, so something is
+left of each passage. Overlapping spans of a document are one passage.
+
+Equal units are one node whatever their number, so a line that a third of all documents share is one node with
 one row per band and task; memberships are found again by an inner join on the node, which adaptive execution can
-split. Texts travel only for nodes that collide.
+split. Each window is held against the first of its equals only. Texts travel only for lines that collide and, once, for
+documents with matching windows.
 
-Defined cases: null or empty texts and texts of short lines have no paragraphs; repeats within a single document are
-left alone; repeated rows are one document; null doc_ids come first in the order; extra columns are ignored.
+Defined cases: null or empty texts and texts of short lines have no lines, and texts of under 2 * min_words - 1 words have no
+windows; repeats within a single document are left alone; repeated rows are one document; null doc_ids come first in
+the order; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
 from tilework.llm.common import documents, in_arrow, small, written
 from tilework.llm.links import linked
 
-SCHEMA = "doc_id long, _t long, line int, start long, stop long, n_words long, node long, n long, bands array<long>, text string"
+SCHEMA = "doc_id long, _t long, line int, at int, start long, stop long, n_words long, node long, n long, bands array<long>, text string"
 
 
 def paragraphs(k: int, min_words: int, rows: int, bands: int, with_bands: bool, wanted: bool = False, seed: int = 23):
@@ -66,6 +77,7 @@ def paragraphs(k: int, min_words: int, rows: int, bands: int, with_bands: bool,
                         batch.column(0).slice(lo, hi - lo).take(pa.array(doc[pick])),
                         batch.column(1).slice(lo, hi - lo).take(pa.array(doc[pick])),
                         pa.array((pick - doc_first[doc[pick]]).astype(np.int32)),
+                        pa.array((first[pick] - first[doc_first[doc[pick]]]).astype(np.int32)),
                         pa.array(cuts[pick] - base),
                         pa.array(cuts[pick + 1] - base),
                         pa.array(counts[pick].astype(np.int64)),
@@ -74,20 +86,191 @@ def paragraphs(k: int, min_words: int, rows: int, bands: int, with_bands: bool,
                         lists,
                         texts,
                     ],
-                    names=["doc_id", "_t", "line", "start", "stop", "n_words", "node", "n", "bands", "text"],
+                    names=["doc_id", "_t", "line", "at", "start", "stop", "n_words", "node", "n", "bands", "text"],
                 )
 
     return run
 
 
+def windows(k: int, size: int):
+    """mapInArrow function: doc_id, _t, text -> doc_id, _t, at, node: windows of size words from content-cut places on;
+    at counts the text's words from 0."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = at.utf8(batch.column(2))
+            for lo, hi in at.slices(offsets):
+                part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                starts, ends, first = at.words(part, offs)
+                hashes = at.word_hashes(part, starts, ends)
+                n = len(hashes) - 2 * size + 2  # places from which size starts in a row fit
+                if n < 1:
+                    continue
+                cut = hashes[: len(hashes) - k + 1].copy()
+                for j in range(1, k):
+                    cut = at.splitmix(cut) * np.uint64(at._P) + hashes[j : j + len(cut)]
+                cut = at.splitmix(cut)
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))
+                from_ = np.flatnonzero(doc[:n] == doc[2 * size - 2 : 2 * size - 2 + n])
+                view = np.lib.stride_tricks.sliding_window_view(cut, size)
+                chosen = [np.unique(x + view[x].argmin(axis=1)) for x in np.array_split(from_, len(from_) // 65536 + 1)]
+                pick = np.unique(np.concatenate(chosen))
+                power, inverse = at._powers(len(hashes) + 1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+                node = at.splitmix((sums[pick + size] - sums[pick]) * inverse[pick] + np.uint64(size)).view(np.int64)
+                row = pa.array(doc[pick])
+                own = [batch.column(i).slice(lo, hi - lo).take(row) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array((pick - first[doc[pick]]).astype(np.int32)), pa.array(node)], names=["doc_id", "_t", "at", "node"])
+
+    return run
+
+
+SURROUNDINGS = "s long, before array<int>, starts array<int>, lines array<int>, after array<int>, stops array<int>"
+
+
+def surroundings(reach: int):
+    """mapInArrow function: text, asks -> SURROUNDINGS, a row for each asked span [lo, hi) of words: 32 bits of up to
+    reach words before it, nearest first, with the byte where the span would start and its line; likewise after it. Bytes
+    and lines after the first of a list are differences, which compress well."""
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [], [], [], [])
+            for text, asks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data, offsets = at.utf8(pa.array([text.as_py()], pa.string()))
+                starts, ends, _ = at.words(data, offsets)
+                hashes = at.word_hashes(data, starts, ends).astype(np.uint32).view(np.int32)
+                stops = ends + (data[np.minimum(ends, len(data) - 1)] == 32) * (ends < len(data))  # with one space
+                lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+                for ask in asks:
+                    lo, hi = ask["lo"], ask["hi"]
+                    left = slice(max(0, lo - reach), lo + 1)
+                    right = slice(hi - 1, hi + reach)
+                    steps = (np.diff(x, prepend=0).astype(np.int32) for x in (starts[left][::-1], lines[left][::-1], stops[right]))
+                    values = (ask["s"], hashes[left][::-1][1:], next(steps), next(steps), hashes[right][1:], next(steps))
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+            types = [pa.int64(), *[pa.list_(pa.int32())] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["s", "before", "starts", "lines", "after", "stops"])
+
+    return run
+
+
+def common(a: list[int], b: list[int], words: int, k: int, percent: int, edits: int = 0) -> tuple[int, int, int]:
+    """How many words of a and b belong to a match of this many words and edits that ends before them, and its edits then.
+
+    An edit (up to three words replaced, inserted or left out) has to be followed by k equal words, and e edits by
+    so many words that n shingles hold (n - k * e) / (n + k * e) >= percent / 100."""
+    i = j = 0
+    done = (0, 0, edits)
+    while True:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        if edits == done[2] or (words + i - k + 1) * (100 - percent) >= k * edits * (100 + percent):
+            done = (i, j, edits)
+        moves = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda m: (max(m), abs(m[0] - m[1])))
+        for x, y in moves:
+            ahead = a[i + x : i + x + k]
+            if len(ahead) == k and ahead == b[j + y : j + y + k]:
+                i, j, edits = i + x, j + y, edits + 1
+                break
+        else:
+            return done
+
+
+PIECES = "doc_id long, _t long, at int, until int, line int, start long, stop long, component_id long, first_doc long, kept boolean, windowed boolean"
+
+
+def extended(k: int, percent: int):
+    """mapInArrow function: runs with the surroundings of both sides -> PIECES of both."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x, y, edits = common(r["before_a"], r["before_b"], r["hi"] - r["lo"], k, percent)
+                p, q, _ = common(r["after_a"], r["after_b"], r["hi"] - r["lo"] + x, k, percent, edits)
+                for side, l, m, kept in (("a", x, p, False), ("b", y, q, True)):
+                    shift = r["diagonal"] if kept else 0
+                    doc, t = (r["first_doc"], r["first_t"]) if kept else (r["doc_id"], r["_t"])
+                    place = (sum(r[f"lines_{side}"][: l + 1]), sum(r[f"starts_{side}"][: l + 1]), sum(r[f"stops_{side}"][: m + 1]))
+                    out.append((doc, t, r["lo"] - shift - l, r["hi"] - shift + m, *place, r["component_id"], r["first_doc"], kept, True))
+            names = [c.split()[0] for c in PIECES.split(", ")]
+            types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in PIECES.split(", ")]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return run
+
+
+def window_pieces(d: DataFrame, k: int, percent: int, size: int) -> DataFrame:
+    """PIECES of equal windows, extended."""
+    found = written(in_arrow(d, windows(k, size), "doc_id long, _t long, at int, node long"), "windows")
+    place = F.struct("doc_id", "_t", "at")
+    groups = found.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    groups = groups.where("NOT (first.doc_id <=> last.doc_id AND first._t = last._t)").select("node", "first")
+    hits = found.join(groups, "node").where(~place.eqNullSafe(F.col("first")))
+    hits = hits.select("doc_id", "_t", "at", "node", F.col("first.doc_id").alias("first_doc"), F.col("first._t").alias("first_t"), (F.col("at") - F.col("first.at")).alias("diagonal"))
+    pair = ["doc_id", "_t", "first_doc", "first_t", "diagonal"]
+    order = Window.partitionBy(*pair).orderBy("at")
+    hits = hits.withColumn("_new", (F.col("at") - F.lag("at").over(order) > size).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order))
+    runs = hits.groupBy(*pair, "_run").agg(F.min("at").alias("lo"), (F.max("at") + size).alias("hi"), F.min_by("node", "at").alias("component_id")).drop("_run")
+    there = [F.col("first_doc"), F.col("first_t"), F.col("lo") - F.col("diagonal"), F.col("hi") - F.col("diagonal")]
+    runs = written(runs.withColumn("s_a", F.xxhash64("doc_id", "_t", "lo", "hi")).withColumn("s_b", F.xxhash64(*there)), "runs")
+    names = ["s", "doc_id", "_t", "lo", "hi"]
+    asks = runs.select("s_a", "doc_id", "_t", "lo", "hi").toDF(*names).union(runs.select("s_b", *there).toDF(*names)).distinct()
+    asks = asks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_list(F.struct("s", "lo", "hi")).alias("asks"))
+    texts = d.join(asks, d["doc_id"].eqNullSafe(F.col("_id")) & (d["_t"] == F.col("_tt"))).select("text", "asks")
+    around = in_arrow(texts, surroundings(2 * size), SURROUNDINGS).dropDuplicates(["s"])
+    side = lambda x: around.select(*[F.col(c).alias(f"{c}_{x}") for c in around.columns])
+    return in_arrow(runs.join(side("a"), "s_a").join(side("b"), "s_b"), extended(k, percent), PIECES)
+
+
+PASSAGES = "doc_id long, _t long, line int, start long, stop long, n_words long, component_id long, first_doc long, kept boolean"
+
+
+def merged(batches):
+    """mapInArrow function: pieces (array of PIECES of one document) -> PASSAGES: what is removed, and what is kept and isn't
+    removed for another passage. Overlapping pieces are one, named by the first and longest, lines before windows."""
+    for batch in batches:
+        out = []
+        for pieces in batch.column(0).to_pylist():
+            joined = {False: [], True: []}
+            for p in sorted(pieces, key=lambda p: (p["at"], -p["until"], p["windowed"], p["component_id"])):
+                have = joined[p["kept"]]
+                if have and p["at"] < have[-1]["until"]:
+                    have[-1]["until"], have[-1]["stop"] = max(have[-1]["until"], p["until"]), max(have[-1]["stop"], p["stop"])
+                else:
+                    have.append(dict(p))
+            left, gone, g = [], joined[False], 0
+            for p in joined[True]:
+                while g < len(gone) and gone[g]["until"] <= p["at"]:
+                    g += 1
+                h = g
+                while h < len(gone) and gone[h]["at"] < p["until"]:
+                    if p["at"] < gone[h]["at"]:
+                        left.append({**p, "until": gone[h]["at"], "stop": gone[h]["start"]})
+                    p = {**p, "at": gone[h]["until"], "start": gone[h]["stop"]}
+                    h += 1
+                if p["at"] < p["until"]:
+                    left.append(p)
+            out += [(p["doc_id"], p["_t"], p["line"], p["start"], p["stop"], p["until"] - p["at"], p["component_id"], p["first_doc"], p["kept"]) for p in gone + left]
+        names = [c.split()[0] for c in PASSAGES.split(", ")]
+        types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in PASSAGES.split(", ")]
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 3, bands: int = 14) -> DataFrame:
-    """One row per paragraph of a repeated passage: doc_id, _t, line, start, stop, n_words, component_id, first_doc, kept.
+    """One row per repeated passage: doc_id, _t, line, start, stop, n_words, component_id, first_doc, kept.
 
-    line counts a document's lines from 0; component_id is the least node hash of the component.
+    line counts a document's lines from 0 and is the one in which the passage starts (for what is left of a kept passage, in
+    which that one started); start and stop are byte offsets; component_id is the least node hash of the component of its
+    first line, or the node of its first window.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
     units = in_arrow(d, paragraphs(k, min_words, rows, bands, False), SCHEMA)
-    units = written(units.select("doc_id", "_t", "line", "start", "stop", "n_words", "node"), "paragraphs")
+    units = written(units.select("doc_id", "_t", "line", "at", "start", "stop", "n_words", "node"), "paragraphs")
     keyed = in_arrow(d, paragraphs(k, min_words, rows, bands, True), SCHEMA)
     keys = keyed.select(F.explode("bands").alias("key"), "node").distinct()
 
@@ -106,19 +289,27 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
     groups = nodes.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     groups = groups.where("NOT (first.doc_id <=> last.doc_id AND first._t = last._t)").select("root", "first")
     named = written(nodes.select("node", "root").join(groups, "root"), "passages")
-    out = units.join(named, "node").withColumn("kept", F.struct("doc_id", "_t", "line") == F.col("first"))
-    return out.select("doc_id", "_t", "line", "start", "stop", "n_words", F.col("root").alias("component_id"), F.col("first.doc_id").alias("first_doc"), "kept")
+    lines = units.join(named, "node").withColumn("kept", F.struct("doc_id", "_t", "line") == F.col("first"))
+    lines = lines.select("doc_id", "_t", "at", (F.col("at") + F.col("n_words")).cast("int").alias("until"), "line", "start", "stop", F.col("root").alias("component_id"), F.col("first.doc_id").alias("first_doc"), "kept", F.lit(False).alias("windowed"))
+    pieces = lines.unionByName(window_pieces(d, k, percent, min_words)).distinct()
+    pieces = pieces.groupBy("doc_id", "_t").agg(F.collect_list(F.struct(*pieces.columns)).alias("pieces")).select("pieces")
+    return in_arrow(pieces, merged, PASSAGES)
 
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents in their own columns, without the paragraphs that repeat another; n_chars, where there is such
+    """The documents in their own columns, without the passages that repeat another; n_chars, where there is such
     a column, follows the text. All documents stay, those left without text too."""
-    gone = repeated_passages(docs, **parameters).where("NOT kept").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_set("line").alias("_gone"))
+    gone = repeated_passages(docs, **parameters).where("NOT kept").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_gone"))
     gone = small(written(gone, "removals"))
     d = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_t"] == gone["_tt"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    size = F.octet_length("text").cast("long")
+    between = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.col("_gone.stop")).alias("a"), F.concat(F.col("_gone.start"), F.array(size)).alias("b"))
+    out = out.withColumn("_between", between).withColumn("_bytes", F.col("text").cast("binary"))
+    left = F.expr("array_join(transform(_between, p -> cast(substring(_bytes, cast(p.a + 1 AS int), cast(p.b - p.a AS int)) AS string)), '')")
+    # the newline before a last line goes with it
+    left = F.when(F.element_at("_gone.stop", -1) == size, F.regexp_replace(left, r"\n\z", "")).otherwise(left)
+    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
