@@ -334,6 +334,17 @@ def test_article_without_the_rest(wrap):
     assert density.main_text(page) == WANT
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'data-x="/p?id=ad"', "data-x=/p?id=ad", "data-hidden=1", 'title="class=ad"', 'data-role="ad"', "title='a hidden thing' class=post"])
+def test_words_inside_other_values_mark_nothing(attrs):
+    assert density.main_text(f"<body><div {attrs}><p>{PARAS[1]}</p></div></body>") == WANT.split("\n")[2]
+    assert density.main_text(f'<body><p>See <a href="/hidden-gems" {attrs}>these places</a> and read on about all of them here.</p></body>').startswith("See these places and")
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN", 'a="x"hidden', "hidden=''", 'title="x" class = "big ad"', "id=comments", "aria-hidden='true'", "title='id=x' role=banner"])
+def test_marked_elements_are_dropped(attrs):
+    assert density.main_text(f"<body><p>{PARAS[1]}</p><div {attrs}><p>Some more words that nobody wants to read here.</p></div></body>") == WANT.split("\n")[2]
+
+
 def test_every_page_of_the_table(spark, sf):
     """The pages' template is known: the article's blocks in order are the text."""
     for r in density.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():

@@ -33,7 +33,8 @@ _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]{0,2000}"|'[^']{0,2000}')*+|[^<>]*+)>|[!?/][^<>]*+>)""", re.DOTALL
 )
 # an attribute's value is read up to 2,000 characters for a tag's end; a longer one is skipped by the plain form
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_MARKING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -97,6 +98,8 @@ class Page:
             for m in _ATTR.finditer(attrs):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 kind = m[1].lower()
+                if kind not in _MARKING:
+                    continue
                 if kind == "hidden" or kind == "aria-hidden" and value == "true":
                     return True
                 if not MARKS.isdisjoint(_SPLIT.split(value)):
