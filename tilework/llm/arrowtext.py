@@ -119,6 +119,22 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out[keep], np.concatenate([[0], np.cumsum(per)])
 
 
+def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each place on, rows not being told apart."""
+    size = max(0, len(hashes) - k + 1)
+    acc = hashes[:size].copy()
+    for j in range(1, k):
+        acc = splitmix(acc) * np.uint64(_P) + hashes[j : j + size]
+    return splitmix(acc)
+
+
+def run_keys(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """int64 hash of the words from each start on, as many as its length says."""
+    power, inverse = _powers(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+    return splitmix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64)).view(np.int64)
+
+
 def sets(shingle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first) of each row's distinct shingles, sorted within the row."""
     parts = [np.unique(shingle[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -126,22 +142,22 @@ def sets(shingle: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(parts) if parts else shingle[:0]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def minhashes(values: np.ndarray, first: np.ndarray, functions: int, seed: int) -> np.ndarray:
-    """(rows, functions) of uint32: the least of each hash function over each row's set (empty row: all ones)."""
-    rows = len(first) - 1
-    out = np.full((rows, functions), 0xFFFFFFFF, dtype=np.uint32)
-    full = np.flatnonzero(np.diff(first) > 0)
+def minhashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, functions: int, seed: int) -> np.ndarray:
+    """(rows, functions) of uint32: the least of each hash function over values[start:stop] of each row, with or without
+    repeats (empty row: all ones)."""
+    out = np.full((len(starts), functions), 0xFFFFFFFF, dtype=np.uint32)
+    full = np.flatnonzero(stops > starts)
     if not len(full):
         return out
-    low = (values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32)
+    low = np.append((values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32), np.uint32(0))
     r = randoms(2 * functions, seed)
-    starts = first[:-1][full]
+    edges = np.stack([starts[full], stops[full]], axis=1).ravel()
     for j in range(functions):
         x = (low ^ np.uint32(int(r[2 * j]) & 0xFFFFFFFF)) * np.uint32((int(r[2 * j + 1]) & 0xFFFFFFFF) | 1)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(12)
-        out[full, j] = np.minimum.reduceat(x, starts)
+        out[full, j] = np.minimum.reduceat(x, edges)[::2]
     return out
 
 

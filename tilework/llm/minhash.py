@@ -38,7 +38,7 @@ def signature(k: int, rows: int, half_keys: int, seed: int = 11):
                 part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first = at.words(part, offs)
                 values, bounds = at.sets(*at.shingles(at.word_hashes(part, starts, ends), first, k))
-                low = at.minhashes(values, bounds, 2 * half_keys * rows, seed)
+                low = at.minhashes(values, bounds[:-1], bounds[1:], 2 * half_keys * rows, seed)
                 halves = np.stack([at.fold(low[:, j * rows : (j + 1) * rows], j) for j in range(2 * half_keys)], axis=1)
                 key, key2 = at.set_keys(values, bounds)
                 flat = pa.array(halves.ravel(), pa.int64())

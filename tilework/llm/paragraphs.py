@@ -1,320 +1,296 @@
 """Substring dedup by paragraph MinHash banding.
 
-Units are of two kinds:
+Paragraphs are of two kinds, both taken over a text's words:
 
 - Lines of at least min_words words. A line's k-word shingle set gets bands * rows minhashes; lines that agree in all rows
-  of a band collide. With 14 bands of 3 rows a pair of similarity s >= 0.8 collides with probability 1 - (1 - s**3)**14
-  > 0.9999. Colliding lines are verified on their full sets (exact Jaccard) and links are closed to components.
-- Windows of min_words words over the whole text, newlines being space like any other. A window starts where a shingle's hash
-  is the least of min_words places in a row, so starts depend on the words alone and every run of 2 * min_words - 1
-  words or more that two texts share has a window of both, wherever lines begin. Equal windows match. Matches on one
-  diagonal of two texts that touch are one run, and a run is extended word by word to both sides, over edits too, as long as
-  as many edits as the span then has leave its shingles at the similarity.
-
-Of the lines of a component, and of equal windows, the first (least document, then place) stays and the others are
+  of a band collide. With 5 bands of 2 rows a pair of similarity s >= 0.8 collides with probability 1 - (1 - s**2)**5
+  > 0.99. Colliding lines are verified on their full sets (exact Jaccard) and links are closed to components.
+- Windows of size + places - 1 words (50) at every word, newlines being space like any other. Such a paragraph has one band:
+  its minhash, the least of its first ``places`` shingle hashes, together with the shingles that follow, so that
+  the band stands for ``size`` words in a row. Neighbouring paragraphs mostly share their minhash, so its place is
+  stored once for all of them (about every 15th word). Equal paragraphs always collide: every run of 50 words or
+  more that two texts share, inside, across or wrapped over lines, has a place that both store. What collides is verified
+  by the words themselves: the match is grown word by word to both sides, and counts if it has min_words words.
+
+Of the lines of a component, and of equal bands, the first (least document, then place) stays and the others are
 removed, if they lie in two documents or more. A removed word has its counterpart earlier in that order, so something is
-left of each passage. Overlapping spans of a document are one passage.
+left of each passage. Matches on one diagonal of two texts that touch are one; overlapping spans of a document are one
+passage. A band is held against the first of its equals only: where the outer bands of a run have their first equals in a
+third text, up to ``places`` words at its ends may stay.
 
-Equal units are one node whatever their number, so a line that a third of all documents share is one node with
-one row per band and task; memberships are found again by an inner join on the node, which adaptive execution can
-split. Each window is held against the first of its equals only. Texts travel only for lines that collide and, once, for
-documents with matching windows.
+Scale: the documents are read once for all units, which are written. A pre-aggregated count of hashes alone finds the units
+that occur again; only those travel with their places. Equal units are one node whatever their number; members
+are found by inner joins on the node, which adaptive execution can split. Around the ends of a match 32 bits of each of at
+most ``places`` words are fetched, in one pass over the documents that have matches.
 
-Defined cases: null or empty texts and texts of short lines have no lines, and texts of under 2 * min_words - 1 words have no
+Defined cases: null or empty texts and texts of short lines have no lines, and texts of under size + places - 1 words have no
 windows; repeats within a single document are left alone; repeated rows are one document; null doc_ids come first in
-the order; extra columns are ignored.
+the order; extra columns are ignored; an empty table has no passages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tilework.llm import arrowtext as at
 from tilework.llm.common import documents, in_arrow, small, written
 from tilework.llm.links import linked
 
-SCHEMA = "doc_id long, _t long, line int, at int, start long, stop long, n_words long, node long, n long, bands array<long>, text string"
+UNITS = "doc_id long, _t long, at int, n int, node long, bands array<long>"
 
 
-def paragraphs(k: int, min_words: int, rows: int, bands: int, with_bands: bool, wanted: bool = False, seed: int = 23):
-    """mapInArrow function: doc_id, _t, text -> SCHEMA, a row per paragraph; start and stop are byte offsets of the
-    line. bands and text are null unless asked for."""
+def reaching(x: np.ndarray, n: int, of) -> np.ndarray:
+    """of (np.minimum or np.maximum) over x[i : i + n], for each i that leaves room."""
+    out, have = x, 1
+    while have < n:
+        step = min(have, n - have)
+        out, have = of(out[: len(out) - step], out[step:]), have + step
+    return out
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = at.utf8(batch.column(2))
-            for lo, hi in at.slices(offsets):
-                part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                cuts = np.unique(np.concatenate([offs, np.flatnonzero(part == 10) + 1]))  # starts of lines, and the end
-                starts, ends, first = at.words(part, cuts)
-                counts = np.diff(first)
-                doc = np.searchsorted(offs, cuts[:-1], "right") - 1
-                doc_first = np.searchsorted(cuts, offs[:-1])
-                pick = np.flatnonzero(counts >= min_words)
-                # one node for equal word sequences: a hash over all words of the line
-                hashes = at.word_hashes(part, starts, ends)
-                power, inverse = at._powers(len(hashes) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
-                node = at.splitmix((sums[first[1:]] - sums[first[:-1]]) * inverse[first[:-1]] + counts.astype(np.uint64))[pick].view(np.int64)
-                n = len(pick)
-                sizes, lists, texts = pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())
-                if with_bands and n:
-                    chosen = np.repeat(counts >= min_words, counts)
-                    values, bounds = at.sets(*at.shingles(hashes[chosen], np.concatenate([[0], np.cumsum(counts[pick])]), k))
-                    low = at.minhashes(values, bounds, rows * bands, seed)
-                    keys = np.stack([at.fold(low[:, b * rows : (b + 1) * rows], b) for b in range(bands)], axis=1)
-                    sizes = pa.array(np.diff(bounds))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-                if wanted:
-                    raw = part.tobytes()
-                    texts = pa.array([raw[a:b].decode() for a, b in zip(cuts[pick], cuts[pick + 1], strict=True)], pa.string())
-                base = offs[doc[pick]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(doc[pick])),
-                        batch.column(1).slice(lo, hi - lo).take(pa.array(doc[pick])),
-                        pa.array((pick - doc_first[doc[pick]]).astype(np.int32)),
-                        pa.array((first[pick] - first[doc_first[doc[pick]]]).astype(np.int32)),
-                        pa.array(cuts[pick] - base),
-                        pa.array(cuts[pick + 1] - base),
-                        pa.array(counts[pick].astype(np.int64)),
-                        pa.array(node),
-                        sizes,
-                        lists,
-                        texts,
-                    ],
-                    names=["doc_id", "_t", "line", "at", "start", "stop", "n_words", "node", "n", "bands", "text"],
-                )
 
-    return run
+def band_places(cut: np.ndarray, valid: np.ndarray, places: int) -> np.ndarray:
+    """Where cut is the least of ``places`` values in a row that begin at a valid place: there the greatest of the minima of
+    all rows around is the value itself."""
+    none = np.zeros(places - 1, np.uint64)
+    least = np.where(valid, reaching(cut, places, np.minimum)[: len(valid)], np.uint64(0))
+    best = reaching(np.concatenate([none, least, none]), places, np.maximum)
+    return np.flatnonzero((best > 0) & (best == cut[: len(best)]))
 
 
-def windows(k: int, size: int):
-    """mapInArrow function: doc_id, _t, text -> doc_id, _t, at, node: windows of size words from content-cut places on;
-    at counts the text's words from 0."""
+def units_of(k: int, min_words: int, rows: int, bands: int, size: int, places: int, seed: int = 23):
+    """mapInArrow function: doc_id, _t, text -> UNITS, lines (with bands) and windows (without). at counts the text's
+    words from 0."""
 
     def run(batches):
         for batch in batches:
             data, offsets = at.utf8(batch.column(2))
             for lo, hi in at.slices(offsets):
                 part, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                starts, ends, first = at.words(part, offs)
+                cuts = np.unique(np.concatenate([offs, np.flatnonzero(part == 10) + 1]))  # starts of lines, and the end
+                starts, ends, first = at.words(part, cuts)
+                begin, counts = np.searchsorted(starts, offs), np.diff(first)
                 hashes = at.word_hashes(part, starts, ends)
-                n = len(hashes) - 2 * size + 2  # places from which size starts in a row fit
-                if n < 1:
-                    continue
-                cut = hashes[: len(hashes) - k + 1].copy()
-                for j in range(1, k):
-                    cut = at.splitmix(cut) * np.uint64(at._P) + hashes[j : j + len(cut)]
-                cut = at.splitmix(cut)
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                from_ = np.flatnonzero(doc[:n] == doc[2 * size - 2 : 2 * size - 2 + n])
-                view = np.lib.stride_tricks.sliding_window_view(cut, size)
-                chosen = [np.unique(x + view[x].argmin(axis=1)) for x in np.array_split(from_, len(from_) // 65536 + 1)]
-                pick = np.unique(np.concatenate(chosen))
-                power, inverse = at._powers(len(hashes) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
-                node = at.splitmix((sums[pick + size] - sums[pick]) * inverse[pick] + np.uint64(size)).view(np.int64)
-                row = pa.array(doc[pick])
-                own = [batch.column(i).slice(lo, hi - lo).take(row) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array((pick - first[doc[pick]]).astype(np.int32)), pa.array(node)], names=["doc_id", "_t", "at", "node"])
+                cut = at.runs_of(hashes, k)
+                line = np.flatnonzero(counts >= min_words)
+                low = at.minhashes(cut, first[line], first[line + 1] - k + 1, rows * bands, seed)
+                keys = np.stack([at.fold(low[:, b * rows : (b + 1) * rows], b) for b in range(bands)], axis=1)
+                n, reach = len(hashes) - size - places + 2, size + places - 2
+                doc = np.repeat(np.arange(hi - lo), np.diff(begin))
+                places_ = band_places(cut, doc[:n] == doc[reach : reach + n], places) if n > 0 else line[:0]
+                spot, length = np.concatenate([first[line], places_]), np.concatenate([counts[line], np.full(len(places_), size)])
+                bounds = np.concatenate([np.arange(len(line) + 1), np.full(len(places_), len(line))]) * bands
+                owner = np.searchsorted(begin, spot, "right") - 1
+                own = [batch.column(i).slice(lo, hi - lo).take(pa.array(owner)) for i in (0, 1)]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                columns = [*own, pa.array(spot - begin[owner], pa.int32()), pa.array(length, pa.int32()), pa.array(at.run_keys(hashes, spot, length)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_t", "at", "n", "node", "bands"])
 
     return run
 
 
-SURROUNDINGS = "s long, before array<int>, starts array<int>, lines array<int>, after array<int>, stops array<int>"
+def line_texts(batches):
+    """mapInArrow function: text, asks -> node, text of the asked spans of words."""
+    for batch in batches:
+        nodes, texts = [], []
+        for text, asks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            raw = text.as_py()
+            data, offsets = at.utf8(pa.array([raw], pa.string()))
+            starts, ends, _ = at.words(data, offsets)
+            for ask in asks:
+                nodes.append(ask["node"])
+                texts.append(data[starts[ask["at"]] : ends[ask["at"] + ask["n"] - 1]].tobytes().decode())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "text"])
+
+
+AROUND = "doc_id long, _t long, lo int, hi int, before array<int>, after array<int>"
 
 
 def surroundings(reach: int):
-    """mapInArrow function: text, asks -> SURROUNDINGS, a row for each asked span [lo, hi) of words: 32 bits of up to
-    reach words before it, nearest first, with the byte where the span would start and its line; likewise after it. Bytes
-    and lines after the first of a list are differences, which compress well."""
+    """mapInArrow function: doc_id, _t, text, asks -> AROUND, a row for each asked span [lo, hi) of words: 32 bits of each
+    of up to reach words before it, nearest first, and after it."""
 
     def run(batches):
         for batch in batches:
             out = ([], [], [], [], [], [])
-            for text, asks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for doc, t, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data, offsets = at.utf8(pa.array([text.as_py()], pa.string()))
-                starts, ends, _ = at.words(data, offsets)
-                hashes = at.word_hashes(data, starts, ends).astype(np.uint32).view(np.int32)
-                stops = ends + (data[np.minimum(ends, len(data) - 1)] == 32) * (ends < len(data))  # with one space
-                lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+                hashes = at.word_hashes(data, *at.words(data, offsets)[:2]).astype(np.uint32).view(np.int32)
                 for ask in asks:
                     lo, hi = ask["lo"], ask["hi"]
-                    left = slice(max(0, lo - reach), lo + 1)
-                    right = slice(hi - 1, hi + reach)
-                    steps = (np.diff(x, prepend=0).astype(np.int32) for x in (starts[left][::-1], lines[left][::-1], stops[right]))
-                    values = (ask["s"], hashes[left][::-1][1:], next(steps), next(steps), hashes[right][1:], next(steps))
-                    for column, value in zip(out, values, strict=True):
+                    for column, value in zip(out, (doc, t, lo, hi, hashes[max(0, lo - reach) : lo][::-1], hashes[hi : hi + reach]), strict=True):
                         column.append(value)
-            types = [pa.int64(), *[pa.list_(pa.int32())] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["s", "before", "starts", "lines", "after", "stops"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "_t", "lo", "hi", "before", "after"])
 
     return run
 
 
-def common(a: list[int], b: list[int], words: int, k: int, percent: int, edits: int = 0) -> tuple[int, int, int]:
-    """How many words of a and b belong to a match of this many words and edits that ends before them, and its edits then.
-
-    An edit (up to three words replaced, inserted or left out) has to be followed by k equal words, and e edits by
-    so many words that n shingles hold (n - k * e) / (n + k * e) >= percent / 100."""
-    i = j = 0
-    done = (0, 0, edits)
-    while True:
-        while i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        if edits == done[2] or (words + i - k + 1) * (100 - percent) >= k * edits * (100 + percent):
-            done = (i, j, edits)
-        moves = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda m: (max(m), abs(m[0] - m[1])))
-        for x, y in moves:
-            ahead = a[i + x : i + x + k]
-            if len(ahead) == k and ahead == b[j + y : j + y + k]:
-                i, j, edits = i + x, j + y, edits + 1
-                break
-        else:
-            return done
-
-
-PIECES = "doc_id long, _t long, at int, until int, line int, start long, stop long, component_id long, first_doc long, kept boolean, windowed boolean"
-
-
-def extended(k: int, percent: int):
-    """mapInArrow function: runs with the surroundings of both sides -> PIECES of both."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                x, y, edits = common(r["before_a"], r["before_b"], r["hi"] - r["lo"], k, percent)
-                p, q, _ = common(r["after_a"], r["after_b"], r["hi"] - r["lo"] + x, k, percent, edits)
-                for side, l, m, kept in (("a", x, p, False), ("b", y, q, True)):
-                    shift = r["diagonal"] if kept else 0
-                    doc, t = (r["first_doc"], r["first_t"]) if kept else (r["doc_id"], r["_t"])
-                    place = (sum(r[f"lines_{side}"][: l + 1]), sum(r[f"starts_{side}"][: l + 1]), sum(r[f"stops_{side}"][: m + 1]))
-                    out.append((doc, t, r["lo"] - shift - l, r["hi"] - shift + m, *place, r["component_id"], r["first_doc"], kept, True))
-            names = [c.split()[0] for c in PIECES.split(", ")]
-            types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in PIECES.split(", ")]
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return run
-
-
-def window_pieces(d: DataFrame, k: int, percent: int, size: int) -> DataFrame:
-    """PIECES of equal windows, extended."""
-    found = written(in_arrow(d, windows(k, size), "doc_id long, _t long, at int, node long"), "windows")
-    place = F.struct("doc_id", "_t", "at")
-    groups = found.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = groups.where("NOT (first.doc_id <=> last.doc_id AND first._t = last._t)").select("node", "first")
-    hits = found.join(groups, "node").where(~place.eqNullSafe(F.col("first")))
-    hits = hits.select("doc_id", "_t", "at", "node", F.col("first.doc_id").alias("first_doc"), F.col("first._t").alias("first_t"), (F.col("at") - F.col("first.at")).alias("diagonal"))
+def with_lists(docs: DataFrame, asks: DataFrame, *columns: str) -> DataFrame:
+    """docs (doc_id, _t and others) that have asks (doc_id, _t and columns), with all theirs as the array asks."""
+    per = asks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_list(F.struct(*columns)).alias("asks"))
+    per = written(per, "asks")
+    per = small(per, per.agg(F.sum(F.size("asks")).alias("n")).first()["n"] or 0)
+    return docs.join(per, docs["doc_id"].eqNullSafe(per["_id"]) & (docs["_t"] == per["_tt"])).drop("_id", "_tt")
+
+
+def repeated_units(units: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, _t, at, n, root, first (doc_id, _t, at, n), exact: each unit that repeats an earlier one, with that one: the
+    first equal one, or, for the first of its equals, the first of the component. Only what lies in two documents."""
+    often = units.groupBy("node").agg(F.count("*").alias("_m")).where("_m > 1").select("node")
+    wanted = often.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    again = written(units.select("doc_id", "_t", "at", "n", "node").join(wanted, "node"), "again")
+    place, who = F.struct("doc_id", "_t", "at", "n"), F.struct("doc_id", "_t")
+    nodes = again.groupBy("node", "root").agg(F.min(place).alias("first"), F.min(who).alias("_a"), F.max(who).alias("_b"))
+    groups = nodes.groupBy("root").agg(F.min("first").alias("group_first"), F.min("_a").alias("_a"), F.max("_b").alias("_b")).where("_a != _b").select("root", "group_first")
+    nodes = written(nodes.join(groups, "root").select("node", "root", "first", "group_first"), "passages")
+    equal = again.drop("root").join(nodes, "node").where(place != F.col("first"))
+    equal = equal.select("doc_id", "_t", "at", "n", "root", "first", F.lit(True).alias("exact"))
+    near = nodes.where("first != group_first").select("first.*", "root", F.col("group_first").alias("first"), F.lit(False).alias("exact"))
+    return equal.unionByName(near)
+
+
+def matches(hits: DataFrame) -> DataFrame:
+    """From repeated units: doc_id, _t, lo, hi and first_doc, first_t, first_lo, first_hi (spans of words), component_id.
+    Equal units that touch on one diagonal of two texts are one match."""
     pair = ["doc_id", "_t", "first_doc", "first_t", "diagonal"]
-    order = Window.partitionBy(*pair).orderBy("at")
-    hits = hits.withColumn("_new", (F.col("at") - F.lag("at").over(order) > size).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(order))
-    runs = hits.groupBy(*pair, "_run").agg(F.min("at").alias("lo"), (F.max("at") + size).alias("hi"), F.min_by("node", "at").alias("component_id")).drop("_run")
-    there = [F.col("first_doc"), F.col("first_t"), F.col("lo") - F.col("diagonal"), F.col("hi") - F.col("diagonal")]
-    runs = written(runs.withColumn("s_a", F.xxhash64("doc_id", "_t", "lo", "hi")).withColumn("s_b", F.xxhash64(*there)), "runs")
-    names = ["s", "doc_id", "_t", "lo", "hi"]
-    asks = runs.select("s_a", "doc_id", "_t", "lo", "hi").toDF(*names).union(runs.select("s_b", *there).toDF(*names)).distinct()
-    asks = asks.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_list(F.struct("s", "lo", "hi")).alias("asks"))
-    texts = d.join(asks, d["doc_id"].eqNullSafe(F.col("_id")) & (d["_t"] == F.col("_tt"))).select("text", "asks")
-    around = in_arrow(texts, surroundings(2 * size), SURROUNDINGS).dropDuplicates(["s"])
-    side = lambda x: around.select(*[F.col(c).alias(f"{c}_{x}") for c in around.columns])
-    return in_arrow(runs.join(side("a"), "s_a").join(side("b"), "s_b"), extended(k, percent), PIECES)
-
-
-PASSAGES = "doc_id long, _t long, line int, start long, stop long, n_words long, component_id long, first_doc long, kept boolean"
+    flat = hits.select("doc_id", "_t", "at", (F.col("at") + F.col("n")).alias("end"), "root", "exact", *[F.col(f"first.{c}").alias(f"first_{a}") for c, a in (("doc_id", "doc"), ("_t", "t"), ("at", "lo"), ("n", "n"))])
+    flat = flat.withColumn("diagonal", F.col("at") - F.col("first_lo"))
+    order = Window.partitionBy(*pair).orderBy("at", "end")
+    gap = F.col("at") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = flat.where("exact").withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    runs = runs.groupBy(*pair, "_run").agg(F.min("at").alias("lo"), F.max("end").alias("hi"), F.min_by("root", F.struct("at", "root")).alias("component_id"))
+    runs = runs.select("doc_id", "_t", "lo", "hi", "first_doc", "first_t", (F.col("lo") - F.col("diagonal")).alias("first_lo"), (F.col("hi") - F.col("diagonal")).alias("first_hi"), "component_id")
+    near = flat.where("NOT exact").select("doc_id", "_t", F.col("at").alias("lo"), F.col("end").alias("hi"), "first_doc", "first_t", "first_lo", (F.col("first_lo") + F.col("first_n")).alias("first_hi"), F.col("root").alias("component_id"))
+    return runs.unionByName(near)
+
+
+def _agreeing(a: Column, b: Column) -> Column:
+    """How many elements from the first on are equal in both arrays."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
+
+
+def grown(d: DataFrame, found: DataFrame, places: int, min_words: int) -> DataFrame:
+    """Matches grown word by word to both sides, those of min_words words and more."""
+    found = written(found, "matches")
+    first = [F.col(c).alias(a) for c, a in (("first_doc", "doc_id"), ("first_t", "_t"), ("first_lo", "lo"), ("first_hi", "hi"))]
+    asks = found.select("doc_id", "_t", "lo", "hi").union(found.select(*first)).distinct()
+    around = in_arrow(with_lists(d, asks, "lo", "hi").select("doc_id", "_t", "text", "asks"), surroundings(places), AROUND)
+    around = written(around.dropDuplicates(["doc_id", "_t", "lo", "hi"]), "around")
+    a, b = (around.select(*[F.col(c).alias(f"{x}_{c}") for c in around.columns]) for x in "ab")
+    out = found
+    for side, names in ((a, ("doc_id", "_t", "lo", "hi")), (b, ("first_doc", "first_t", "first_lo", "first_hi"))):
+        x = side.columns
+        out = out.join(side, F.col(names[0]).eqNullSafe(F.col(x[0])) & (F.col(names[1]) == F.col(x[1])) & (F.col(names[2]) == F.col(x[2])) & (F.col(names[3]) == F.col(x[3])))
+    out = out.withColumns({"_l": _agreeing(F.col("a_before"), F.col("b_before")), "_r": _agreeing(F.col("a_after"), F.col("b_after"))})
+    spans = {c: (F.col(c) - F.col("_l")) if c.endswith("lo") else (F.col(c) + F.col("_r")) for c in ("lo", "hi", "first_lo", "first_hi")}
+    return out.withColumns(spans).where(F.col("hi") - F.col("lo") >= min_words).select(*found.columns)
+
+
+PASSAGES = "doc_id long, _t long, at int, until int, component_id long, first_doc long, kept boolean"
 
 
 def merged(batches):
-    """mapInArrow function: pieces (array of PIECES of one document) -> PASSAGES: what is removed, and what is kept and isn't
-    removed for another passage. Overlapping pieces are one, named by the first and longest, lines before windows."""
+    """mapInArrow function: doc_id, _t, asks (array of lo, hi, component_id, first_doc, kept) -> PASSAGES: what is removed, and
+    what is kept and isn't removed for another passage. Overlapping spans are one, named by the first and longest."""
     for batch in batches:
         out = []
-        for pieces in batch.column(0).to_pylist():
+        for doc, t, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             joined = {False: [], True: []}
-            for p in sorted(pieces, key=lambda p: (p["at"], -p["until"], p["windowed"], p["component_id"])):
+            for p in sorted(pieces, key=lambda p: (p["lo"], -p["hi"], p["component_id"])):
                 have = joined[p["kept"]]
-                if have and p["at"] < have[-1]["until"]:
-                    have[-1]["until"], have[-1]["stop"] = max(have[-1]["until"], p["until"]), max(have[-1]["stop"], p["stop"])
+                if have and p["lo"] < have[-1]["hi"]:
+                    have[-1]["hi"] = max(have[-1]["hi"], p["hi"])
                 else:
                     have.append(dict(p))
             left, gone, g = [], joined[False], 0
             for p in joined[True]:
-                while g < len(gone) and gone[g]["until"] <= p["at"]:
+                while g < len(gone) and gone[g]["hi"] <= p["lo"]:
                     g += 1
                 h = g
-                while h < len(gone) and gone[h]["at"] < p["until"]:
-                    if p["at"] < gone[h]["at"]:
-                        left.append({**p, "until": gone[h]["at"], "stop": gone[h]["start"]})
-                    p = {**p, "at": gone[h]["until"], "start": gone[h]["stop"]}
+                while h < len(gone) and gone[h]["lo"] < p["hi"]:
+                    if p["lo"] < gone[h]["lo"]:
+                        left.append({**p, "hi": gone[h]["lo"]})
+                    p = {**p, "lo": gone[h]["hi"]}
                     h += 1
-                if p["at"] < p["until"]:
+                if p["lo"] < p["hi"]:
                     left.append(p)
-            out += [(p["doc_id"], p["_t"], p["line"], p["start"], p["stop"], p["until"] - p["at"], p["component_id"], p["first_doc"], p["kept"]) for p in gone + left]
-        names = [c.split()[0] for c in PASSAGES.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in PASSAGES.split(", ")]
-        columns = list(zip(*out, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
+            out += [(doc, t, p["lo"], p["hi"], p["component_id"], p["first_doc"], p["kept"]) for p in gone + left]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = list(zip(*out, strict=True)) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PASSAGES.split(", ")])
 
-def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 3, bands: int = 14) -> DataFrame:
-    """One row per repeated passage: doc_id, _t, line, start, stop, n_words, component_id, first_doc, kept.
 
-    line counts a document's lines from 0 and is the one in which the passage starts (for what is left of a kept passage, in
-    which that one started); start and stop are byte offsets; component_id is the least node hash of the component of its
-    first line, or the node of its first window.
-    """
+def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 2, bands: int = 5, size: int = 16, places: int = 35) -> DataFrame:
+    """One row per repeated passage: doc_id, _t (hash of the text), at, until (its words, counted from 0), component_id, first_doc,
+    kept. component_id is the least node of the component of its first unit; first_doc is null for a null doc_id."""
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
-    units = in_arrow(d, paragraphs(k, min_words, rows, bands, False), SCHEMA)
-    units = written(units.select("doc_id", "_t", "line", "at", "start", "stop", "n_words", "node"), "paragraphs")
-    keyed = in_arrow(d, paragraphs(k, min_words, rows, bands, True), SCHEMA)
-    keys = keyed.select(F.explode("bands").alias("key"), "node").distinct()
+    units = written(in_arrow(d, units_of(k, min_words, rows, bands, size, places), UNITS), "units")
+    lines = units.where("size(bands) > 0")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = written(units.join(nodes, "node").groupBy("node").agg(F.min(F.struct("_t", "line")).alias("at")), "wanted")
-        wanted = wanted.select(F.col("node").alias("_node"), F.col("at._t").alias("_tt"), F.col("at.line").alias("_line"))
-        few = wanted.groupBy("_tt").agg(F.collect_set("_line").alias("_lines"))
-        found = d.join(small(written(few, "wanted")), d["_t"] == F.col("_tt")).select("doc_id", "_t", "text")
-        lines = in_arrow(found.dropDuplicates(["_t"]), paragraphs(k, min_words, rows, bands, False, True), SCHEMA)
-        return lines.join(wanted, (F.col("_t") == F.col("_tt")) & (F.col("line") == F.col("_line"))).select("node", "text")
-
-    roots = linked(keys, texts_of, k, percent)
-    place = F.struct("doc_id", "_t", "line")
-    nodes = units.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = nodes.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    groups = groups.where("NOT (first.doc_id <=> last.doc_id AND first._t = last._t)").select("root", "first")
-    named = written(nodes.select("node", "root").join(groups, "root"), "passages")
-    lines = units.join(named, "node").withColumn("kept", F.struct("doc_id", "_t", "line") == F.col("first"))
-    lines = lines.select("doc_id", "_t", "at", (F.col("at") + F.col("n_words")).cast("int").alias("until"), "line", "start", "stop", F.col("root").alias("component_id"), F.col("first.doc_id").alias("first_doc"), "kept", F.lit(False).alias("windowed"))
-    pieces = lines.unionByName(window_pieces(d, k, percent, min_words)).distinct()
-    pieces = pieces.groupBy("doc_id", "_t").agg(F.collect_list(F.struct(*pieces.columns)).alias("pieces")).select("pieces")
-    return in_arrow(pieces, merged, PASSAGES)
+        one = lines.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "_t", "at", "n")).alias("p")).select("node", "p.*")
+        return in_arrow(with_lists(d, one, "node", "at", "n").select("text", "asks"), line_texts, "node long, text string").dropDuplicates(["node"])
+
+    keyed = lines.select(F.explode("bands").alias("key"), "node")
+    often = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
+    roots = linked(written(keyed.join(often, "key").distinct(), "keys"), texts_of, k, percent)
+    found = grown(d, matches(repeated_units(units, roots)), places, min_words)
+    gone = found.select("doc_id", "_t", "lo", "hi", "component_id", "first_doc", F.lit(False).alias("kept"))
+    stays = found.select(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("_t"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"), "component_id", "first_doc", F.lit(True).alias("kept"))
+    # of the spans that begin at one word the longest, so that a document has as many at most as words
+    name = F.max(F.struct(F.col("hi"), -F.col("component_id"), "component_id", "first_doc")).alias("p")
+    pieces = gone.unionByName(stays).groupBy("doc_id", "_t", "kept", "lo").agg(name).select("doc_id", "_t", "lo", "p.hi", "p.component_id", "p.first_doc", "kept")
+    per = pieces.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("lo", "hi", "component_id", "first_doc", "kept")).alias("asks"))
+    return in_arrow(per, merged, PASSAGES)
+
+
+@F.arrow_udf(StringType())
+def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without spans of words. Of the white space on both sides of a span that with a newline stays, else the one
+    before; at a text's end none does."""
+    out = []
+    for text, gone in zip(texts, spans.to_pylist(), strict=True):
+        if gone is None:
+            out.append(None)
+            continue
+        raw = text.as_py().encode()
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, _ = at.words(data, np.array([0, len(data)]))
+        last, parts = 0, []
+        for s in sorted(gone, key=lambda s: s["at"]):
+            a, b = s["at"], s["until"]
+            stop = int(starts[b]) if b < len(starts) else len(raw)
+            begin = int(starts[a])
+            before, after = raw[ends[a - 1] : begin] if a else b"", raw[ends[b - 1] : stop]
+            if b == len(starts) or a and b"\n" in after and b"\n" not in before:
+                begin, stop = (int(ends[a - 1]) if a else 0), (stop if b == len(starts) else int(ends[b - 1]))
+            parts.append(raw[last : max(last, begin)])
+            last = max(last, stop)
+        out.append(b"".join([*parts, raw[last:]]).decode())
+    return pa.array(out, pa.string())
 
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """The documents in their own columns, without the passages that repeat another; n_chars, where there is such
-    a column, follows the text. All documents stay, those left without text too."""
-    gone = repeated_passages(docs, **parameters).where("NOT kept").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_gone"))
-    gone = small(written(gone, "removals"))
+    a column, follows the text. All documents stay, those left without text too. Columns of docs whose names begin with an
+    underscore may clash with this operator's own."""
+    gone = repeated_passages(docs, **parameters).where("NOT kept").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_list(F.struct("at", "until")).alias("_gone"))
+    gone = written(gone, "removals")
+    gone = small(gone, gone.agg(F.sum(F.size("_gone")).alias("n")).first()["n"] or 0)
     d = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_t"] == gone["_tt"]), "left")
-    size = F.octet_length("text").cast("long")
-    between = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.col("_gone.stop")).alias("a"), F.concat(F.col("_gone.start"), F.array(size)).alias("b"))
-    out = out.withColumn("_between", between).withColumn("_bytes", F.col("text").cast("binary"))
-    left = F.expr("array_join(transform(_between, p -> cast(substring(_bytes, cast(p.a + 1 AS int), cast(p.b - p.a AS int)) AS string)), '')")
-    # the newline before a last line goes with it
-    left = F.when(F.element_at("_gone.stop", -1) == size, F.regexp_replace(left, r"\n\z", "")).otherwise(left)
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    left = _cut_out(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))
+    out = out.withColumn("_left", left).withColumn("text", F.coalesce("_left", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long")))
     return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = repeated_passages(documents(spark, sf_dir))
-    return found.select("doc_id", "line", "n_words", "component_id", "first_doc", "kept", F.lit(True).alias("repeated"))
+    return found.select("doc_id", "at", (F.col("until") - F.col("at")).cast("long").alias("n_words"), "component_id", "first_doc", "kept", F.lit(True).alias("repeated"))
