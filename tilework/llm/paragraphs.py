@@ -8,9 +8,10 @@ Paragraphs are of two kinds, both taken over a text's words:
 - Windows of size + places - 1 words (50) at every word, newlines being space like any other. Such a paragraph has one band:
   its minhash, the least of its first ``places`` shingle hashes, together with the shingles that follow, so that
   the band stands for ``size`` words in a row. Neighbouring paragraphs mostly share their minhash, so its place is
-  stored once for all of them (about every 15th word). Equal paragraphs always collide: every run of 50 words or
+  stored once for all of them (about every 13th word). Equal paragraphs always collide: every run of 50 words or
   more that two texts share, inside, across or wrapped over lines, has a place that both store. What collides is verified
-  by the words themselves: the match is grown word by word to both sides, and counts if it has min_words words.
+  by the words themselves: the match is grown word by word to both sides, and counts if it has min_words words. Places of a
+  run are at most ``places`` words apart, so with size >= places - 1 its bands touch and are grown together.
 
 Of the lines of a component, and of equal bands, the first (least document, then place) stays and the others are
 removed, if they lie in two documents or more. A removed word has its counterpart earlier in that order, so something is
@@ -225,7 +226,7 @@ def merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in PASSAGES.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 2, bands: int = 5, size: int = 16, places: int = 35) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 2, bands: int = 5, size: int = 25, places: int = 26) -> DataFrame:
     """One row per repeated passage: doc_id, _t (hash of the text), at, until (its words, counted from 0), component_id, first_doc,
     kept. component_id is the least node of the component of its first unit; first_doc is null for a null doc_id."""
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
