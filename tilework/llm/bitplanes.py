@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -44,8 +45,9 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 21
 UNITS = 600_000
 HEAD = struct.Struct("<4sBBBBIQII")
-_BLANK = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: A space before white space or at the end, in the syntax of Arrow's regular expressions.
+_BLANK = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 
 
 def planes_of(ids: np.ndarray, kind: int, planes: int) -> list[bytes]:
@@ -131,38 +133,92 @@ class Encoder:
         self.by_model = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"] and shape["normalizer"] is None and model["type"] == "BPE" and not model["dropout"]
         self.model = self.tokenizer.model
 
-    def _pre_token(self, p: str) -> bytes:
-        found = self.pre.get(p)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
-            found = self.pre[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+    def _pre_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens; the new ones go to the library's model once."""
+        new = set(tokens).difference(self.pre)
+        if new:
+            if len(self.pre) + len(new) > UNITS:
+                self.pre.clear()
+                new = set(tokens)
+            new = list(new)
+            # one translation for all; byte 0 can't be part of them
+            written = "\0".join(new).encode().decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[0])
+            tokenize = self.model.tokenize
+            for p, text in zip(new, written, strict=True):
+                ids = [t.id for t in tokenize(text)]
+                self.pre[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return list(map(self.pre.__getitem__, tokens))
 
     def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each a space and what follows up to the next one."""
         if not self.by_model:
             return self._encode(units)
-        if len(self.pre) > UNITS:
-            self.pre.clear()
-        return [self._encode([u])[0] if _UNUSUAL.search(u) else b"".join(map(self._pre_token, PRE_TOKEN.findall(u))) for u in units]
-
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.special is not None and self.special.search(text):
-            return self._encode([text])[0]
-        first, *units = text.split(" ") if _BLANK.search(text) is None else _CUT.split(text)
+        usual = units
+        if _UNUSUAL.search("".join(units)) is not None:
+            usual = [u for u in units if _UNUSUAL.search(u) is None]
+        # units of the usual characters hold one space each, their first character, and pre-tokens don't cross it
+        tokens = PRE_TOKEN.findall("".join(usual))
+        found = self._pre_tokens(tokens)
+        at_ = [i for i, t in enumerate(tokens) if t[0] == " "]
+        out = [found[a] if b == a + 1 else b"".join(found[a:b]) for a, b in zip(at_, at_[1:] + [len(tokens)], strict=False)]
+        if len(usual) < len(units):
+            known = dict(zip(usual, out, strict=True))
+            rest = [u for u in units if u not in known]
+            known.update(zip(rest, self._encode(rest), strict=True))
+            out = [known[u] for u in units]
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units (without the space before them), remembered or encoded together."""
         cache = self.cache
-        new = {u for u in units if u not in cache}
+        new = [u for u in units if u not in cache]
         if new:
             if len(cache) + len(new) > UNITS:
                 cache.clear()
-                new = set(units)
-            new = list(new)
-            cache.update(zip(new, self._units([" " + u for u in new]), strict=True))
-        return self._units([first])[0] + b"".join(map(cache.__getitem__, units))
+                new = units
+            plain = [u for u in new if " " not in u]
+            cache.update(zip(plain, self._units([" " + u for u in plain]), strict=True))
+            odd = [u for u in new if " " in u]  # units that end in blanks
+            cache.update(zip(odd, self._encode([" " + u for u in odd]), strict=True))
+        return list(map(cache.__getitem__, units))
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """uint32 ids of each text of a column without nulls. Units are split and told apart by Arrow, each distinct one
+        is looked up once, and the texts' ids are gathered from theirs."""
+        out: dict[int, np.ndarray] = {}
+        blank = pc.match_substring_regex(texts, _BLANK).to_numpy(zero_copy_only=False) if len(texts) else []
+        special = np.zeros(len(texts), bool)
+        if self.special is not None:
+            special = pc.match_substring_regex(texts, self.special.pattern).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(special | blank).tolist():
+            text = texts[i].as_py()
+            if special[i]:
+                out[i] = np.frombuffer(self._encode([text])[0], "<u4")
+            else:
+                first, *units = _CUT.split(text)
+                known = dict(zip(own := list(set(units)), self._known(own), strict=True))
+                out[i] = np.frombuffer(self._encode([first])[0] + b"".join(map(known.__getitem__, units)), "<u4")
+        rest = np.flatnonzero(~(special | blank)) if len(texts) else np.empty(0, np.int64)
+        lists = pc.split_pattern(texts.take(pa.array(rest)), " ")
+        begin = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, units = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        begin = begin - (begin[0] if len(begin) else 0)
+        # a text's first unit has no space before it, so it has codes of its own
+        firsts, own = np.unique(codes[begin[:-1]], return_inverse=True)
+        heads = [units[c] for c in firsts.tolist()]
+        codes[begin[:-1]] = len(units) + own
+        ids = self._known(units) + self._encode(heads)
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        starts, each = np.concatenate([[0], np.cumsum(sizes)]), sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        gathered = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        for i, a, b in zip(rest.tolist(), ends[begin[:-1]].tolist(), ends[begin[1:]].tolist(), strict=True):
+            out[i] = gathered[a:b]
+        return [out[i] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -174,22 +230,21 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, kind: int =
     """The written table of files: range, file, n_docs, n_ids, bytes."""
 
     def run(batches):
-        e, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        e, end = encoder(tokenizer_path), np.array([end_id], "<u4")
         part, number, who, ids, held = None, 0, [], [], 0
 
         def closed():
-            data = pack(np.frombuffer(b"".join(ids), "<u4"), who, kind, block)
+            data = pack(np.concatenate(ids), who, kind, block)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(who)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())],
                 names=["range", "file", "n_docs", "n_ids", "bytes"],
             )
 
         for batch in batches:
-            for doc, p, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                part, found = p.as_py(), e.ids(text.as_py() or "") + end
-                who.append((doc.as_py(), len(found) // 4))
-                ids.append(found)
-                held += len(found) // 4
+            for doc, part, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), e.ids(batch.column(2).fill_null("")), strict=True):
+                who.append((doc, len(found) + 1))
+                ids += [found, end]
+                held += len(found) + 1
                 if held >= file_ids:
                     yield closed()
                     number, who, ids, held = number + 1, [], [], 0
