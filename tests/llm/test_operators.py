@@ -337,21 +337,51 @@ def test_streams_round_trip_and_damage(n):
 # ---- fixity ----------------------------------------------------------------------------------------------------------
 
 
-def test_audit_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 50)) for i in range(600)] + [(None, None, None), (7, "http://h/7", "x" * 7)], "page_id long, url string, html string")
-    archive = fixity.records(pages)
-    clean = fixity.audit(archive, archive).collect()
-    assert len(clean) == 602 and {r["status"] for r in clean} == {"ok"}
-    broken = archive.where("record_id IS NULL OR record_id != 33").withColumn("warc", F.expr("CASE WHEN record_id IN (5, 599) THEN warc || 'z' ELSE warc END"))
-    broken = broken.unionByName(spark.createDataFrame([(9999, "extra")], "record_id long, warc string"))
-    got = {r["record_id"]: r["status"] for r in fixity.audit(archive, broken).collect()}
-    assert {k: v for k, v in got.items() if v != "ok"} == {33: "missing", 5: "corrupt", 599: "corrupt", 9999: "extra"}
-    order = sorted((r for r in clean), key=lambda r: r["position"])
-    assert [r["offset"] for r in order] == [sum(x["length"] for x in order[:i]) for i in range(len(order))]
-    kids = [r["sha256"] for r in order if r["range"] == 2]
-    assert len(kids) == 16
-    empty = archive.where("false")
-    assert fixity.audit(empty, empty).count() == 0
+def inventory(spark, rows):
+    return spark.createDataFrame(rows, "file long, offset long, record_id long, length long, sha256 string")
+
+
+def held_against(one, two):
+    """Statuses of a plain comparison of two inventories of (file, offset, record_id, length, sha256)."""
+    out = Counter()
+    places = {r[:3] for r in (*one, *two)}
+    for p in places:
+        a, b = (sorted((r[4], r[3]) for r in rows if r[:3] == p) for rows in (one, two))
+        for x, y in itertools.zip_longest(a, b):
+            out[p, "extra" if x is None else "missing" if y is None else "ok" if x == y else "corrupt"] += 1
+    return out
+
+
+def root(spark, rows):
+    (top,) = fixity.tree(inventory(spark, rows), 4)[-1].collect()
+    return top["hash"]
+
+
+def test_layout_of_records(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 50)) for i in range(60)] + [(None, None, None), (7, "http://h/7", "x" * 7), (99, "u", "y" * 300_000)], "page_id long, url string, html string")
+    r = fixity.records(pages).withColumns({"length": F.octet_length("warc").cast("long"), "sha256": fixity.digest(F.col("warc"))})
+    got = sorted((x["offset"], x["length"], x["record_id"], x["warc"]) for x in fixity.laid_out(r).collect())
+    assert len(got) == 63 and [g[0] for g in got] == [sum(x[1] for x in got[:i]) for i in range(63)]
+    assert all("\r\nWARC-Date: " in g[3] and len(g[3].encode()) == g[1] for g in got)
+    assert fixity.laid_out(r.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_audit_against_a_plain_comparison_under_random_damage(spark, seed):
+    import random
+
+    pick = random.Random(seed)
+    one = [(f, i * 700, f * 1000 + i if i % 41 else None, 700, f"h{f}.{i}") for f in (0, 1, 5) for i in range(200)] + [(0, 700, 1, 700, "h0.1")]
+    two = [r for r in one if pick.random() > 0.03]
+    two = [(r[0], r[1], r[2], r[3], "bad") if pick.random() < 0.03 else (r[0], r[1] + 3, *r[2:]) if pick.random() < 0.02 else r for r in two]
+    two += [(9, 0, 77, 5, "new")] + [r for r in two if pick.random() < 0.01]
+    pick.shuffle(two)
+    for a, b in ((one, two), (one, one), (two, one), (one, []), ([], one)):
+        got = fixity.audit(inventory(spark, a), inventory(spark, b), range_bytes=4096).collect()
+        assert Counter(((r["file"], r["offset"], r["record_id"]), r["status"]) for r in got) == held_against(a, b)
+    assert fixity.audit(inventory(spark, []), inventory(spark, [])).count() == 0
+    base = root(spark, one)
+    assert base == root(spark, one[::-1]) and base != root(spark, [*one, (9, 0, 77, 5, "new")]) and base != root(spark, [(r[0], r[1] + (i == 5), *r[2:]) for i, r in enumerate(one)])
 
 
 # ---- html ------------------------------------------------------------------------------------------------------------

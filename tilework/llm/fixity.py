@@ -1,16 +1,20 @@
 """WARC Merkle fixity audit.
 
-Every record of an archive is hashed; records in offset order are cut into ranges of ``fan`` records, whose hash is
-that of their records' hashes in order, and ranges into ranges again, up to one root. Two replicas' trees are compared
-from the root: only below differing nodes are children compared, until the damaged records are found.
-
-Offsets and positions are running sums over the order, computed range by range (see common.running). A node is a
-group of at most ``fan`` hashes, so no group grows with the archive. Levels are written narrow tables, fan times
-smaller each; descending is an inner join of each level with its differing parents.
-
-Defined cases: an empty archive audits to nothing; records that a replica lacks are ``missing``, records that only the
-replica has are ``extra`` (no place in the tree); null payloads are empty; a repeated record id is told apart by its
-occurrence in the order of the hashes; extra columns are ignored.
+A replica is known by its inventory: file, offset, record_id, length and sha256 of every record that was read from it. Its
+tree is built from that alone: a leaf is a range of ``range_bytes`` of a file, whose hash is that of its records' offsets,
+lengths, ids and hashes in order; ``fan`` neighbouring nodes in number make a node of the next level, up to one root, which
+stands for everything the replica holds, in its place. Two replicas' trees are made independently and compared from the
+root: only below nodes that differ are children fetched from both sides and compared, and only in the ranges that
+differ at last are records held against each other.
+
+A lost record leaves a hole and a changed one keeps its place, so neighbours' ranges stay equal. A range holds so many
+records at most as its bytes allow and a node ``fan`` children, so no group grows with the archive. Levels are written
+narrow tables, about fan times smaller each. Records as a whole are joined only with the list of differing ranges.
+
+Defined cases, per record by file, offset and record_id: ``ok``, ``corrupt`` (other bytes or length), ``missing`` (the
+archive's alone) and ``extra`` (the replica's alone); a record at another offset is missing at the one and extra at the
+other; repeats of one record at one offset are told apart by the order of their hashes; null ids
+and null payloads are values like others; an empty archive and replica audit to nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilework.llm.common import running, written
+from tilework.llm.common import running, small, written
+
+FILE_BYTES, RANGE_BYTES, FAN, RANGES = 1 << 28, 1 << 17, 16, 1 << 12
+FIELDS = ["file", "offset", "record_id", "length", "sha256"]
 
 
-def record(record_id: Column, url: Column, body: Column) -> Column:
-    """The bytes of a WARC 1.0 resource record."""
+def record(record_id: Column, url: Column, body: Column, date: str = "2026-01-01T00:00:00Z") -> Column:
+    """The bytes of a WARC 1.0 resource record; date is that of the capture."""
     body = F.coalesce(body, F.lit(""))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(record_id.cast("string"), F.lit("none")),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
@@ -36,58 +43,103 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("record_id"), record(F.col("page_id"), F.col("url"), F.col("html")).alias("warc"))
 
 
-def hashed(archive: DataFrame) -> DataFrame:
-    """record_id, occurrence, length, sha256 of an archive's records: a map, then a window over repeats of one id."""
-    h = archive.select("record_id", F.octet_length("warc").cast("long").alias("length"), F.sha2(F.col("warc").cast("binary"), 256).alias("sha256"))
-    return h.withColumn("occurrence", F.row_number().over(Window.partitionBy("record_id").orderBy("sha256")))
-
-
-def manifest(hashes: DataFrame) -> DataFrame:
-    """Adds position and offset of each record in the archive's order (record_id, occurrence)."""
-    return running(hashes, ["record_id", "occurrence"], {"position": F.lit(1), "offset": F.col("length")})
-
-
-def _parents(level: DataFrame, fan: int) -> DataFrame:
-    """node, a, b of the next level."""
-    both = F.array_sort(F.collect_list(F.struct("node", "a", "b")))
-    out = level.groupBy(F.floor(F.col("node") / fan).cast("long").alias("up")).agg(both.alias("c"))
-    joined = lambda s: F.sha2(F.array_join(F.transform("c", lambda x: F.coalesce(x[s], F.lit("-"))), ""), 256)
-    return out.select(F.col("up").alias("node"), joined("a").alias("a"), joined("b").alias("b"))
-
-
-def audit(archive: DataFrame, replica: DataFrame, fan: int = 16) -> DataFrame:
-    """One row per record of either: record_id, position, offset, length, sha256 (the archive's), range (its lowest
-    node), range_sha256, status (ok, corrupt, missing, extra)."""
-    one = written(manifest(hashed(archive)), "manifest")
-    two = hashed(replica).select(F.col("record_id").alias("_id"), F.col("occurrence").alias("_oc"), F.col("sha256").alias("b"))
-    pairs = one.join(two, one["record_id"].eqNullSafe(F.col("_id")) & (one["occurrence"] == F.col("_oc")), "full")
-    pairs = written(pairs, "pairs")
-    leaves = pairs.where("position IS NOT NULL").select(F.col("position").alias("node"), F.col("sha256").alias("a"), "b")
-    levels, n = [leaves], one.count()
-    while n > 1 or len(levels) == 1:
-        levels.append(written(_parents(levels[-1], fan), "level"))
-        n = -(-n // fan)
-        if n <= 1:
-            break
-    bad = levels[-1].where("NOT a <=> b").select(F.col("node").alias("up"))
-    for level in levels[-2::-1]:
-        below = level.join(bad, F.floor(level["node"] / fan) == F.col("up")).where("NOT a <=> b")
-        bad = below.select(F.col("node").alias("up"))
-    found = bad.withColumnRenamed("up", "_bad")
-    ranges = levels[1].select(F.col("node").alias("range"), F.col("a").alias("range_sha256"))
-    out = pairs.withColumn("range", F.floor(F.col("position") / fan).cast("long")).join(found, F.col("position") == F.col("_bad"), "left").join(ranges, "range", "left")
-    status = F.when(F.col("position").isNull(), "extra").when(F.col("_bad").isNull(), "ok").when(F.col("b").isNull(), "missing").otherwise("corrupt")
-    return out.select(F.coalesce("record_id", "_id").alias("record_id"), "position", "offset", "length", "sha256", "range", "range_sha256", status.alias("status"))
+def digest(warc: Column) -> Column:
+    return F.sha2(warc.cast("binary"), 256)
+
+
+def laid_out(hashed: DataFrame) -> DataFrame:
+    """hashed (record_id, length, sha256 and others) written one after the other, in the order of ids and hashes, to files of
+    FILE_BYTES and what the last record needs: adds file and offset."""
+    placed = running(hashed, ["record_id", "sha256"], {"_at": F.col("length")})
+    placed = written(placed.withColumn("file", F.floor(F.col("_at") / FILE_BYTES).cast("long")), "placed")
+    begins = written(placed.groupBy(F.col("file").alias("_f")).agg(F.min("_at").alias("_begin")), "files")
+    return placed.join(small(begins), F.col("file") == F.col("_f")).withColumn("offset", F.col("_at") - F.col("_begin")).drop("_at", "_f", "_begin")
+
+
+def _range(offset: Column, file: Column, range_bytes: int) -> Column:
+    return file * RANGES + F.least(F.floor(offset / range_bytes), F.lit(RANGES - 1)).cast("long")
+
+
+def leaves(inventory: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """node, hash of an inventory's ranges."""
+    each = F.struct("offset", "record_id", "length", "sha256")
+    text = F.transform("c", lambda x: F.concat_ws(":", x["offset"], F.coalesce(x["record_id"].cast("string"), F.lit("none")), x["length"], x["sha256"]))
+    out = inventory.groupBy(_range(F.col("offset"), F.col("file"), range_bytes).alias("node")).agg(F.array_sort(F.collect_list(each)).alias("c"))
+    return written(out.select("node", F.sha2(F.array_join(text, "\n"), 256).alias("hash")), "leaves")
+
+
+def parents(level: DataFrame, fan: int = FAN) -> DataFrame:
+    """node, hash of the level above; children are named in it, so that an empty place counts."""
+    out = level.groupBy(F.floor(F.col("node") / fan).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])), "\n")
+    return written(out.select(F.col("up").alias("node"), F.sha2(text, 256).alias("hash")), "level")
+
+
+def tree(inventory: DataFrame, height: int, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> list[DataFrame]:
+    """The levels of a replica's tree, ranges first, the root's (node 0) last."""
+    levels = [leaves(inventory, range_bytes)]
+    for _ in range(height):
+        levels.append(parents(levels[-1], fan))
+    return levels
+
+
+def height_of(*inventories: DataFrame, fan: int = FAN) -> int:
+    """Levels above the ranges that lead to one root for all the inventories."""
+    last = max((i.agg(F.max("file").alias("f")).first()["f"] or 0) for i in inventories)
+    nodes, height = (last + 1) * RANGES, 0
+    while nodes > 1:
+        nodes, height = -(-nodes // fan), height + 1
+    return height
+
+
+def differing(one: list[DataFrame], two: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """node: the ranges in which two trees differ, found from the roots down."""
+    bad = None
+    for a, b in zip(reversed(one), reversed(two), strict=True):
+        if bad is not None:
+            up = small(bad.withColumnRenamed("node", "_up"))
+            a, b = (x.join(up, F.floor(x["node"] / fan) == F.col("_up")).select("node", "hash") for x in (a, b))
+        pairs = a.join(b.withColumnsRenamed({"node": "_node", "hash": "_hash"}), F.col("node") == F.col("_node"), "full")
+        bad = written(pairs.where("NOT hash <=> _hash").select(F.coalesce("node", "_node").alias("node")), "differing")
+    return bad
+
+
+def audit(archive: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
+    """One row per record of either inventory: file, offset, record_id, length, sha256 (the archive's, for extra
+    records the replica's), range, status."""
+    archive, replica = (x.select(*FIELDS) for x in (archive, replica))
+    height = height_of(archive, replica, fan=fan)
+    bad = small(differing(tree(archive, height, range_bytes, fan), tree(replica, height, range_bytes, fan), fan))
+    at_ = _range(F.col("offset"), F.col("file"), range_bytes)
+    order = Window.partitionBy("file", "offset", "record_id").orderBy("sha256", "length")
+    one, two = (x.withColumn("range", at_) for x in (archive, replica))
+    inside = [x.join(bad, F.col("range") == F.col("node"), "left_semi").withColumn("copy", F.row_number().over(order)) for x in (one, two)]
+    b = inside[1].select(*[F.col(c).alias(f"_{c}") for c in inside[1].columns])
+    key = F.col("record_id").eqNullSafe(F.col("_record_id"))
+    for c in ("file", "offset", "copy"):
+        key = key & (F.col(c) == F.col(f"_{c}"))
+    held = inside[0].join(b, key, "full")
+    same = (F.col("sha256") == F.col("_sha256")) & (F.col("length") == F.col("_length"))
+    status = F.when(F.col("copy").isNull(), "extra").when(F.col("_copy").isNull(), "missing").when(same, "ok").otherwise("corrupt")
+    # of a pair's fields the archive's, of extra records the replica's
+    fields = [F.when(F.col("copy").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in (*FIELDS, "range")]
+    held = held.select(*fields, status.alias("status"))
+    return one.join(bad, F.col("range") == F.col("node"), "left_anti").select(*FIELDS, "range", F.lit("ok").alias("status")).unionByName(held)
 
 
 def damaged(archive: DataFrame, every: int = 64) -> DataFrame:
-    """A replica of the archive with known damage, for exercising the audit: by the id's crc32 modulo every, records
-    lose their last byte but four (5), or are lost (9)."""
+    """From an inventory with the column changed (the hash that a record has with one byte changed) that of a replica with known
+    damage, for exercising the audit: by the id's crc32 modulo every, records are changed (5), lost (9), moved by a byte
+    (13), or stand twice (17)."""
     kind = F.crc32(F.col("record_id").cast("string").cast("binary")) % every
-    cut = F.expr("concat(left(warc, length(warc) - 5), right(warc, 4))")
-    return archive.where(F.coalesce(kind != 9, F.lit(True))).withColumn("warc", F.when(kind == 5, cut).otherwise(F.col("warc")))
+    out = archive.withColumn("_k", F.coalesce(kind, F.lit(-1))).where("_k != 9")
+    out = out.withColumns({"sha256": F.when(F.col("_k") == 5, F.col("changed")).otherwise(F.col("sha256")), "offset": F.col("offset") + F.when(F.col("_k") == 13, 1).otherwise(0)})
+    return out.withColumn("_c", F.explode(F.when(F.col("_k") == 17, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select(*FIELDS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    archive = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    r = records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    flipped = F.expr("overlay(warc PLACING '~' FROM length(warc) - 4)")
+    hashed = r.select("record_id", F.octet_length("warc").cast("long").alias("length"), digest(F.col("warc")).alias("sha256"), digest(flipped).alias("changed"))
+    archive = written(laid_out(hashed), "archive")
     return audit(archive, damaged(archive)).withColumnRenamed("record_id", "page_id")
