@@ -270,11 +270,38 @@ def lm(spark):
     return toxicity.language_model(frame(spark, [(1, plain, "s"), (2, None, "s"), (3, "", "s")]))
 
 
-@pytest.mark.parametrize("text, word", [("st*pid", "stupid"), ("1d10t", "idiot"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("looooser", "loser"), ("i d i o t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("w0rthl3ss!", "worthless")])
+DISGUISED = [
+    ("st*pid", "stupid"), ("1d10t", "idiot"), ("tr@sh", "trash"), ("m0r0n", "moron"), ("looooser", "loser"), ("i d i o t", "idiot"), ("s.t.u.p.i.d", "stupid"), ("w0rthl3ss!", "worthless"),
+    ("i d 1 0 t", "idiot"), ("1 d 1 0 t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("you are a m o r o n", "moron"), ("1d107", "idiot"), ("idi0+", "idiot"), ("tr@5#", "trash"), ("stuupid", "stupid"), ("loserr", "loser"),
+    ("the-trash-said-that-the-moron-left-with-a-loser/1d10t", "idiot"), ("t h e " * 60 + "m o r o n", "moron"),
+]
+
+
+@pytest.mark.parametrize("text, word", DISGUISED)
 def test_disguised_words_are_restored(lm, text, word):
     assert word in toxicity.Restorer(lm).words(f"and {text} then")
 
 
+@pytest.mark.parametrize("token", ["1d1", "s+p", "l00s", "t.r@", "aabb", "i d 1", "6*t", "x"])
+def test_decoding_against_all_paths_of_the_lattice(lm, token):
+    d = toxicity.Decoder(lm)
+
+    def score(path):
+        s, p, q = 0.0, 0, 0
+        for text, cost in path:
+            s -= cost
+            for c in text:
+                n = 0 if c == " " else toxicity.CODE[c]
+                s, p, q = s + float(lm[p][q][n]), q, n
+        return s + float(lm[p][q][0])
+
+    paths = {}
+    for path in itertools.product(*d.columns(token)):
+        words = tuple("".join(t for t, _ in path).split())
+        paths[words] = max(paths.get(words, -1e9), score(path))
+    assert paths[tuple(d.decode(token))] == pytest.approx(max(paths.values()), abs=1e-4)
+
+
 def test_plain_words_stay(lm):
     assert toxicity.Restorer(lm).words("Plain words, 1234 stay.") == {"plain", "words", "stay"}
 

@@ -1,10 +1,12 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Text that someone disguised is read as a noisy channel's output: letters written as look-alike digits or symbols,
-spread out with spaces or dots, or repeated. A suspicious token becomes a lattice whose columns hold the letters each
-written character may stand for (with the channel's cost), repeated letters may collapse, and separators may vanish; a
-Viterbi pass under a character trigram model, counted over all documents, picks the likeliest word. Tokens without
-such signs stay as they are. The restored words are then scored.
+spread out with spaces or dots, or repeated. A suspicious token, or a run of single characters, becomes a lattice whose
+columns hold the letters each written character may stand for (with the channel's cost), repeated letters may collapse,
+and separators may vanish or be a word's edge; a Viterbi pass under a character trigram model, counted over all
+documents, picks the likeliest words. Tokens and runs are decoded whole, whatever their length: time is linear in it, and
+states are pairs of letters. Where doubled letters are a token's only sign, its lattice's two ends, as written and wholly
+collapsed, are both taken without a search. Tokens without such signs stay as they are. The restored words are then scored.
 
 The score is a logistic model over word beginnings and whole words, fitted on a bounded, documented sample of labelled
 documents (sample_rows). Its features are those whose document frequencies differ most between the labels; their counts
@@ -40,12 +42,16 @@ CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 STATES = len(LETTERS) + 1
 MEMORY = 200_000
 
-#: A token worth decoding: a letter beside a look-alike or separator, a letter three times running, or single letters
-#: with spaces between. Addresses, keys and numbers have too many such signs and are left alone by the length bound.
-_SPACED = re.compile(r"(?<![^\s])(?:[^\W\d_][ .\-_*]{1,2}){3,}[^\W\d_](?![^\s.,!?;:])")
-_TOKEN = re.compile(r"\S+")
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+({<€£¥§*#%&.\-_~·'`^]+[^\W\d_]|^[0-9@$!|+({<€£]+[^\W\d_]{2}|(?:([^\W\d_])\1\1)", re.IGNORECASE)
+#: Signs of a disguise in a token without the punctuation around it: a look-alike or separator between letters, look-alikes
+#: before or after letters, or a letter three times running.
+_SIGNS = "".join(re.escape(c) for c in LOOKALIKES)
+_MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$|([^\W\d_])\1\1", re.IGNORECASE)
+_DOUBLED = re.compile(r"([^\W\d_])\1+")
+#: A run of single letters and look-alikes (four or more, one letter at least) with one or two separators or white space between.
+_ONE = rf"(?:[^\W\d_]|[{_SIGNS.replace(re.escape('*'), '')}])"
+_SPACED = re.compile(rf"(?<!\S)(?=[^\w\s]?\W*(?:[\d_]\W+)*[^\W\d_])(?:{_ONE}[\s{re.escape(SEPARATORS)}]{{1,2}}){{3,}}{_ONE}(?![^\s.,!?;:])")
 _WORD = re.compile(r"[^\W\d_]+")
+_AROUND = ".,;:!?\"'()[]"
 
 
 def letter_trigrams(docs: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
 class Decoder:
     """Viterbi over the lattice of one token."""
 
-    SUBSTITUTE, DROP, COLLAPSE, KEEP_RUN = 1.5, 1.0, 0.5, 1.5
+    SUBSTITUTE, DROP, COLLAPSE, KEEP_RUN, EDGE = 1.5, 1.0, 0.5, 1.5, 0.5
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -98,32 +104,34 @@ class Decoder:
                 choices.append((x, cost + self.COLLAPSE * (run > 1)))
                 if run >= 2:
                     choices.append((x * 2, cost + (self.KEEP_RUN * (run > 2))))
-            if c in SEPARATORS or c == " " or not letters:
-                choices.append(("", self.DROP * (0.2 if c == " " else 1.0)))
+            if c in SEPARATORS or c.isspace() or not letters:  # other characters are edges by themselves
+                choices.append(("", self.DROP * (0.2 if c.isspace() else 1.0)))
+                choices.append((" ", self.EDGE if c in SEPARATORS or c.isspace() or letters else 0.0))
             out.append(choices)
             i = j
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest word; states are the last two letters."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def decode(self, token: str) -> list[str]:
+        """The likeliest words; states are the last two letters (0: an edge), paths are linked backwards."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for choices in self.columns(token):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, word) in best.items():
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for text, cost in choices:
                     p, q, s = a, b, score - cost
                     for x in text:
-                        n = CODE[x]
+                        n = 0 if x == " " else CODE[x]
                         s += self.model[p][q][n]
                         p, q = q, n
                     if (p, q) not in following or following[p, q][0] < s:
-                        following[p, q] = (s, word + text)
+                        following[p, q] = (s, (path, text) if text else path)
             best = following
-        ends = [(s + self.model[a][b][0], w) for (a, b), (s, w) in best.items()]
-        return max(ends)[1] if ends else token
-
-
-LONGEST = 40
+        score, path = max(((s + self.model[a][b][0], path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])
+        parts = []
+        while path is not None:
+            path, text = path
+            parts.append(text)
+        return "".join(reversed(parts)).split()
 
 
 class Restorer:
@@ -139,11 +147,12 @@ class Restorer:
                 self.memory.clear()
             low = token.lower()
             words = _WORD.findall(low)
-            if len(token) <= LONGEST and _MIXED.search(token) is not None:
-                core = token.strip(".,;:!?\"'()[]")
-                restored = self.decoder.decode(core) if core else ""
-                # both readings count: the channel may have left the token alone
-                words = [*words, restored]
+            core = low.strip(_AROUND)
+            # both readings count: the channel may have left the token alone
+            if _MIXED.search(core) is not None:
+                words += self.decoder.decode(core)
+            elif _DOUBLED.search(core) is not None:
+                words += _WORD.findall(_DOUBLED.sub(r"\1", core))
             found = self.memory[token] = tuple(dict.fromkeys(w for w in words if w))
         return found
 
@@ -153,7 +162,7 @@ class Restorer:
         for t in set(text.split()):
             out.update(self.token(t))
         for m in _SPACED.finditer(text):
-            out.add(self.decoder.decode(m[0][: 2 * LONGEST]))
+            out.update(self.decoder.decode(m[0]))
         return out
 
 
