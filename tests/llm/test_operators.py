@@ -88,6 +88,11 @@ def test_mix_targets_and_bounds(spark):
     assert again == sorted(str(r) for r in mixing.with_copies(sized, plan).select("doc_id", "copies").collect())
     mixed = mixing.mixed(frame(spark, rows))
     assert mixed.columns == frame(spark, []).columns and mixed.count() == sum(r["copies"] for r in got)
+    clash = frame(spark, rows).withColumns({n: F.lit("mine") for n in ("size", "target", "source_size", "copies", "c", "missing", "certain", "cutoff", "below", "draw", "_doc", "_key")})
+    assert {tuple(r) for r in mixing.mixed(clash).select("size", "target", "c", "missing", "draw").distinct().collect()} == {("mine",) * 5}
+    nobody = mixing.sizes(frame(spark, [(None, sentence(i, 20), f"s{i % 3}") for i in range(300)]))
+    sums = mixing.with_copies(nobody, mixing.mix_plan(nobody)).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 20 for r in sums)
     empty = mixing.sizes(frame(spark, []))
     assert mixing.with_copies(empty, mixing.mix_plan(empty)).count() == 0
 
@@ -155,6 +160,14 @@ def test_one_document_of_a_group_stays(spark):
     ids = [r["doc_id"] for r in out.collect()]
     assert len(ids) == len(set(ids)) and set(ids) - {None} == want
     assert minhash.deduplicated(frame(spark, [])).count() == 0
+    alone = [(None, "the same words " * 9, "s")] * 3 + [(None, sentence(5, 20) + " x", "s"), (None, "", "s"), (None, "", "s"), (None, sentence(5, 20), "s")]
+    assert minhash.deduplicated(frame(spark, alone)).count() == 3
+
+
+def test_classes_that_agree_in_half_their_bits_are_told_apart(spark):
+    rows = [(1, 2, 5), (1, 3, 5), (1, 3, 6), (7, 7, 7)]
+    got = minhash._numbered(spark.createDataFrame(rows, "set long, set2 long, n long")).collect()
+    assert len({r["node"] for r in got}) == 4
 
 
 def test_components_of_long_chains(spark):
@@ -341,6 +354,8 @@ def test_transport_streams(spark):
         p = transport.padded(raw)
         assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(p) and r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-64:])
         assert r["media_bytes"] % 188 == 0 and "continuity=0;crc=0;sync=0" in r["feature"] and "programs=1:1000" in r["feature"]
+        units = -(-len(p) // 2048)
+        assert (r["first_pts"], r["last_pts"], r["random_access_pts"]) == (0, 3003 * (units - 1), [3003 * u for u in range(0, units, 8)])
     units = transport.access_units(transport.stored(frame(spark, rows)).where("doc_id = 3")).orderBy("unit").collect()
     assert [u["pts"] for u in units] == [i * 3003 for i in range(len(units))] and [u["random_access"] for u in units] == [i % 8 == 0 for i in range(len(units))]
 
@@ -359,6 +374,34 @@ def test_streams_round_trip_and_damage(n):
         bad[10] ^= 1
         assert transport.demux(bytes(bad)).crc_errors == 1
     assert transport.demux(b"").packets == 0
+    points = [i for i in range(0, len(media), 188) if media[i + 1 : i + 3] == b"\x40\x00"]  # a receiver may begin at any of them
+    for i, p in enumerate(points):
+        joined = transport.demux(media[p:])
+        assert b"".join(u.data for u in joined.units[transport.DATA_PID]) == payload[i * 8 * 2048 :] and joined.kinds == s.kinds and not joined.continuity_errors
+
+
+def test_a_stream_written_by_hand_is_read():
+    """Packets put together from the standard's fields: tables with the CRC of zlib's polynomial bit by bit, PTS and DTS, stuffing."""
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            for k in range(7, -1, -1):
+                bit = (c >> 31) ^ (b >> k & 1)
+                c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if bit else 0)
+        return c.to_bytes(4, "big")
+
+    pat = bytes.fromhex("00b00d0001c100000003e064")  # program 3: map in pid 0x64
+    pmt = bytes.fromhex("02b0120003c10000e065f0001be065f000")  # video 0x1b in pid 0x65
+    packets = [bytes.fromhex("47400010") + b"\0" + pat + crc(pat), bytes.fromhex("47406410") + b"\0" + pmt + crc(pmt)]
+    pes = bytes.fromhex("000001e00000" + "80c00a" + "3100070001" + "1100050001") + b"abc"  # PTS 3 << 15, DTS 2 << 15
+    packets.append(bytes.fromhex("47406537") + bytes([183 - len(pes), 0x40]) + b"\xff" * (182 - len(pes)) + pes)
+    packets.append(bytes.fromhex("47006518") + b"d" * 184)
+    packets.append(bytes.fromhex("47406539") + bytes([162, 0]) + b"\xff" * 161 + bytes.fromhex("000001e0000a800000") + b"rest of it..")
+    s = transport.demux(b"".join(x.ljust(188, b"\xff") for x in packets))
+    assert s.programs == {3: 0x64} and s.kinds == {0x65: 0x1B} and (s.crc_errors, s.continuity_errors, s.sync_losses) == (0, 0, 0)
+    first = s.units[0x65][0]
+    assert (first.pts, first.dts, first.random_access, first.data) == (3 << 15, 2 << 15, True, b"abc" + b"d" * 184)
 
 
 # ---- fixity ----------------------------------------------------------------------------------------------------------
@@ -437,6 +480,54 @@ def test_marked_elements_are_dropped(attrs):
     assert density.main_text(f"<body><p>{PARAS[1]}</p><div {attrs}><p>Some more words that nobody wants to read here.</p></div></body>") == WANT.split("\n")[2]
 
 
+@pytest.mark.parametrize("n", [10, 2_400, 300_000])
+def test_long_attributes_and_pages(n):
+    long_ = "a>b " * (n // 4)
+    assert density.main_text(f'<body><p title="{long_}">{PARAS[1]}</p></body>') == WANT.split("\n")[2]
+    page = "<body><article>" + "".join(f"<p>Paragraph {i} of a long article.</p>" for i in range(n // 30)) + "</article></body>"
+    assert density.main_text(page).count("\n") == n // 30 - 1 if n >= 30 else True
+    assert density.main_text("<p>Some text here.</p>" + '<p title="x' * (n // 10)).startswith("Some text here.")
+
+
+def densities_by_definition(node):
+    """(chars, tags, link chars, links) of a nested (tag, [children or text]) tree."""
+    c = t = lc = lt = 0
+    for x in node[1]:
+        if isinstance(x, str):
+            c += len(x)
+        else:
+            a = densities_by_definition(x)
+            c, lc, lt = c + a[0], lc + a[2], lt + a[3]
+            t += a[1] + (x[0] != "a")
+            if x[0] == "a":
+                lc, lt = lc + a[0], lt + 1
+    return c, t, lc, lt
+
+
+def test_densities_against_their_definition():
+    import math
+
+    trees = [("body", [("div", [("p", ["some words here"]), ("p", ["more ", ("a", ["linked"])])]), ("ul", [("li", [("a", ["one"])]), ("li", [("a", ["two"])])])])]
+
+    def markup(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+    def nodes(x):
+        yield x
+        for y in x[1]:
+            if not isinstance(y, str) and y[0] != "a":
+                yield from nodes(y)
+
+    for tree in trees:
+        page = density.Page(markup(tree))
+        body = densities_by_definition(tree)
+        for node, tag, got in zip(nodes(tree), page.tag, page.densities(), strict=True):
+            c, t, lc, lt = densities_by_definition(node)
+            base = math.log(math.log(c / max(1, c - lc) * lc + body[2] / body[0] * c + math.e) + 1e-9)
+            want = c / max(1, t) * math.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt))) / max(0.1, base)
+            assert tag == node[0] and got == pytest.approx(want)
+
+
 def test_every_page_of_the_table(spark, sf):
     """The pages' template is known: the article's blocks in order are the text."""
     for r in density.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():

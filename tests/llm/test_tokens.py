@@ -36,6 +36,25 @@ def test_spans_cover_the_source_and_hold_their_pieces(text):
             assert source[a:b].decode() == p.surface
 
 
+def test_unknown_pieces_have_their_characters_spans(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    for i, p in enumerate(["<unk>", "<s>", "</s>", "▁", *"abcdefghijklmnopqrstuvwxyz"]):
+        m.pieces.add(piece=p, score=-float(i), type={0: 2, 1: 3, 2: 3}.get(i, 1))
+    m.trainer_spec.model_type, m.normalizer_spec.name = 2, "identity"
+    m.normalizer_spec.remove_extra_whitespaces = False
+    path = tmp_path / "small.model"
+    path.write_bytes(m.SerializeToString())
+    e = spans.Encoder(str(path))
+    for text in ("hello 漢字 x", "漢", "", "a 漢字漢 é b"):
+        ids = e.ids(text)
+        assert ids.tolist() == e.sp.encode(text, add_eos=True)
+        found, source = e.spans(text, ids), text.encode()
+        unknown = [source[a:b].decode() for (a, b), i in zip(found.tolist(), ids.tolist(), strict=True) if i == 0]
+        assert "".join(unknown) == "".join(c for c in text if ord(c) > 127) and found[-1, 1] == len(source)
+
+
 def test_compiled_map_matches_the_library():
     n = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     from sentencepiece import sentencepiece_model_pb2

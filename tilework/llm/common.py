@@ -32,10 +32,12 @@ def n_words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share: the session's spark.checkpoint.dir. Only where it is unset, as in tests
-    on one machine, a new local folder is taken and set."""
+    """The folder all machines share: the session's spark.checkpoint.dir. Only where it is unset on one machine,
+    as in tests, a new local folder is taken and set; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,13 +7,15 @@ are adjusted by its links:
     density = C / T * log(C / LC * T / LT) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 with C characters, T tags, LC characters in links, LT links of the subtree (0 counts as 1). A node's density sum is that
-of its children. The node of the largest sum is taken, widened along the path to body: as long as a parent's density
-reaches the threshold, the least density on that path, and its sum isn't smaller by its own children; and up to an
-enclosing article or main element. Its text blocks are the result.
+of its children. The node of the largest sum is taken; the least density on its path to body is the threshold. From
+body down, each node that reaches the threshold contributes the node of largest sum in its subtree, so that parts of an
+article beside the first one are found too. An article or main element around the first is taken whole instead. The
+chosen subtrees' text blocks, in page order, are the result.
 
 One pass in mapInArrow, a page at a time: no shuffle, memory of a batch.
 
-Defined cases: null or empty html, or a page without text, gives an empty text; broken markup is read leniently;
+Defined cases: null or empty html, or a page without text, gives an empty text; broken markup is read leniently; pages
+and attributes of any length are read whole;
 repeated rows repeat; extra columns are ignored.
 """
 
@@ -29,10 +31,8 @@ from pyspark.sql import functions as F
 
 from tilework.llm.common import in_arrow
 
-_TAG = re.compile(
-    r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]{0,2000}"|'[^']{0,2000}')*+|[^<>]*+)>|[!?/][^<>]*+>)""", re.DOTALL
-)
-# an attribute's value is read up to 2,000 characters for a tag's end; a longer one is skipped by the plain form
+# a quoted value, which may hold >, is read to its closing quote, whatever its length
+_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>])*+)>|[!?/][^<>]*+>)""", re.DOTALL)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _MARKING = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -197,37 +197,39 @@ class Page:
             out.append(c / t * ratio / max(base, 0.1))
         return out
 
-    def content(self) -> int:
-        """The chosen node."""
-        density = self.densities()
-        sums = [0.0] * len(self.tag)
-        for i in range(len(self.tag) - 1, 0, -1):
+    def content(self) -> set[int]:
+        """The nodes of the chosen subtrees. The node of the largest density sum gives the threshold, the least density on its
+        path to body. From body down, as long as nodes reach the threshold, each contributes its subtree's node of largest sum. An
+        article or main element around the first is taken whole, and nothing beside it."""
+        density, n = self.densities(), len(self.tag)
+        sums = [0.0] * n
+        for i in range(n - 1, 0, -1):
             sums[self.parent[i]] += density[i]
-        for i in set(range(len(self.tag))) - set(self.parent):
-            sums[i] = max(sums[i], 0.0)
-        best = max(range(len(sums)), key=lambda i: (sums[i], -i)) if any(sums) else 0
-        path, i = [], best
+        top = list(range(n))  # of each subtree
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if (sums[top[i]], -top[i]) > (sums[top[p]], -top[p]):
+                top[p] = top[i]
+        threshold, i, whole = density[top[0]], top[0], None
         while i >= 0:
-            path.append(i)
-            i = self.parent[i]
-        threshold = min(density[i] for i in path)
-        for i in path[1:]:
-            if self.tag[best] in ("article", "main") or not (density[i] >= threshold and i and sums[i] - density[best] >= sums[best] * 0.5):
-                break
-            best = i
-        for i in path:
+            threshold = min(threshold, density[i])
             if self.tag[i] in ("article", "main"):
-                best = i
-        return best
+                whole = i
+            i = self.parent[i]
+        chosen = {top[0]} if whole is None else {whole}
+        if whole is None:
+            reached = {0}
+            for i in range(1, n):
+                if self.parent[i] in reached and self.chars[i] and density[i] >= threshold:
+                    reached.add(i)
+                    chosen.add(top[i])
+        for i in range(min(chosen) + 1, n):
+            if self.parent[i] in chosen:
+                chosen.add(i)
+        return chosen
 
     def text(self) -> str:
-        if not self.chars[0]:
-            return ""
-        root = self.content()
-        inside = {root}
-        for i in range(root + 1, len(self.tag)):
-            if self.parent[i] in inside:
-                inside.add(i)
+        inside = self.content() if self.chars[0] else set()
         return "\n".join(t for i, t in self.blocks if i in inside)
 
 

@@ -12,15 +12,16 @@ of the set), whatever their number. Candidates are verified on the full sets (se
 
 Defined cases: null or empty texts have empty sets, are linked with nothing and stay; texts of fewer than k words have
 their whole sequence as one shingle; repeated rows are copies; rows that share a doc_id are rows of one document, so
-a component's number is the least doc_id of its rows; null doc_ids come last; extra columns are ignored; an empty
-table gives an empty result.
+a component's number is the least doc_id of its rows; null doc_ids come last, and a component without any other has the
+number null, of which near_duplicates calls all kept and deduplicated keeps one text; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
@@ -70,8 +71,18 @@ def table_keys(halves: DataFrame) -> DataFrame:
     return halves.select("node", F.explode("one").alias("i"), "two").select("node", "i", F.explode("two").alias("j")).select(F.xxhash64("i", "j").alias("key"), "node")
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with node, a number of 64 bits for each that no other has: half of the set's 128 bits, or where two classes
+    agree in that, a hash of all of them with the first salt that tells them all apart."""
+    node, salt = F.col("set"), 0
+    while not classes.select(node.alias("node")).groupBy("node").agg(F.count("*").alias("_m")).where("_m > 1").isEmpty():
+        salt += 1
+        node = F.xxhash64("set", "set2", "n", F.lit(salt))
+    return classes.withColumn("node", node)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, half_keys: int = 13) -> DataFrame:
-    """One row per row of docs: doc_id, _t (hash of the text), n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, _t (hash of the text), n_shingles, component_id, kept, _root (null: an empty set).
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of k-word shingles (A-Z lower-cased);
     component_id is the least doc_id that links reach, kept is doc_id = component_id.
@@ -79,7 +90,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     s = signatures(docs, k, rows, half_keys)
     # the smallest document of a class stands for it; 128 bits and the size make the class
     classes = s.where("n > 0").groupBy("set", "set2", "n").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", "_t")).alias("rep"), F.first("halves").alias("halves"))
-    classes = written(classes.select(F.col("set").alias("node"), "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"), "halves"), "classes")
+    classes = written(classes.select("set", "set2", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"), "halves"), "classes")
+    classes = _numbered(classes)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = written(classes.join(nodes, "node").select("node", F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")), "wanted")
@@ -88,24 +100,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         return found.select("node", "text").dropDuplicates(["node"])
 
     roots = linked(table_keys(live_halves(classes, half_keys)), texts_of, k, percent)
-    placed = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = placed.join(least, "root").select(F.col("node").alias("set"), "component_id")
-    out = s.select("doc_id", "_t", "n", "set").join(by_set, "set", "left")
+    placed = classes.join(roots, "node", "left").select("set", "set2", "n", F.coalesce("root", "node").alias("_root"), "doc_id")
+    least = placed.groupBy("_root").agg(F.min("doc_id").alias("component_id"))
+    by_set = placed.drop("doc_id").join(least, "_root")
+    out = s.select("doc_id", "_t", "n", "set", "set2").join(by_set, ["set", "set2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "_t", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "_root")
 
 
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that stay, in their own columns: of each component the one of the least doc_id (of rows that
-    repeat it, one). The decision joins the documents by id and text."""
-    verdict = near_duplicates(docs, **parameters).where("kept").select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).distinct()
-    verdict = written(verdict, "kept")
+    """The documents that stay, in their own columns: of each component the one of the least doc_id; of texts that share
+    that id, the one of the least hash; of rows that repeat it, one. Only the decision travels: documents are joined
+    with it by id and text, and only rows that are repeated are gathered."""
+    kept = near_duplicates(docs, **parameters).where("kept")
+    one = kept.groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.coalesce("_root", "_t")).alias("_r"))
+    # the rows of the least text; a text without words is a component of its own
+    verdict = written(one.agg(F.min("_t").alias("_tt")).drop("_r").distinct(), "kept")
     d = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = d.join(verdict, d["doc_id"].eqNullSafe(verdict["_id"]) & (d["_t"] == verdict["_tt"]), "left_semi")
-    # only rows of one id can repeat each other, so this window's groups are those
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("_t"))
-    return out.withColumn("_n", n).where("_n = 1 OR doc_id IS NULL").select(*docs.columns)
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["_t"] == b["_tt"])
+    rows = d.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    twice = written(rows, "repeated")
+    out = d.join(verdict, same(d, verdict), "left_semi")
+    if twice.isEmpty():
+        return out.select(*docs.columns)
+    once = out.join(twice, same(out, twice), "left_anti")
+    return once.unionByName(out.join(twice, same(out, twice), "left_semi").dropDuplicates(["doc_id", "_t"])).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ a target stops at 3 times its source's size and the excess is reshared by weight
 
 A source's ratio of target to size gives every document floor(ratio) certain whole copies. The words still missing are
 drawn by Pareto order sampling (Rosen 1997): a document's inclusion probability p is proportional to its size, capped
-at one (such documents are certain too); its rank is [u / (1 - u)] / [p / (1 - p)] with u a hash of its id and content
-in (0, 1); the lowest ranks are taken until their words reach the target, the document that crosses it by its nearer
+at one (such documents are certain too); its rank is [u / (1 - u)] / [p / (1 - p)] with u a hash of its id and size (of its
+text, where it has no id) in (0, 1); the lowest ranks are taken until their words reach the target, the document that crosses it by its nearer
 side. So the sample's size is fixed in words, to within half a document.
 
 Scale: words are counted once, into a narrow written table (id, source, size). All per-source decisions need only the
@@ -14,12 +14,13 @@ histogram of sizes per source, and one pre-aggregated histogram of rank buckets;
 inside the one bucket of a source (about 1/4096 of it) in which the target is crossed. No window ever spans a source.
 
 Defined cases: null text has size 0; a document without words is taken 0 times; null source is a source of its own,
-last; repeated rows are drawn alike, each by itself; a table without words takes nothing; extra columns are ignored.
+last; rows that repeat id and size, or without an id the text, are drawn alike, all or none; a table without words takes
+nothing; extra columns, whatever their names, are ignored or come along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.llm.common import documents, fixed_hash, n_words, small, written
@@ -62,11 +63,11 @@ def _size_factors(hist: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, seed: int) -> DataFrame:
-    """Adds _key, struct(rank, doc_id, size), null where nothing can be drawn."""
-    u = (fixed_hash(F.col("doc_id"), F.col("size"), F.lit(seed)) + 0.5) / float(1 << 52)
+    """Adds _key, struct(rank, doc_id, size, draw), null where nothing can be drawn."""
+    u = (fixed_hash(F.col("draw"), F.col("size"), F.lit(seed)) + 0.5) / float(1 << 52)
     p = F.least(F.lit(1.0), F.col("c") * F.col("size"))
     rank = u * (1 - p) / ((1 - u) * p)
-    key = F.struct(rank.alias("rank"), F.col("doc_id"), F.col("size"))
+    key = F.struct(rank.alias("rank"), F.col("doc_id"), F.col("size"), F.col("draw"))
     return rows.withColumn("_key", F.when((F.col("missing") > 0) & (F.col("c") > 0) & (F.col("size") > 0), key))
 
 
@@ -78,7 +79,7 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_plan(sized: DataFrame, seed: int = 1) -> DataFrame:
     """One row per source: source, source_size, target, certain, missing, c, cutoff (the last key that is taken).
 
-    sized: doc_id, source, size.
+    sized: doc_id, source, size, draw (see sizes).
     """
     hist = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     plan = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
@@ -104,23 +105,29 @@ def mix_plan(sized: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
-    """Adds source_size, target and copies to rows (doc_id, source, size and others): a map over the rows."""
+    """Adds source_size, target and copies to rows (those of sizes and others): a map over the rows."""
     out = _ranked(_joined(rows, plan), seed)
     drawn = F.col("_key").isNotNull() & ((F.col("_key.rank") < F.col("below")) | F.coalesce(F.col("_key") <= F.col("cutoff"), F.lit(False)))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("long"))
     return out.drop("certain", "missing", "c", "cutoff", "below", "_key")
 
 
+def _sized(text: str) -> list[Column]:
+    """doc_id, source, size and draw, what a document's draw is made of: its id, or without one its text's hash."""
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return [F.col("doc_id"), F.col("source"), n_words(F.col(text)).alias("size"), draw.alias("draw")]
+
+
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size, written once so that the texts are read once."""
-    return written(docs.select("doc_id", "source", n_words(F.col(text)).alias("size")), "sizes")
+    """doc_id, source, size, draw, written once so that the texts are read once."""
+    return written(docs.select(*_sized(text)), "sizes")
 
 
 def mixed(docs: DataFrame, text: str = "text", seed: int = 1) -> DataFrame:
     """The mix itself: the documents in their own columns, each as often as it is taken."""
-    sized = docs.withColumn("size", n_words(F.col(text)))
-    out = with_copies(sized, mix_plan(sizes(docs, text), seed), seed)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).where("copies > 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *_sized(text))
+    out = with_copies(rows, mix_plan(sizes(docs, text), seed), seed).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

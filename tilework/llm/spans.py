@@ -11,7 +11,8 @@ depend on it. Other models, and texts that hold the word mark itself, go to the
 
 Runs in mapInArrow: a row is a text, nothing is shuffled, memory is a batch and the units.
 
-Defined cases: null is the empty text, whose ids are the end id alone; repeated rows repeat; extra columns are ignored.
+Defined cases: null is the empty text, whose ids are the end id alone; what a model without bytes lacks is an unknown piece
+with the span of its characters; repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,7 +181,12 @@ class Encoder:
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """(n, 2): start and end of each id's original bytes (the end id: none, at the text's end)."""
         _, align = self.normalise(text)
-        ends = np.cumsum(self.lengths[ids])
+        lengths = self.lengths[ids]
+        unknown = np.flatnonzero(ids == self.sp.unk_id())
+        if len(unknown):  # a model without bytes writes one id for a run of characters that it lacks
+            pieces = self.sp.encode(text, out_type=str)
+            lengths[unknown] = [len(pieces[i].encode()) for i in unknown.tolist()]
+        ends = np.cumsum(lengths)
         if len(ids) and ends[-1] != len(align) - 1:
             raise ValueError("the pieces do not tile the normalised text")
         stops = align[ends]

@@ -2,12 +2,12 @@
 
 ``mux`` stores a payload as a transport stream of 188-byte packets: a program association table, a program map table,
 and one elementary stream of private data in PES packets with presentation times; every RANDOM_ACCESS-th unit is a
-random-access point with a clock reference. ``demux`` reads any such stream back: it finds the packets' sync, parses the
+random-access point with a clock reference, and the tables stand before it, so that a receiver can begin there. ``demux`` reads any such stream back: it finds the packets' sync, parses the
 tables (checking their CRC), checks the continuity counter of each packet id, reassembles the elementary packets, and
 keeps their timestamps with the random-access points.
 
 Both run a row at a time in mapInArrow (a stream is one value of the column), so nothing is shuffled and memory is a
-slice of a batch.
+slice of a batch. The media column is written as a table, and read back from it.
 
 Defined cases: null is the empty payload; damaged input gives counts of errors rather than an exception; repeated rows
 repeat; extra columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilework.llm import arrowtext as at
-from tilework.llm.common import documents, in_arrow
+from tilework.llm.common import documents, in_arrow, written
 
 PACKET, SYNC = 188, 0x47
 MAP_PID, DATA_PID, PROGRAM, PRIVATE = 0x1000, 0x0100, 1, 0x06
@@ -58,13 +58,14 @@ def _section(table: int, number: int, body: bytes) -> bytes:
     return head + body + struct.pack(">I", section_crc(head + body))
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (struct.pack(">BHBB", SYNC, 0x4000 | pid, 0x10, 0) + section).ljust(PACKET, b"\xff")
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    return (struct.pack(">BHBB", SYNC, 0x4000 | pid, 0x10 | counter, 0) + section).ljust(PACKET, b"\xff")
 
 
-_TABLES = _table_packet(0, _section(0x00, 1, struct.pack(">HH", PROGRAM, 0xE000 | MAP_PID))) + _table_packet(
-    MAP_PID, _section(0x02, PROGRAM, struct.pack(">HHBHH", 0xE000 | DATA_PID, 0xF000, PRIVATE, 0xE000 | DATA_PID, 0xF000))
-)
+_PROGRAMS = _section(0x00, 1, struct.pack(">HH", PROGRAM, 0xE000 | MAP_PID))
+_MAP = _section(0x02, PROGRAM, struct.pack(">HHBHH", 0xE000 | DATA_PID, 0xF000, PRIVATE, 0xE000 | DATA_PID, 0xF000))
+#: Both tables' packets, by continuity counter.
+_TABLES = [_table_packet(0, _PROGRAMS, c) + _table_packet(MAP_PID, _MAP, c) for c in range(16)]
 
 
 def _stamp(pts: int) -> bytes:
@@ -72,13 +73,14 @@ def _stamp(pts: int) -> bytes:
 
 
 def mux(payload: bytes) -> bytes:
-    out, counter = [_TABLES], 0
+    out, counter = [] if payload else [_TABLES[0]], 0
     for unit, start in enumerate(range(0, len(payload), UNIT_BYTES)):
         data = payload[start : start + UNIT_BYTES]
         pts = unit * UNIT_TICKS & 0x1FFFFFFFF
         pes = b"\x00\x00\x01\xbd" + struct.pack(">HBBB", len(data) + 8, 0x80, 0x80, 5) + _stamp(pts) + data
         extra = b""
         if unit % RANDOM_ACCESS == 0:
+            out.append(_TABLES[unit // RANDOM_ACCESS & 15])
             extra = struct.pack(">BIH", 0x50, pts >> 1, (pts & 1) << 15 | 0x7E00)
         at_, first = 0, 0x4000
         while at_ < len(pes):
@@ -163,7 +165,9 @@ def demux(data: bytes) -> Stream:
             raw = b"".join(parts[pid])
             if pid == 0 or pid in maps:
                 _tables(s, pid, raw)
-                maps.update(s.programs.values())
+                for found in set(s.programs.values()) - maps:
+                    parts[found] = []  # what came before the program was known isn't a whole section
+                    maps.add(found)
             elif (unit := _pes(raw, access.get(pid, False))) is not None:
                 s.units.setdefault(pid, []).append(unit)
         parts[pid] = []
@@ -232,6 +236,13 @@ def feature(s: Stream) -> str:
     return ";".join([*out, f"continuity={s.continuity_errors}", f"crc={s.crc_errors}", f"sync={s.sync_losses}"])
 
 
+def times(s: Stream) -> tuple[int | None, int | None, list[int | None]]:
+    """Presentation times of the first and the last unit that has one, and of the random-access points, in 1/90,000 s."""
+    units = [u for _, units in sorted(s.units.items()) for u in units]
+    known = [u.pts for u in units if u.pts is not None]
+    return (known[0] if known else None, known[-1] if known else None, [u.pts for u in units if u.random_access])
+
+
 def padded(raw: bytes) -> bytes:
     """raw with zeros up to a positive multiple of BLOCK."""
     return raw.ljust(max(BLOCK, -(-len(raw) // BLOCK) * BLOCK), b"\0")
@@ -270,7 +281,8 @@ def access_units(media: DataFrame) -> DataFrame:
 
 
 def described(media: DataFrame) -> DataFrame:
-    """From (doc_id, n_bytes, media), read back: the digests of payload and stored form, and the stream's features."""
+    """From (doc_id, n_bytes, media): the digests of payload and stored form, the stream's features, and the presentation times
+    of its units (first and last) and of all random-access points."""
 
     def run(batches):
         for batch in batches:
@@ -279,16 +291,16 @@ def described(media: DataFrame) -> DataFrame:
                 raw = data.as_py()
                 s = demux(raw)
                 payload = b"".join(u.data for u in s.units.get(DATA_PID, []))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), *times(s)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "first_pts", "last_pts", "random_access_pts"],
             )
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, first_pts long, last_pts long, random_access_pts array<long>"
     return in_arrow(media, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return described(stored(documents(spark, sf_dir)))
+    return described(written(stored(documents(spark, sf_dir)), "media"))
