@@ -189,3 +189,21 @@ def test_counts_sum_to_parents(spark, sf):
     tiles = plan.select("z", "x", "y").distinct()
     text = tiling.keep_tiles(plan.hint("merge"), tiles)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_lines_meet_a_box_where_clipping_leaves_something(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tilework.functions import clip
+
+    pick = random.Random(5)
+    rows = []
+    for i in range(400):
+        parts = [[[(pick.randint(-6, 6) / 2, pick.randint(-6, 6) / 2) for _ in range(pick.randint(1, 5))]] for _ in range(pick.randint(1, 2))]
+        rows.append((i, ("LineString" if len(parts) == 1 else "MultiLineString", parts)))
+    df = spark.createDataFrame(rows, "id int, geom struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>")
+    env = F.struct(*[F.lit(v).alias(k) for k, v in (("xmin", -1.0), ("ymin", -0.5), ("xmax", 1.5), ("ymax", 1.0))])
+    got = df.select(clip.lines_meet("geom", env).alias("a"), clip.clip("geom", env)["kind"].isNotNull().alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and 50 < sum(r["a"] for r in got) < 350

@@ -102,6 +102,27 @@ def clip(geom, env) -> Column:
     return _clip(g["kind"], g["parts"], e["xmin"], e["ymin"], e["xmax"], e["ymax"])
 
 
+def lines_meet(geom, env) -> Column:
+    """Whether a segment of a line (or of several) meets a box, edges included: the same test as ``clip``'s, without Python."""
+    e = _c(env)
+
+    def meets(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        sides = [(-dx, a["x"] - e["xmin"]), (dx, e["xmax"] - a["x"]), (-dy, a["y"] - e["ymin"]), (dy, e["ymax"] - a["y"])]
+        enter = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p) for p, q in sides])
+        leave = F.least(F.lit(1.0), *[F.when(p > 0, q / p) for p, q in sides])
+        beside = [(p == 0) & (q < 0) for p, q in sides]
+        return ~(beside[0] | beside[1] | beside[2] | beside[3]) & (enter <= leave)
+
+    def one(part: Column) -> Column:
+        line = part[0]
+        segments = F.transform(line, lambda p, i: F.struct(F.get(line, i - 1).alias("a"), p.alias("b")))
+        return F.exists(F.filter(segments, lambda s: s["a"].isNotNull()), meets)
+
+    return F.exists(_c(geom)["parts"], one)
+
+
 def clipped(df, geom: str, env: Column):
     """V04 on a DataFrame: geom becomes its part inside env, rows without one are dropped; ``clipped`` says so."""
     out = df.withColumn(geom, clip(F.col(geom), env))

@@ -105,11 +105,13 @@ def assign_tiles(
     if tiles is not None:
         rows = keep_tiles(rows, tiles)
     if exact:
-        simple = F.col("geom")["kind"] == "Point"
-        shape = rows.where(~simple)
-        env = lonlat_envelope(padding, grid_name)
-        shape = shape.withColumn("_in", clips.clip(F.col("geom"), env)).where(F.col("_in")["kind"].isNotNull()).drop("_in")
-        rows = rows.where(simple).unionByName(shape)
+        # points by their box and lines by a Column test; Python sees the other kinds' shapes only
+        kind, env = F.col("geom")["kind"], lonlat_envelope(padding, grid_name)
+        rows = rows.withColumn("_e", env)
+        native = kind.isin("Point", "LineString", "MultiLineString")
+        inside = F.when(kind == "Point", F.lit(True)).when(native, clips.lines_meet("geom", F.col("_e")))
+        rows = rows.withColumn("_in", inside).where(F.coalesce("_in", F.lit(True)))
+        rows = rows.where(native | clips.clip(F.when(~native, F.col("geom")), F.col("_e"))["kind"].isNotNull()).drop("_e", "_in")
     return rows.drop("_b", "_lo", "_hi")
 
 

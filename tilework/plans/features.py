@@ -35,10 +35,10 @@ def _(spark, sf):
     return x.select("id", "b.xmin", "b.ymin", "b.xmax", "b.ymax", g.is_usable("geom").alias("usable"))
 
 
-@query("bbox_filter", f"SELECT id FROM ({fx.LINES}) WHERE list_min({XS}) <= 40 AND list_max({XS}) >= -10 AND list_min({YS}) <= 60 AND list_max({YS}) >= 35 AND id % 3 = 0")
+@query("bbox_filter", f"SELECT id FROM ({fx.LINES}) WHERE list_min({XS}) <= 40 AND list_max({XS}) >= -10 AND list_min({YS}) <= 60 AND list_max({YS}) >= 35 AND len(pts) > 8")
 def _(spark, sf):
     env = F.struct(*[F.lit(v).alias(k) for k, v in (("xmin", -10.0), ("ymin", 35.0), ("xmax", 40.0), ("ymax", 60.0))])
-    return fx.lines(spark, sf).where(g.bbox_intersects("geom", env)).where("id % 3 = 0").select("id")  # V17: a further predicate
+    return fx.lines(spark, sf).where(g.bbox_intersects("geom", env)).where(F.size(g.points("geom")) > 8).select("id")  # V17: a further predicate
 
 
 @query("reproject", f"SELECT id, round(list_sum([6378137.0 * radians(p.lon) FOR p IN pts]), 2) AS sx, round(list_sum([6378137.0 * ln(tan(pi() / 4 + radians(p.lat) / 2)) FOR p IN pts]), 2) AS sy FROM ({fx.LINES})")
@@ -326,7 +326,7 @@ def _(spark, sf):
 @query(
     "expand_search",
     f"""WITH t AS (SELECT DISTINCT 8 AS z, floor((lon + 180) / 360 * 256)::INT AS x, floor((1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 256)::INT AS y FROM (SELECT {fx.PLACE.format('s_suppkey')} FROM supplier)),
-p AS (SELECT 6378137.0 * radians(lon) AS mx, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS my FROM ({fx.POINTS}) WHERE id % 50 = 0),
+p AS (SELECT 6378137.0 * radians(lon) AS mx, 6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS my FROM ({fx.POINTS})),
 l AS (SELECT *, {C} / 256 AS s, {C} * (x / 256.0 - 0.5) AS x0, {C} * (0.5 - (y + 1) / 256.0) AS y0 FROM t, (SELECT unnest(range(0, 8))::INT AS level)),
 g AS (SELECT *, s * (8.0 ** level - 1) / 2 AS g FROM l WHERE (s * 8.0 ** level) ** 2 < 1.61e15 * 64)
 SELECT t.z, t.x, t.y, m.level FROM t LEFT JOIN (SELECT x, y, min(level) AS level FROM g JOIN p ON mx BETWEEN x0 - g AND x0 + s + g AND my BETWEEN y0 - g AND y0 + s + g GROUP BY x, y) m USING (x, y)""",
@@ -334,5 +334,5 @@ SELECT t.z, t.x, t.y, m.level FROM t LEFT JOIN (SELECT x, y, min(level) AS level
 def _(spark, sf):
     s = fx.table(spark, sf, "supplier").select(*fx.place("s_suppkey"))
     t = s.select(F.lit(8).alias("z"), grid.tile_x("lon", F.lit(8)).alias("x"), grid.tile_y("lat", F.lit(8)).alias("y")).distinct()
-    p = fx.points(spark, sf).where("id % 50 = 0").select(grid.lonlat_to_mercator("lon", "lat").alias("m")).select("m.mx", "m.my")
+    p = fx.points(spark, sf).select(grid.lonlat_to_mercator("lon", "lat").alias("m")).select("m.mx", "m.my")
     return tiling.expand_search(t, p)

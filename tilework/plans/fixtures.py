@@ -38,15 +38,14 @@ def point_features(spark: SparkSession, sf: str) -> DataFrame:
 
 LINES = f"""
 SELECT c_custkey AS id, list_prepend({{'lon': (c_custkey * 7919 % 36000) / 100.0 - 180, 'lat': (c_custkey * 104729 % 17000) / 100.0 - 85}}, pts) AS pts FROM customer JOIN (
-  SELECT o_custkey, list({{'lon': lon, 'lat': lat}} ORDER BY o_orderkey) AS pts FROM (
-    SELECT o_custkey, o_orderkey, {PLACE.format('o_orderkey')}, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 10 GROUP BY o_custkey)
+  SELECT o_custkey, list({{'lon': lon, 'lat': lat}} ORDER BY o_orderkey) AS pts FROM (SELECT o_custkey, o_orderkey, {PLACE.format('o_orderkey')} FROM orders) GROUP BY o_custkey)
 ON o_custkey = c_custkey"""
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A customer's point and those of their first ten orders, as lines: id, geom."""
+    """A customer's point and those of all their orders, as lines: id, geom."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", *place("o_orderkey"))
-    pts = o.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", "lon", "lat"))), 1, 10).alias("p"))
+    pts = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "lon", "lat"))).alias("p"))
     c = points(spark, sf).select("id", "lon", "lat").join(pts, F.col("id") == F.col("o_custkey"))
     tail = F.transform("p", lambda v: F.struct(v["lon"].alias("x"), v["lat"].alias("y")))
     return c.select("id", g.line(F.concat(F.array(g.xy("lon", "lat")), tail)).alias("geom"))
@@ -128,7 +127,7 @@ OSM = {
     "osm_members": """
 SELECT l_partkey AS relation_id, CASE l_linenumber % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'W' ELSE 'R' END AS member_type,
   CASE l_linenumber % 3 WHEN 0 THEN l_suppkey WHEN 1 THEN l_orderkey ELSE l_partkey // 2 + 1 END AS member_id, l_orderkey * 10 + l_linenumber AS sequence_id
-FROM lineitem WHERE l_orderkey % 5 = 0""",
+FROM lineitem""",
 }
 
 
@@ -144,7 +143,7 @@ def osm(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "way_nodes": li.select(F.col("l_orderkey").alias("way_id"), (F.col("l_partkey") % n + 1).alias("node_id"), F.col("l_linenumber").alias("sequence_id")),
         "users": table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
         "relations": table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit(1).cast("long").alias("user_id"), *blank),
-        "members": li.where("l_orderkey % 5 = 0").select(
+        "members": li.select(
             F.col("l_partkey").alias("relation_id"), F.when(kind == 0, "N").when(kind == 1, "W").otherwise("R").alias("member_type"),
             F.when(kind == 0, F.col("l_suppkey")).when(kind == 1, F.col("l_orderkey")).otherwise(F.floor(F.col("l_partkey") / 2) + 1).cast("long").alias("member_id"),
             F.lit("part").alias("member_role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence_id"),

@@ -182,7 +182,7 @@ def _(spark, sf):
 CLOSED = f"""
 osm_n AS ({fx.OSM['osm_nodes']}),
 fr AS (SELECT id, (lon + 180) / 360 * 8.0 AS fx, (1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 8.0 AS fy FROM osm_n),
-nd AS (SELECT id, 3 AS z, x::INT AS x, y::INT AS y FROM fr f, LATERAL (SELECT unnest(range(greatest(0, ceil(f.fx)::INT - 1), least(7, floor(f.fx)::INT) + 1)) AS x), LATERAL (SELECT unnest(range(greatest(0, ceil(f.fy)::INT - 1), least(7, floor(f.fy)::INT) + 1)) AS y) WHERE (x + y) % 3 = 0),
+nd AS (SELECT id, 3 AS z, x::INT AS x, y::INT AS y FROM fr f, LATERAL (SELECT unnest(range(greatest(0, ceil(f.fx)::INT - 1), least(7, floor(f.fx)::INT) + 1)) AS x), LATERAL (SELECT unnest(range(greatest(0, ceil(f.fy)::INT - 1), least(7, floor(f.fy)::INT) + 1)) AS y)),
 wn AS ({fx.OSM['osm_way_nodes']}), ways AS ({fx.OSM['osm_ways']}), mem AS ({fx.OSM['osm_members']}), rel AS ({fx.OSM['osm_relations']}),
 w AS (SELECT DISTINCT z, x, y, way_id AS id FROM nd JOIN wn ON wn.node_id = nd.id WHERE way_id IN (SELECT id FROM ways)),
 d AS (SELECT DISTINCT z, x, y, relation_id AS id FROM (SELECT z, x, y, relation_id FROM nd JOIN mem ON member_type = 'N' AND member_id = nd.id UNION ALL SELECT z, x, y, relation_id FROM w JOIN mem ON member_type = 'W' AND member_id = w.id)),
@@ -191,7 +191,7 @@ r AS (SELECT *, 0 AS level FROM d UNION ALL SELECT *, 1 FROM par)"""
 
 
 def osm_tiles(spark):
-    return spark.range(64).select(F.lit(3).alias("z"), (F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y")).where("(x + y) % 3 = 0")
+    return spark.range(64).select(F.lit(3).alias("z"), (F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
 
 
 @query("osm_nodes", f"WITH {CLOSED} SELECT nd.x, nd.y, nd.id, n_name AS \"user\" FROM nd JOIN osm_n USING (id) LEFT JOIN nation ON n_nationkey = user_id")
@@ -215,7 +215,7 @@ def _(spark, sf):
     return osm.relations_of(at, w, o["members"]).select("x", "y", "id", "level")
 
 
-@query("osm_extract", f"WITH {CLOSED} SELECT x, y, (SELECT count(*) FROM nd WHERE nd.x = t.x AND nd.y = t.y) AS n_nodes, (SELECT count(*) FROM w WHERE w.x = t.x AND w.y = t.y) AS n_ways, (SELECT count(*) FROM r JOIN rel USING (id) WHERE r.x = t.x AND r.y = t.y) AS n_relations FROM (SELECT a::INT AS x, b::INT AS y FROM range(8) AS q(a), range(8) AS s(b) WHERE (a + b) % 3 = 0) t")
+@query("osm_extract", f"WITH {CLOSED} SELECT x, y, (SELECT count(*) FROM nd WHERE nd.x = t.x AND nd.y = t.y) AS n_nodes, (SELECT count(*) FROM w WHERE w.x = t.x AND w.y = t.y) AS n_ways, (SELECT count(*) FROM r JOIN rel USING (id) WHERE r.x = t.x AND r.y = t.y) AS n_relations FROM (SELECT a::INT AS x, b::INT AS y FROM range(8) AS q(a), range(8) AS s(b)) t")
 def _(spark, sf):
     o = fx.osm(spark, sf)
     return osm.osm_extract(osm_tiles(spark), o["nodes"], o["ways"], o["way_nodes"], o["relations"], o["members"]).select("x", "y", "n_nodes", "n_ways", "n_relations")
