@@ -4,13 +4,18 @@ functions can't say it. Row-wise helpers stay small; Spark deals out the rows.""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tilework.functions.geom import GEOM_TYPE, _c
 
 Ring = np.ndarray  # (n, 2)
+ARROW_GEOM = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
+
+
+def _geometries(kinds: list, parts: list) -> pa.Array:
+    return pa.array([{"kind": k, "parts": p} for k, p in zip(kinds, parts, strict=True)], ARROW_GEOM)
 
 
 def _ring(points) -> Ring:
@@ -90,10 +95,11 @@ def clip_geometry(kind: str, parts, box) -> tuple[str, list] | None:
     return ("Polygon" if len(out) == 1 else "MultiPolygon", out) if out else None
 
 
-@F.pandas_udf(GEOM_TYPE)
-def _clip(kind: pd.Series, parts: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-    out = [None if k is None or a is None else clip_geometry(k, a, b) for k, a, *b in zip(kind, parts, x0, y0, x1, y1, strict=True)]
-    return pd.DataFrame({"kind": [o and o[0] for o in out], "parts": [o and o[1] for o in out]})
+@F.arrow_udf(GEOM_TYPE)
+def _clip(kind: pa.Array, parts: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (kind, parts, x0, y0, x1, y1)), strict=True)
+    out = [None if k is None or a is None else clip_geometry(k, a, b) for k, a, *b in rows]
+    return _geometries([o and o[0] for o in out], [o and o[1] for o in out])
 
 
 def clip(geom, env) -> Column:
@@ -171,15 +177,15 @@ def simplify_ring(ring: Ring, tolerance: float, closed: bool) -> Ring:
     return ring[keep]
 
 
-@F.pandas_udf(GEOM_TYPE)
-def _simplify(kind: pd.Series, parts: pd.Series, tolerance: pd.Series) -> pd.DataFrame:
-    out = []
-    for k, a, t in zip(kind, parts, tolerance, strict=True):
+@F.arrow_udf(GEOM_TYPE)
+def _simplify(kind: pa.Array, parts: pa.Array, tolerance: pa.Array) -> pa.Array:
+    out, kinds = [], kind.to_pylist()
+    for k, a, t in zip(kinds, parts.to_pylist(), tolerance.to_pylist(), strict=True):
         if k is None or a is None or t is None or np.isnan(t) or "Point" in k:
             out.append(a)
         else:
             out.append([[_rows(simplify_ring(_ring(r), round(float(t), 2), "Polygon" in k)) for r in p] for p in a])
-    return pd.DataFrame({"kind": kind, "parts": out})
+    return _geometries(kinds, out)
 
 
 def simplify(geom, tolerance) -> Column:
@@ -188,13 +194,14 @@ def simplify(geom, tolerance) -> Column:
     return _simplify(g["kind"], g["parts"], _c(tolerance).cast("double"))
 
 
-@F.pandas_udf(GEOM_TYPE)
-def _mask(kind: pd.Series, parts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(GEOM_TYPE)
+def _mask(kind: pa.Array, parts: pa.Array) -> pa.Array:
     """All coordinates of the batch are masked as one array and put back in their nesting."""
+    parts = parts.to_pylist()
     flat = np.array([v for a in parts if a is not None for p in a for r in p for q in r for v in (q["x"], q["y"])], dtype=float)
     values = iter((flat.view(np.int64) & ~np.int64(0xFFFFFF)).view(float).tolist())
     out = [None if a is None else [[[{"x": next(values), "y": next(values)} for _ in r] for r in p] for p in a] for a in parts]
-    return pd.DataFrame({"kind": kind, "parts": out})
+    return _geometries(kind.to_pylist(), out)
 
 
 def mask_coords(geom) -> Column:
