@@ -91,3 +91,26 @@ def test_zoom_lists(spark, sf, stack, zooms):
     p = fx.points(spark, sf).select("id")
     got = tiling.features_for_zooms([None if q is None else p.where(F.col("id") % 2 == q % 2) for q in stack], zooms).groupBy("z").count().collect()
     assert {r["z"] for r in got} == {1, 2, 3}
+
+
+def test_process_states(spark):
+    at = "2024-01-01 12:00:00"
+    idle = {1: "shown", 10: "shown", 11: "hidden", 60: "hidden", 61: "expired", 360: "expired", 361: "dropped"}
+    rows = spark.createDataFrame([(m, m) for m in idle], "pid long, m int").select("pid", F.lit("x").alias("message"), (F.lit(at).cast("timestamp") - F.expr("make_interval(0, 0, 0, 0, 0, m)")).alias("ts"))
+    later = rows.limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    got = streams.process_states(rows.unionByName(later), at)
+    assert {r["pid"]: r["state"] for r in got.collect()} == idle
+    assert streams.process_states(rows.where("pid < 0"), at).count() == 0
+
+
+def test_flaky_maker_is_kept(spark, tmp_path):
+    """A maker that answers by chance: with keep, every tile is made or failed, once, and no attempt is rendered again."""
+    t = spark.range(200).select(F.lit(8).alias("z"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"))
+
+    def keep(df, n):
+        df.write.parquet(str(tmp_path / f"a{n}"))
+        return spark.read.parquet(str(tmp_path / f"a{n}"))
+
+    maker = lambda df, n: df.withColumn("body", F.lit("b")).withColumn("error", F.when(F.expr("rand() < 0.5"), "no"))
+    made, failed = streams.seed_batch(t, maker, 3, keep)
+    assert sorted([r["x"] for r in made.collect()] + [r["x"] for r in failed.collect()]) == list(range(200))

@@ -73,7 +73,7 @@ def _(spark, sf):
     return p.select("id", F.coalesce(given.cast("string"), own).alias("fid"))
 
 
-@query("feature_hashes")
+@query("feature_hashes", f"SELECT id, substr(md5('{{\"kind\":\"LineString\",\"parts\":[[[' || list_aggregate([('{{\"x\":' || p.lon || ',\"y\":' || p.lat || '}}') FOR p IN pts], 'string_agg', ',') || ']]]}}'), 1, 10) AS fid FROM ({fx.LINES})")
 def _(spark, sf):
     return fx.lines(spark, sf).select("id", g.feature_id("geom").alias("fid"))
 
@@ -103,7 +103,15 @@ def _(spark, sf):
     return fx.point_features(spark, sf).select("id", g.to_esri("geom").alias("esri"))
 
 
-@query("esri_shapes")
+CORNERS = (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))
+PAIR = lambda x, y: f"'[' || printf('%.2f', {x}) || ',' || printf('%.2f', {y}) || ']'"
+
+
+@query(
+    "esri_shapes",
+    f"""SELECT id, '{{"paths":[[' || list_aggregate([{PAIR('p.lon', 'p.lat')} FOR p IN pts], 'string_agg', ',') || ']]}}' AS esri, 'esriGeometryPolyline' AS type FROM ({fx.LINES}) UNION ALL
+SELECT id, '{{"rings":[[' || {" || ',' || ".join(PAIR(x, y) for x, y in CORNERS)} || ']]}}', 'esriGeometryPolygon' FROM ({fx.BOXES})""",
+)
 def _(spark, sf):
     return fx.lines(spark, sf).select("id", g.to_esri("geom", 2).alias("esri"), g.esri_type("geom").alias("type")).unionByName(fx.boxes(spark, sf).select("id", g.to_esri("geom", 2).alias("esri"), g.esri_type("geom").alias("type")))
 
@@ -177,7 +185,17 @@ def _(spark, sf):
     return tiling.features_for_zooms([None, p.where("balance > 5000"), p.where("balance > 0")], [0, 1, 2, 3]).groupBy("z").agg(F.count("*").alias("n"))
 
 
-@query("thin_by_spacing")
+THINNED = f"""WITH RECURSIVE p AS (SELECT id, x, y, (fx - x) * 256 AS px, (fy - y) * 256 AS py, row_number() OVER (PARTITION BY x, y ORDER BY id) AS n FROM (
+  SELECT id, floor(fx)::INT AS x, floor(fy)::INT AS y, fx, fy FROM (SELECT id, (lon + 180) / 360 * 8.0 AS fx, (1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 8.0 AS fy FROM ({fx.POINTS})))),
+k(x, y, n, kept) AS (
+  SELECT x, y, n, [{{'id': id, 'px': px, 'py': py}}] FROM p WHERE n = 1
+  UNION ALL
+  SELECT p.x, p.y, p.n, CASE WHEN len([q FOR q IN k.kept IF (q.px - p.px) * (q.px - p.px) + (q.py - p.py) * (q.py - p.py) <= 256]) = 0 THEN list_append(k.kept, {{'id': p.id, 'px': p.px, 'py': p.py}}) ELSE k.kept END
+  FROM k JOIN p ON p.x = k.x AND p.y = k.y AND p.n = k.n + 1)
+SELECT 3 AS z, x, y, unnest([q.id FOR q IN kept]) AS id FROM (SELECT x, y, max_by(kept, n) AS kept FROM k GROUP BY x, y)"""
+
+
+@query("thin_by_spacing", THINNED)
 def _(spark, sf):
     a = tiling.assign_tiles(fx.point_features(spark, sf), [3], edges="half_open").drop("geom", "props")
     return tiling.thin_by_spacing(a, 16).select("z", "x", "y", "id")
@@ -185,14 +203,7 @@ def _(spark, sf):
 
 @query(
     "thin_in_catalyst",
-    f"""WITH RECURSIVE p AS (SELECT id, x, y, (fx - x) * 256 AS px, (fy - y) * 256 AS py, row_number() OVER (PARTITION BY x, y ORDER BY id) AS n FROM (
-  SELECT id, floor(fx)::INT AS x, floor(fy)::INT AS y, fx, fy FROM (SELECT id, (lon + 180) / 360 * 8.0 AS fx, (1 - ln(tan(pi() / 4 + radians(lat) / 2)) / pi()) / 2 * 8.0 AS fy FROM ({fx.POINTS})))),
-k(x, y, n, kept) AS (
-  SELECT x, y, n, [{{'id': id, 'px': px, 'py': py}}] FROM p WHERE n = 1
-  UNION ALL
-  SELECT p.x, p.y, p.n, CASE WHEN len([q FOR q IN k.kept IF (q.px - p.px) * (q.px - p.px) + (q.py - p.py) * (q.py - p.py) <= 256]) = 0 THEN list_append(k.kept, {{'id': p.id, 'px': p.px, 'py': p.py}}) ELSE k.kept END
-  FROM k JOIN p ON p.x = k.x AND p.y = k.y AND p.n = k.n + 1)
-SELECT 3 AS z, x, y, unnest([q.id FOR q IN kept]) AS id FROM (SELECT x, y, max_by(kept, n) AS kept FROM k GROUP BY x, y)""",
+    THINNED,
 )
 def _(spark, sf):
     a = tiling.assign_tiles(fx.point_features(spark, sf), [3], edges="half_open").drop("geom", "props")
@@ -221,7 +232,11 @@ def _(spark, sf):
     return encode.geojson_tiles(a, precision_by_zoom=True).select("z", "x", "y", "n", F.length("body").alias("length"))
 
 
-@query("esri_tiles")
+@query(
+    "esri_tiles",
+    f"""SELECT z, x, y, count(*) AS n, '{{"spatialReference":{{"wkid":4326}},"geometryType":"esriGeometryPoint","features":[' || string_agg(t, ',' ORDER BY id) || ']}}' AS body FROM (
+  SELECT z, {fx.TX} AS x, {fx.TY} AS y, id, '{{"attributes":{{"name":"' || name || '","segment":"' || segment || '"}},"geometry":{{"x":' || printf('%.6f', lon) || ',"y":' || printf('%.6f', lat) || '}}}}' AS t FROM {PZ} WHERE z = 4) GROUP BY z, x, y""",
+)
 def _(spark, sf):
     return encode.esri_tiles(assigned(spark, sf, [4]))
 

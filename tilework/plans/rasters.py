@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tilework.functions import grid
@@ -128,7 +130,15 @@ def _(spark, sf):
     return raster.pixelate(fx.pixels(spark, sf), 5, 16).select(*KEYS, "r", "g")
 
 
-@query("blur")
+def _blur_sql(radius: int, size: int) -> str:
+    """Both passes: each pixel spread over the taps, places beyond an edge clamped to it."""
+    taps = [math.exp(-0.5 * (o / (radius / 2)) ** 2) for o in range(-radius, radius + 1)]
+    taps = ", ".join(f"({o}, {w / sum(taps)!r}::DOUBLE)" for o, w in zip(range(-radius, radius + 1), taps, strict=True))
+    once = lambda src, p, q: f"SELECT s.x, t.i AS {p}, s.{q}, sum(s.r * w) AS r, sum(s.a * w) AS a FROM (SELECT unnest(range(0, {size}))::INT AS i) t, (VALUES {taps}) k(o, w), {src} s WHERE s.{p} = greatest(0, least({size - 1}, t.i + o)) GROUP BY ALL"
+    return f"WITH p AS (SELECT x, px, py, r, a FROM {P}), h AS ({once('p', 'px', 'py')}), v AS ({once('h', 'py', 'px')}) SELECT x, px, py, round(r, 6) AS r, round(a, 6) AS a FROM v"
+
+
+@query("blur", _blur_sql(2, 16))
 def _(spark, sf):
     return raster.blur(fx.pixels(spark, sf), 2, 16).select(*KEYS, *R6("r", "a"))
 
@@ -140,7 +150,11 @@ def _(spark, sf):
     return s.groupBy(F.col("x").alias("tx"), F.col("y").alias("ty"), "px", "py").agg(F.sum("r").alias("r"))
 
 
-@query("mosaic")
+@query(
+    "mosaic",
+    f"""SELECT px, py, r, g, b, a FROM (SELECT (x * 16 + px - round((1.0 / 360 * 1024) * 16 - 50))::INT AS px, (py - round((1 - ln(tan(pi() / 4 + radians(85.0) / 2)) / pi()) / 2 * 1024 * 16 - 40))::INT AS py, r, g, b, a FROM {P})
+WHERE px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 79""",
+)
 def _(spark, sf):
     p = fx.pixels(spark, sf)
     frame = raster.mosaic_frame(center=(85.0, -179.0), zoom=10, size=(100, 80), dim=16)

@@ -58,6 +58,17 @@ def idle_processes(stream: DataFrame, gap: str = "10 minutes", delay: str = "1 h
     return spans.select("pid", F.col("w.start").alias("first"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("last"), "n")
 
 
+def process_states(messages: DataFrame, now, hide: str = "10 minutes", expire: str = "1 hour", drop: str = "6 hours") -> DataFrame:
+    """Pid, last, message (the newest one) and state of each process at a time: shown, hidden once idle for longer than
+    hide, expired once its messages are older than expire, dropped once idle for longer than drop. Messages after now don't
+    count; ties take the greater message. On a stream, in update mode, each row replaces the pid's earlier one."""
+    at = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    last = messages.where(F.col("ts") <= at).groupBy("pid").agg(F.max(F.struct("ts", "message")).alias("m"))
+    older = lambda span: F.col("m.ts") < at - F.expr(f"INTERVAL {span}")
+    state = F.when(older(drop), "dropped").when(older(expire), "expired").when(older(hide), "hidden").otherwise("shown")
+    return last.select("pid", F.col("m.ts").alias("last"), F.col("m.message").alias("message"), state.alias("state"))
+
+
 def request_hits(stream: DataFrame, tiles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Requests (ts, path) with outcome: bad path, unknown layer, out of bounds, hit or miss, against the stored tiles
     (layer, z, x, y, format) and the catalog."""
@@ -86,12 +97,19 @@ def refresh_areas(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(lambda df, n: apply(df.select(*KEY).distinct(), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def seed_batch(tiles: DataFrame, render: Callable[[DataFrame, int], DataFrame], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """T07's step: (made, failed). render(tiles, attempt) adds body and error; tiles with an error are tried again."""
+def seed_batch(tiles: DataFrame, render: Callable[[DataFrame, int], DataFrame], attempts: int = 3, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """T07's step: (made, failed). render(tiles, attempt) adds body and error; tiles with an error are tried again.
+
+    keep(rendered, attempt) writes an attempt's rows and returns what was written, so that nothing is rendered twice and a
+    maker that answers differently from time to time can't put a tile on both sides or on neither. Without it, attempts
+    are eagerly checkpointed where the session has a checkpoint folder, and plain (a pure maker gives the same) elsewhere."""
+    sc = tiles.sparkSession.sparkContext
+    if keep is None:
+        keep = (lambda df, n: df.checkpoint()) if sc.getCheckpointDir() or tiles.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df, n: df)
     made, todo = None, tiles.select(*KEY)
     failed = None
     for attempt in range(1, attempts + 1):
-        out = render(todo, attempt).withColumn("attempt", F.lit(attempt))
+        out = keep(render(todo, attempt).withColumn("attempt", F.lit(attempt)), attempt)
         good, failed = out.where("error IS NULL"), out.where("error IS NOT NULL")
         made = good if made is None else made.unionByName(good)
         todo = failed.select(*KEY)
