@@ -33,7 +33,15 @@ def catalog(spark):
 CATALOG = "(VALUES ('BUILDING', 864000), ('FURNITURE', NULL), ('MACHINERY', NULL)) AS c(layer, life)"
 
 
-@query("layer_catalog")
+@query(
+    "layer_catalog",
+    f"""SELECT c.*, tiles FROM (VALUES
+  ('BUILDING', 'vector', 'spherical mercator', 4, 4, 64, 256, 864000::BIGINT, true, 15, 89.0::DOUBLE, -180.0::DOUBLE, -89.0::DOUBLE, 180.0::DOUBLE, 0, 31),
+  ('MACHINERY', 'm:P', 'spherical mercator', 1, 1, 0, 256, NULL, false, 15, 60.0, -90.0, -60.0, 90.0, 2, 5),
+  ('FURNITURE', 'proxy', 'spherical mercator', 1, 1, 0, 256, NULL, true, 15, 89.0, -180.0, -89.0, 180.0, 0, 31))
+  AS c(layer, provider, projection, metatile_rows, metatile_columns, metatile_buffer, tile_height, cache_lifespan, write_cache, stale_lock_timeout, north, west, south, east, low, high)
+LEFT JOIN (SELECT layer, count(*) AS tiles FROM ({fx.TILE_STORE}) GROUP BY layer) USING (layer)""",
+)
 def _(spark, sf):
     # the catalog against the store: how many tiles each configured layer has
     n = fx.tile_store(spark, sf).groupBy("layer").agg(F.count("*").alias("tiles"))

@@ -102,14 +102,14 @@ def _(spark, sf):
 
 
 def _named(pdf):
-    return pdf.sort_values("id").groupby(["z", "x", "y"], as_index=False).agg(names=("name", "|".join))
+    return pdf[["z", "x", "y"]].head(1).assign(names="|".join(pdf.sort_values("id")["name"]))
 
 
-@query("tile_aggregate", f"SELECT z, {fx.TX} AS x, {fx.TY} AS y, string_agg(name, '|' ORDER BY id) AS names FROM {PZ} WHERE z = 9 GROUP BY ALL")
+@query("tile_aggregate", f"SELECT z, {fx.TX} AS x, {fx.TY} AS y, string_agg(name, '|' ORDER BY id) AS names FROM {PZ} WHERE z = 5 GROUP BY ALL")
 def _(spark, sf):
     from tilework.functions import grid
 
-    z = F.lit(9)
+    z = F.lit(5)
     p = fx.points(spark, sf).select(z.alias("z"), grid.tile_x("lon", z).alias("x"), grid.tile_y("lat", z).alias("y"), "id", "name")
     return udf.tile_aggregate(p, _named, "z int, x int, y int, names string")
 
