@@ -3,10 +3,12 @@
 import hashlib
 import html
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +333,26 @@ def test_scores(spark, sf):
     assert toxicity.scored(frame(spark, []), model, m).count() == 0
 
 
+def test_batches_score_as_their_words_do(lm):
+    texts = [t for t, _ in DISGUISED] + [None, "", " \n ", "x", "ÀÇ İstanbul ² ΑΣ", "idiot " * 9000, "stupid, (loserr) and s t u p i d", "the idiot", "the idiot"]
+    reader = toxicity.Restorer(lm)
+    weights = {f"{w}$": 1.0 + i for i, w in enumerate(["idiot", "stupid", "trash", "the"])} | {"lose": 0.5, "moron": 0.25, "worthl": 0.125}
+    model = toxicity.Model(weights, -2.0)
+    got = model.scores(reader, pa.array(texts))
+    for text, score in zip(texts, got, strict=True):
+        made = {f for w in reader.words(text or "") for f in (f"{w}$", *(w[:n] for n in (4, 5, 6) if len(w) >= n))}
+        expected = -2.0 + sum(v for f, v in weights.items() if f in made)
+        assert score == pytest.approx(1 / (1 + math.exp(-expected))) == pytest.approx(model.score(reader.words(text or "")))
+
+
+def test_null_ids_very_long_texts_and_clashing_columns_are_scored(spark, lm):
+    model = toxicity.Model({"moron$": 4.0}, -2.0)
+    docs = frame(spark, [(None, "a m0r0n", "s"), (None, "a m0r0n", "s"), (7, "calm words " * 200_000 + "m0r0n", "s"), (8, "x" * 100_000, "s")])
+    docs = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "y", "f")})
+    got = sorted(((r["doc_id"], r["score"] > 0.5) for r in toxicity.scored(docs, model, lm).collect()), key=str)
+    assert got == [(7, True), (8, False), (None, True), (None, True)]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")

@@ -11,7 +11,7 @@ collapsed, are both taken without a search. Tokens without such signs stay as th
 The score is a logistic model over word beginnings and whole words, fitted on a bounded, documented sample of labelled
 documents (sample_rows). Its features are those whose document frequencies differ most between the labels; their counts
 are a Spark aggregation. Restoring and scoring are one pass in mapInArrow: no shuffle, memory of a batch and a bounded
-memory of tokens.
+memory of decoded tokens; each distinct token of a batch is read once.
 
 Defined cases: null or empty texts get the model's base score; labels of null doc_ids are ignored; documents with
 contradicting labels count as toxic; repeated rows repeat; extra columns are ignored. Without labels of both kinds
@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ SEPARATORS = ".-_*~·'`^"
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 STATES = len(LETTERS) + 1
-MEMORY = 200_000
+MEMORY = 4_000_000
 
 #: Signs of a disguise in a token without the punctuation around it: a look-alike or separator between letters, look-alikes
 #: before or after letters, or a letter three times running.
@@ -49,7 +49,8 @@ _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|^[{_SI
 _DOUBLED = re.compile(r"([^\W\d_])\1+")
 #: A run of single letters and look-alikes (four or more, one letter at least) with one or two separators or white space between.
 _ONE = rf"(?:[^\W\d_]|[{_SIGNS.replace(re.escape('*'), '')}])"
-_SPACED = re.compile(rf"(?<!\S)(?=[^\w\s]?\W*(?:[\d_]\W+)*[^\W\d_])(?:{_ONE}[\s{re.escape(SEPARATORS)}]{{1,2}}){{3,}}{_ONE}(?![^\s.,!?;:])")
+_SPACED = re.compile(rf"(?<!\S)(?=\S[\s{re.escape(SEPARATORS)}])(?=[^\w\s]?\W*(?:[\d_]\W+)*[^\W\d_])(?:{_ONE}[\s{re.escape(SEPARATORS)}]{{1,2}}){{3,}}{_ONE}(?![^\s.,!?;:])")
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
 _WORD = re.compile(r"[^\W\d_]+")
 _AROUND = ".,;:!?\"'()[]"
 
@@ -89,44 +90,48 @@ class Decoder:
     SUBSTITUTE, DROP, COLLAPSE, KEEP_RUN, EDGE = 1.5, 1.0, 0.5, 1.5, 0.5
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model, self.known = model.tolist(), {}
 
     def columns(self, token: str) -> list[list[tuple[str, float]]]:
         """For each run of one character, the strings that it may stand for, with their costs."""
-        out, i, token = [], 0, token.lower()
-        while i < len(token):
-            c, j = token[i], i
-            while j < len(token) and token[j] == c:
-                j += 1
-            run, choices = j - i, []
-            letters = [(c, 0.0)] if c in CODE else [(x, self.SUBSTITUTE) for x in LOOKALIKES.get(c, "")]
-            for x, cost in letters:
-                choices.append((x, cost + self.COLLAPSE * (run > 1)))
-                if run >= 2:
-                    choices.append((x * 2, cost + (self.KEEP_RUN * (run > 2))))
-            if c in SEPARATORS or c.isspace() or not letters:  # other characters are edges by themselves
-                choices.append(("", self.DROP * (0.2 if c.isspace() else 1.0)))
-                choices.append((" ", self.EDGE if c in SEPARATORS or c.isspace() or letters else 0.0))
-            out.append(choices)
-            i = j
-        return out
+        return [self.choices(m[0][0], min(len(m[0]), 3)) for m in _RUN.finditer(token.lower())]
+
+    def choices(self, c: str, run: int) -> list[tuple[str, float]]:
+        """The strings that a run of c may stand for (run: 1, 2, or 3 for more)."""
+        found = self.known.get((c, run))
+        if found is not None:
+            return found
+        choices = []
+        letters = [(c, 0.0)] if c in CODE else [(x, self.SUBSTITUTE) for x in LOOKALIKES.get(c, "")]
+        for x, cost in letters:
+            choices.append((x, cost + self.COLLAPSE * (run > 1)))
+            if run >= 2:
+                choices.append((x * 2, cost + (self.KEEP_RUN * (run > 2))))
+        if c in SEPARATORS or c.isspace() or not letters:  # other characters are edges by themselves
+            choices.append(("", self.DROP * (0.2 if c.isspace() else 1.0)))
+            choices.append((" ", self.EDGE if c in SEPARATORS or c.isspace() or letters else 0.0))
+        if c in CODE or c in LOOKALIKES or c in SEPARATORS:  # as many as the fixed values
+            self.known[c, run] = choices
+        return choices
 
     def decode(self, token: str) -> list[str]:
         """The likeliest words; states are the last two letters (0: an edge), paths are linked backwards."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        model = self.model
         for choices in self.columns(token):
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 for text, cost in choices:
                     p, q, s = a, b, score - cost
                     for x in text:
-                        n = 0 if x == " " else CODE[x]
-                        s += self.model[p][q][n]
+                        n = CODE.get(x, 0)
+                        s += model[p][q][n]
                         p, q = q, n
-                    if (p, q) not in following or following[p, q][0] < s:
+                    old = following.get((p, q))
+                    if old is None or old[0] < s:
                         following[p, q] = (s, (path, text) if text else path)
             best = following
-        score, path = max(((s + self.model[a][b][0], path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])
+        score, path = max(((s + model[a][b][0], path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])
         parts = []
         while path is not None:
             path, text = path
@@ -135,40 +140,89 @@ class Decoder:
 
 
 class Restorer:
-    """Words of a text, with disguised ones restored. Results are remembered by token, up to MEMORY tokens."""
+    """Words of texts, with disguised ones restored. What was decoded is remembered, up to MEMORY characters."""
 
     def __init__(self, model: np.ndarray):
-        self.decoder, self.memory = Decoder(model), {}
+        self.decoder, self.memory, self.held = Decoder(model), {}, 0
 
-    def token(self, token: str) -> tuple[str, ...]:
-        found = self.memory.get(token)
+    def decoded(self, core: str) -> list[str]:
+        found = self.memory.get(core)
         if found is None:
-            if len(self.memory) >= MEMORY:
+            if self.held > MEMORY:
                 self.memory.clear()
-            low = token.lower()
-            words = _WORD.findall(low)
+                self.held = 0
+            found = self.memory[core] = self.decoder.decode(core)
+            self.held += len(core)
+        return found
+
+    def tokens(self, tokens: list[str]) -> tuple[list[int], list[str]]:
+        """owner, word: the words of each token, beside its position."""
+        owner, words = [], []
+        for i, low in enumerate("\n".join(tokens).lower().split("\n")):
             core = low.strip(_AROUND)
+            if core.isalpha():  # its one word is itself
+                words.append(core)
+                owner.append(i)
+                found = ()
+            else:
+                found = _WORD.findall(low)
             # both readings count: the channel may have left the token alone
-            if _MIXED.search(core) is not None:
-                words += self.decoder.decode(core)
-            elif _DOUBLED.search(core) is not None:
-                words += _WORD.findall(_DOUBLED.sub(r"\1", core))
-            found = self.memory[token] = tuple(dict.fromkeys(w for w in words if w))
-        return found
+            doubled = _DOUBLED.search(core) is not None
+            if (found != () or doubled) and _MIXED.search(core) is not None:
+                found = [*found, *self.decoded(core)]
+            elif doubled:
+                found = [*found, *_WORD.findall(_DOUBLED.sub(r"\1", core))]
+            if found:
+                words.extend(found)
+                owner.extend([i] * len(found))
+        return owner, words
+
+    def runs(self, text: str) -> list[str]:
+        """Words of the text's spaced runs."""
+        return [w for m in _SPACED.finditer(text) for w in self.decoder.decode(m[0])]
 
     def words(self, text: str) -> set[str]:
-        """The distinct restored words."""
-        out: set[str] = set()
-        for t in set(text.split()):
-            out.update(self.token(t))
-        for m in _SPACED.finditer(text):
-            out.update(self.decoder.decode(m[0]))
-        return out
-
-
-def features(word: str) -> list[str]:
-    """Word beginnings of 4 to 6 letters and the whole word."""
-    return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
+        """The distinct restored words of one text."""
+        return {*self.tokens(text.split())[1], *self.runs(text)}
+
+    def features(self, texts: pa.Array, names: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """row, feature, names: the distinct features of each text, as positions in texts and in names (if not given, all
+        those of these texts). Each distinct token is restored once."""
+        texts = pc.fill_null(texts, "")
+        split = pc.utf8_split_whitespace(texts)
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = split.flatten().dictionary_encode()
+        token, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        owner, words = self.tokens(coded.dictionary.to_pylist())
+        rows_of_runs = []
+        for i, text in enumerate(texts.to_pylist()):
+            found = self.runs(text)
+            if found:  # the runs of a text count as one more token
+                words += found
+                owner += [n + len(rows_of_runs)] * len(found)
+                rows_of_runs.append(i)
+        row = np.concatenate([row, np.array(rows_of_runs, dtype=row.dtype)])
+        token = np.concatenate([token, n + np.arange(len(rows_of_runs))])
+        made = word_features(pa.array(words, pa.string()))
+        names = made.dictionary_encode().dictionary if names is None else names
+        at_ = pc.index_in(made, value_set=names)
+        has = at_.is_valid().to_numpy(zero_copy_only=False)
+        feature, owner = at_.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), np.tile(np.array(owner, dtype=np.int64), 4)[has]
+        order = np.argsort(owner, kind="stable")
+        feature, per = feature[order], np.bincount(owner, minlength=n + len(rows_of_runs))
+        start, some = np.cumsum(per) - per, per[token] > 0
+        row, token = row[some], token[some]
+        k = per[token]
+        at_ = np.repeat(start[token] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        pairs = np.unique(np.repeat(row, k) * max(1, len(names)) + feature[at_])
+        return pairs // max(1, len(names)), pairs % max(1, len(names)), names
+
+
+def word_features(words: pa.Array) -> pa.Array:
+    """Of each word: whole with a mark, then beginnings of 4, 5 and 6 letters (null where it is shorter)."""
+    size = pc.utf8_length(words)
+    cut = [pc.if_else(pc.greater_equal(size, n), pc.utf8_slice_codeunits(words, 0, n), None) for n in (4, 5, 6)]
+    return pa.concat_arrays([pc.binary_join_element_wise(words, "$", ""), *cut])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -185,12 +239,18 @@ def _training(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame
 
 class Model:
     def __init__(self, weights: dict[str, float], base: float):
-        self.weights, self.base = weights, base
+        self.names = pa.array(sorted(weights), pa.string())
+        self.weights, self.base = np.array([weights[f] for f in sorted(weights)], dtype=np.float64), base
 
     def score(self, words: set[str]) -> float:
-        hits = {f for w in words for f in features(w) if f in self.weights}
-        x = self.base + sum(self.weights[f] for f in sorted(hits))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+        """Of the words of one text; ``scores`` gives the same for many texts."""
+        hits = pc.is_in(self.names, value_set=word_features(pa.array(sorted(words), pa.string()))).to_numpy(zero_copy_only=False)
+        return float(1 / (1 + np.exp(-np.clip(self.base + self.weights[hits.astype(bool)].sum(), -30, 30))))
+
+    def scores(self, restorer: Restorer, texts: pa.Array) -> np.ndarray:
+        row, feature, _ = restorer.features(texts, self.names)
+        x = self.base + np.bincount(row, self.weights[feature], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = 12_000, max_features: int = 2_000, min_docs: int = 3) -> Model:
@@ -204,25 +264,26 @@ def fit(docs: DataFrame, labels: DataFrame, lm: np.ndarray, sample_rows: int = 1
         return Model({}, math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
 
     def count(batches):
-        restorer, seen = Restorer(lm), (Counter(), Counter())
+        restorer = Restorer(lm)
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({f for w in restorer.words(text or "") for f in features(w)})
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in seen)], names=["f", "clean", "toxic"])
+            row, feature, names = restorer.features(batch.column(1))
+            y = batch.column(0).to_numpy(zero_copy_only=False)[row]
+            sums = [pa.array(np.bincount(feature[y == k], minlength=len(names)).astype(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([names, *sums], names=["f", "clean", "toxic"])
 
     sums = in_arrow(sample, count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     bound = odds - 1.0 / F.sqrt(F.col("toxic") + 0.5) - 1.0 / F.sqrt(F.col("clean") + 0.5)
     chosen = sums.where(f"toxic >= {min_docs}").where(bound > math.log(2)).orderBy((bound * F.sqrt("toxic")).desc(), "f").limit(max_features)
     names = [r["f"] for r in chosen.collect()]  # max_features rows at most
-    place = {f: i for i, f in enumerate(names)}
 
     def rows(batches):
-        restorer = Restorer(lm)
+        restorer, known = Restorer(lm), pa.array(names, pa.string())
         for batch in batches:
-            found = [sorted({place[f] for w in restorer.words(t or "") for f in features(w) if f in place}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["y", "x"])
+            row, feature, _ = restorer.features(batch.column(1), known)
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(feature.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["y", "x"])
 
     data = in_arrow(sample, rows, "y int, x array<int>").groupBy("x").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.count("*").alias("n")).collect()
     data.sort(key=lambda d: d["x"])  # sums in one order, whatever order rows come in
@@ -254,7 +315,7 @@ def scored(docs: DataFrame, model: Model, lm: np.ndarray) -> DataFrame:
     def run(batches):
         restorer = Restorer(lm)
         for batch in batches:
-            scores = [model.score(restorer.words(t or "")) for t in batch.column(1).to_pylist()]
+            scores = model.scores(restorer, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
