@@ -259,6 +259,16 @@ def test_passages_inside_across_and_wrapped_over_lines(spark):
     assert all(shared_run(a, b) < 50 for a, b in itertools.combinations(out, 2))
 
 
+def test_first_document_of_three_that_share_outer_bands(spark):
+    """The middle text has more of the passage than the first one, so that the last one's bands meet both."""
+    for seed in (3000, 3008):
+        p, w = sentence(seed, 90), sentence(seed, 90).split()
+        rows = [(0, f"{sentence(seed + 1, 40)} {' '.join(w[30:])} {sentence(seed + 2, 40)}", "s"), (1, f"{sentence(seed + 3, 40)} {p} {sentence(seed + 4, 40)}", "s"), (2, f"{sentence(seed + 5, 40)} {p} {sentence(seed + 6, 40)}", "s")]
+        got = paragraphs.repeated_passages(frame(spark, rows)).collect()
+        gone = {(r["doc_id"], r["at"], r["until"]): r["first_doc"] for r in got if not r["kept"]}
+        assert gone == {(1, 70, 130): 0, (2, 40, 130): 0}
+
+
 def test_every_shared_run_of_the_table_is_found(spark, sf):
     """Brute force over a whole table: each run of 50 words that two different texts share lies in passages."""
     docs = common.documents(spark, sf)

@@ -16,7 +16,7 @@ Paragraphs are of two kinds, both taken over a text's words:
 Of the lines of a component, and of equal bands, the first (least document, then place) stays and the others are
 removed, if they lie in two documents or more. A removed word has its counterpart earlier in that order, so something is
 left of each passage. Matches on one diagonal of two texts that touch are one; overlapping spans of a document are one
-passage. A band is held against the first of its equals only: where the outer bands of a run have their first equals in a
+passage, whose first_doc is the least of theirs. A band is held against the first of its equals only: where the outer bands of a run have their first equals in a
 third text, up to ``places`` words at its ends may stay.
 
 Scale: the documents are read once for all units, which are written. A pre-aggregated count of hashes alone finds the units
@@ -196,8 +196,13 @@ PASSAGES = "doc_id long, _t long, at int, until int, component_id long, first_do
 
 
 def merged(batches):
-    """mapInArrow function: doc_id, _t, asks (array of lo, hi, component_id, first_doc, kept) -> PASSAGES: what is removed, and
-    what is kept and isn't removed for another passage. Overlapping spans are one, named by the first and longest."""
+    """mapInArrow function: doc_id, _t, asks (array of lo, hi, component_id, first_doc, first_t, first_lo, kept) -> PASSAGES:
+    what is removed, and what is kept and isn't removed for another passage. Overlapping spans are one, named by the
+    earliest of the places that they repeat (null ids first)."""
+
+    def place(p: dict) -> tuple:
+        return p["first_doc"] is not None, p["first_doc"] or 0, p["first_t"], p["first_lo"], p["component_id"]
+
     for batch in batches:
         out = []
         for doc, t, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -205,7 +210,7 @@ def merged(batches):
             for p in sorted(pieces, key=lambda p: (p["lo"], -p["hi"], p["component_id"])):
                 have = joined[p["kept"]]
                 if have and p["lo"] < have[-1]["hi"]:
-                    have[-1]["hi"] = max(have[-1]["hi"], p["hi"])
+                    have[-1] = {**min(have[-1], p, key=place), "lo": have[-1]["lo"], "hi": max(have[-1]["hi"], p["hi"])}
                 else:
                     have.append(dict(p))
             left, gone, g = [], joined[False], 0
@@ -228,7 +233,8 @@ def merged(batches):
 
 def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 25, rows: int = 2, bands: int = 5, size: int = 25, places: int = 26) -> DataFrame:
     """One row per repeated passage: doc_id, _t (hash of the text), at, until (its words, counted from 0), component_id, first_doc,
-    kept. component_id is the least node of the component of its first unit; first_doc is null for a null doc_id."""
+    kept. first_doc is the least document that a part of the passage was held against (null for a null doc_id), component_id
+    the least node of the component of the first unit there."""
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), "text")
     units = written(in_arrow(d, units_of(k, min_words, rows, bands, size, places), UNITS), "units")
     lines = units.where("size(bands) > 0")
@@ -241,12 +247,12 @@ def repeated_passages(docs: DataFrame, k: int = 5, percent: int = 80, min_words:
     often = keyed.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select("key")
     roots = linked(written(keyed.join(often, "key").distinct(), "keys"), texts_of, k, percent)
     found = grown(d, matches(repeated_units(units, roots)), places, min_words)
-    gone = found.select("doc_id", "_t", "lo", "hi", "component_id", "first_doc", F.lit(False).alias("kept"))
-    stays = found.select(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("_t"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"), "component_id", "first_doc", F.lit(True).alias("kept"))
-    # of the spans that begin at one word the longest, so that a document has as many at most as words
-    name = F.max(F.struct(F.col("hi"), -F.col("component_id"), "component_id", "first_doc")).alias("p")
-    pieces = gone.unionByName(stays).groupBy("doc_id", "_t", "kept", "lo").agg(name).select("doc_id", "_t", "lo", "p.hi", "p.component_id", "p.first_doc", "kept")
-    per = pieces.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("lo", "hi", "component_id", "first_doc", "kept")).alias("asks"))
+    names = ["first_doc", "first_t", "first_lo", "component_id"]
+    gone = found.select("doc_id", "_t", "lo", "hi", *names, F.lit(False).alias("kept"))
+    stays = found.select(F.col("first_doc").alias("doc_id"), F.col("first_t").alias("_t"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi"), *names, F.lit(True).alias("kept"))
+    # of the spans that begin at one word one, to the farthest end, so that a document has as many at most as words
+    spans = gone.unionByName(stays).groupBy("doc_id", "_t", "kept", "lo").agg(F.max("hi").alias("hi"), F.min(F.struct(*names)).alias("p"))
+    per = spans.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("lo", "hi", "p.*", "kept")).alias("asks"))
     return in_arrow(per, merged, PASSAGES)
 
 
