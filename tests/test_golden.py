@@ -205,5 +205,5 @@ def test_lines_meet_a_box_where_clipping_leaves_something(spark):
         rows.append((i, ("LineString" if len(parts) == 1 else "MultiLineString", parts)))
     df = spark.createDataFrame(rows, "id int, geom struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>")
     env = F.struct(*[F.lit(v).alias(k) for k, v in (("xmin", -1.0), ("ymin", -0.5), ("xmax", 1.5), ("ymax", 1.0))])
-    got = df.select(clip.lines_meet("geom", env).alias("a"), clip.clip("geom", env)["kind"].isNotNull().alias("b")).collect()
+    got = df.select(clip.meets("geom", env).alias("a"), clip.clip("geom", env)["kind"].isNotNull().alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and 50 < sum(r["a"] for r in got) < 350

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tilework.functions.geom import GEOM_TYPE, _c
+from tilework.functions.shapes import inside
 
 Ring = np.ndarray  # (n, 2)
 ARROW_GEOM = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
@@ -56,26 +57,77 @@ def clip_line(line: Ring, box) -> list[Ring]:
     return real or out[:1]
 
 
-def clip_ring(ring: Ring, box) -> Ring:
-    """Sutherland-Hodgman; closed, or empty. Concave rings may keep edges along the box."""
-    x0, y0, x1, y1 = box
-    pts = [tuple(p) for p in ring[:-1]] if len(ring) > 1 and (ring[0] == ring[-1]).all() else [tuple(p) for p in ring]
-    for axis, limit, keep_low in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        inside = (lambda p: p[axis] <= limit) if keep_low else (lambda p: p[axis] >= limit)  # noqa: B023
-        out = []
-        for i, b in enumerate(pts):
-            a = pts[i - 1]
-            if inside(a) != inside(b):
-                t = (limit - a[axis]) / (b[axis] - a[axis])
-                cut = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
-                cut[axis] = limit
-                out.append(tuple(cut))
-            if inside(b):
-                out.append(b)
-        pts = out
-        if not pts:
-            return np.empty((0, 2))
-    return np.array(pts + pts[:1], dtype=float)
+def signed_area(ring: Ring) -> float:
+    """Positive for a ring that runs counter-clockwise."""
+    x, y = (ring - ring[0]).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2
+
+
+def _crossing(a, b, axis: int, limit: float) -> tuple[float, float]:
+    """Where the segment from a to b meets a line parallel to an axis, on that line exactly."""
+    for end in (a, b):
+        if end[axis] == limit:
+            return float(end[0]), float(end[1])
+    t = (limit - a[axis]) / (b[axis] - a[axis])
+    at = [float(a[0] + t * (b[0] - a[0])), float(a[1] + t * (b[1] - a[1]))]
+    at[axis] = limit
+    return at[0], at[1]
+
+
+def cut_rings(rings: list[Ring], axis: int, limit: float, above: bool) -> list[Ring]:
+    """The part of a polygon on one side of a line parallel to an axis. rings: closed, the inside to their left.
+
+    What is left of a ring are chains from where it comes in to where it goes out. Along the line, ways out and ways in
+    take turns, the inside between them, so in the order along the line each way out leads on to the way in of the same number, whichever
+    ring that belongs to: a ring falls into as many as there are pieces, and a hole that is cut joins its outside."""
+    out, chains = [], []
+    for ring in rings:
+        pts = ring[:-1]
+        keep = pts[:, axis] >= limit if above else pts[:, axis] <= limit
+        if keep.all():
+            out.append(ring)
+            continue
+        n = len(pts)
+        for start in np.flatnonzero(keep & ~np.roll(keep, 1)):
+            end = start
+            while keep[(end + 1) % n]:
+                end += 1
+            body = [tuple(map(float, pts[i % n])) for i in range(start, end + 1)]
+            chains.append([_crossing(pts[start - 1], pts[start], axis, limit), *body, _crossing(pts[end % n], pts[(end + 1) % n], axis, limit)])
+    ways_in = sorted(range(len(chains)), key=lambda c: chains[c][0][1 - axis])
+    ways_out = sorted(range(len(chains)), key=lambda c: chains[c][-1][1 - axis])
+    onward = dict(zip(ways_out, ways_in, strict=True))
+    while onward:
+        at, points = next(iter(onward)), []
+        while at in onward:
+            points += chains[at]
+            at = onward.pop(at)
+        points = [p for p, q in zip(points, points[1:] + points[:1], strict=True) if p != q]
+        if len(points) > 2:
+            ring = np.array(points + points[:1], dtype=float)
+            if signed_area(ring):
+                out.append(ring)
+    return out
+
+
+def clip_polygon(rings: list[Ring], box) -> list[list[Ring]]:
+    """The polygons that are left of one inside a box: outsides counter-clockwise, holes clockwise with the outside that has them."""
+    if all(((r >= box[:2]) & (r <= box[2:])).all() for r in rings):
+        return [rings]
+    left = []
+    for i, r in enumerate(rings):
+        r = r if (r[0] == r[-1]).all() else np.vstack([r, r[:1]])
+        if len(r) >= 4 and (area := signed_area(r)):
+            left.append(r if (area > 0) == (i == 0) else r[::-1])
+    for axis, limit, above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        left = cut_rings(left, axis, limit, above)
+    outer = [[r] for r in left if signed_area(r) > 0]
+    for hole in (r for r in left if signed_area(r) < 0):
+        edges = [np.hstack([p[0][:-1], p[0][1:]]) for p in outer]
+        held = [sum(inside(x, y, e) for x, y in hole[:-1]) for e in edges] if len(outer) > 1 else [1]
+        if outer:
+            outer[int(np.argmax(held))].append(hole)
+    return outer
 
 
 def clip_geometry(kind: str, parts, box) -> tuple[str, list] | None:
@@ -86,12 +138,7 @@ def clip_geometry(kind: str, parts, box) -> tuple[str, list] | None:
     if kind in ("LineString", "MultiLineString"):
         runs = [r for p in parts for r in clip_line(_ring(p[0]), box)]
         return ("LineString" if len(runs) == 1 else "MultiLineString", [[_rows(r)] for r in runs]) if runs else None
-    out = []
-    for p in parts:
-        outer = clip_ring(_ring(p[0]), box)
-        if len(outer) >= 4:
-            holes = [clip_ring(_ring(h), box) for h in p[1:]]
-            out.append([_rows(outer), *[_rows(h) for h in holes if len(h) >= 4]])
+    out = [[_rows(r) for r in polygon] for p in parts for polygon in clip_polygon([_ring(r) for r in p], box)]
     return ("Polygon" if len(out) == 1 else "MultiPolygon", out) if out else None
 
 
@@ -108,9 +155,8 @@ def clip(geom, env) -> Column:
     return _clip(g["kind"], g["parts"], e["xmin"], e["ymin"], e["xmax"], e["ymax"])
 
 
-def lines_meet(geom, env) -> Column:
-    """Whether a segment of a line (or of several) meets a box, edges included: the same test as ``clip``'s, without Python."""
-    e = _c(env)
+def _edge_meets(e: Column):
+    """Whether a segment (struct a, b) meets a box, edges included: Liang-Barsky's test, without Python."""
 
     def meets(s: Column) -> Column:
         a, b = s["a"], s["b"]
@@ -121,12 +167,36 @@ def lines_meet(geom, env) -> Column:
         beside = [(p == 0) & (q < 0) for p, q in sides]
         return ~(beside[0] | beside[1] | beside[2] | beside[3]) & (enter <= leave)
 
-    def one(part: Column) -> Column:
-        line = part[0]
-        segments = F.transform(line, lambda p, i: F.struct(F.get(line, i - 1).alias("a"), p.alias("b")))
-        return F.exists(F.filter(segments, lambda s: s["a"].isNotNull()), meets)
+    return meets
+
 
-    return F.exists(_c(geom)["parts"], one)
+def segments(ring: Column) -> Column:
+    """Array of struct(a, b) of a line's or closed ring's neighbouring points."""
+    return F.filter(F.transform(ring, lambda p, i: F.struct(F.get(ring, i - 1).alias("a"), p.alias("b"))), lambda s: s["a"].isNotNull())
+
+
+def contains_point(part: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon (array of rings) has a point inside: a ray to the right crosses an odd number of its edges."""
+
+    def crossed(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+
+    count = F.aggregate(part, F.lit(0), lambda n, ring: n + F.size(F.filter(segments(ring), crossed)))
+    return count % 2 == 1
+
+
+def meets(geom, env) -> Column:
+    """Whether a geometry meets a box, edges included, without Python. Points: one lies inside. Lines: a segment meets
+    the box. Polygons: an edge does, or none does and the box lies inside (then so does any of its corners)."""
+    g, e = _c(geom), _c(env)
+    edge = _edge_meets(e)
+    near = lambda p: p["x"].between(e["xmin"], e["xmax"]) & p["y"].between(e["ymin"], e["ymax"])
+    points = F.exists(g["parts"], lambda part: F.exists(part, lambda ring: F.exists(ring, near)))
+    edges = F.exists(g["parts"], lambda part: F.exists(part, lambda ring: F.exists(segments(ring), edge)))
+    inside = F.exists(g["parts"], lambda part: contains_point(part, e["xmin"], e["ymin"]))
+    kind = g["kind"]
+    return F.when(kind.isin("Point", "MultiPoint"), points).when(kind.isin("LineString", "MultiLineString"), edges).otherwise(edges | inside)
 
 
 def clipped(df, geom: str, env: Column):

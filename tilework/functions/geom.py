@@ -78,7 +78,7 @@ def bbox_intersects(geom, env) -> Column:
 
 def is_usable(geom) -> Column:
     """Not null, of a known kind, with points, all numbers finite; lines of two points or more; rings closed, of
-    four points or more. (Whether a ring crosses itself isn't tested.)"""
+    four points or more. Whether rings cross themselves or each other is ``shapes.is_valid``'s."""
     g = _c(geom)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     rings = F.flatten(g["parts"])
@@ -118,12 +118,6 @@ def round_coords(geom, digits=6) -> Column:
     return each_point(geom, lambda p: xy(F.round(p["x"] * scale) / scale, F.round(p["y"] * scale) / scale))
 
 
-def feature_id(geom, given=None) -> Column:
-    """The given id, else the first ten hex digits of the MD5 of the geometry's JSON."""
-    own = F.substring(F.md5(F.to_json(_c(geom)).cast("binary")), 1, 10)
-    return own if given is None else F.coalesce(_c(given).cast("string"), own)
-
-
 def topo_quantize(geom, env, size: int = 1024) -> Column:
     """Integers (as doubles) round((v - min) / (span / size)), halves to even."""
     e = _c(env)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tilework.functions import clip as clips
 from tilework.functions import geom as g
-from tilework.functions import grid
+from tilework.functions import grid, shapes
 from tilework.functions.grid import _c
+from tilework.operators.tables import sums_before, written
 
 KEY = ("z", "x", "y")
 
@@ -51,8 +52,10 @@ def tile_plan(spark: SparkSession, bbox: tuple[float, float, float, float], zoom
 
 
 def with_progress(plan: DataFrame, order: list[str]) -> DataFrame:
-    """W01 for plans without offsets (small ones: the numbering needs one order of all rows)."""
-    return plan.withColumn("offset", F.row_number().over(Window.orderBy(*order)).cast("long") - 1).withColumn("total", F.count("*").over(Window.partitionBy()))
+    """W01 for plans without offsets: each tile's place in the order and the number of all. Numbered by ranges of the order, of
+    which only the totals come together."""
+    plan = written(plan, "plan")
+    return sums_before(plan, order, {"offset": F.lit(1).cast("long")}).withColumn("total", F.lit(plan.count()))
 
 
 def tile_source(listed: DataFrame | None = None, archive: DataFrame | None = None, area: DataFrame | None = None) -> DataFrame:
@@ -105,13 +108,7 @@ def assign_tiles(
     if tiles is not None:
         rows = keep_tiles(rows, tiles)
     if exact:
-        # points by their box and lines by a Column test; Python sees the other kinds' shapes only
-        kind, env = F.col("geom")["kind"], lonlat_envelope(padding, grid_name)
-        rows = rows.withColumn("_e", env)
-        native = kind.isin("Point", "LineString", "MultiLineString")
-        inside = F.when(kind == "Point", F.lit(True)).when(native, clips.lines_meet("geom", F.col("_e")))
-        rows = rows.withColumn("_in", inside).where(F.coalesce("_in", F.lit(True)))
-        rows = rows.where(native | clips.clip(F.when(~native, F.col("geom")), F.col("_e"))["kind"].isNotNull()).drop("_e", "_in")
+        rows = rows.withColumn("_e", lonlat_envelope(padding, grid_name)).where(clips.meets("geom", F.col("_e"))).drop("_e")
     return rows.drop("_b", "_lo", "_hi")
 
 
@@ -153,29 +150,80 @@ def tile_counts(points: DataFrame, zooms) -> DataFrame:
 # ---- thinning --------------------------------------------------------------------------------------------------------
 
 
-def thin_by_spacing(assigned: DataFrame, pixels: float, order: str = "id", x: str = "lon", y: str = "lat") -> DataFrame:
-    """Per tile, in order, drops a feature within ``pixels`` of one kept before (exact for points: distance in
-    tile units; other shapes by their box's centre). A pixel is 1/256 of the tile; positions are tile coordinates.
-
-    Sequential inside a tile, parallel over tiles. A grid hash of the kept points makes a tile's pass linear; its memory
-    is the tile's features, so low zooms are best fed with what the zoom below kept (see thin_pyramid)."""
-    at = grid.lonlat_to_tile(F.col(x), F.col(y), F.col("z"))
-    rows = assigned.withColumn("_px", (at["x"] - F.col("x")) * 256).withColumn("_py", (at["y"] - F.col("y")) * 256)
+SHAPE = ["_kind", "_xs", "_ys", "_lens"]
+
+
+def _shape(geom: Column) -> list[Column]:
+    """A geometry in its tile's pixels, as flat arrays: kind, x and y of all points, and the rings' numbers of points."""
+    at = lambda p: grid.lonlat_to_tile(p["x"], p["y"], F.col("z"))
+    rings = F.flatten(geom["parts"])
+    flat = F.flatten(rings)
+    xs, ys = F.transform(flat, lambda p: (at(p)["x"] - F.col("x")) * 256), F.transform(flat, lambda p: (at(p)["y"] - F.col("y")) * 256)
+    return [c.alias(n) for c, n in zip((geom["kind"], xs, ys, F.transform(rings, F.size)), SHAPE, strict=True)]
+
+
+def _cells(pixels: float) -> Column:
+    """Array of the cells that a shape's box covers when it grows by half the spacing: two shapes within the spacing share one.
+    What lies beyond the tile is held in the outermost cells, so a shape has a fixed number of cells at most."""
+    size = max(float(pixels), 16.0)
+    last = int(256 // size) + 1
+    at = lambda v: F.greatest(F.lit(-1), F.least(F.lit(last), F.floor(v / size))).cast("int")
+    reach = lambda c: F.sequence(at(F.array_min(c) - pixels / 2), at(F.array_max(c) + pixels / 2))
+    return F.flatten(F.transform(reach("_xs"), lambda i: F.transform(reach("_ys"), lambda j: i * 1000 + j)))
+
+
+def _first_round(rows: DataFrame, pixels: float) -> tuple[DataFrame, DataFrame]:
+    """(kept, undecided) after a round: rows that are the earliest in all of their cells are kept, since no earlier one can
+    be near, and rows near one of those are dropped. A cell has one such row at most, so pairs are as many as cells covered."""
+    cover = rows.select(*KEY, "_o", F.explode(_cells(pixels)).alias("c"))
+    least = cover.groupBy(*KEY, "c").agg(F.min("_o").alias("m"))
+    held = written(cover.join(least, [*KEY, "c"]), "cover")
+    won = written(held.groupBy(*KEY, "_o").agg(F.min(F.col("_o") == F.col("m")).alias("all")).where("all").select(*KEY, "_o"), "won")
+    pairs = held.where("_o != m").select(*KEY, "_o", F.col("m").alias("_w")).distinct().join(won.withColumnRenamed("_o", "_w"), [*KEY, "_w"], "left_semi")
+    other = rows.select(*KEY, F.col("_o").alias("_w"), *[F.col(c).alias(f"w{c}") for c in SHAPE])
+    pairs = pairs.join(rows.select(*KEY, "_o", *SHAPE), [*KEY, "_o"]).join(other, [*KEY, "_w"])
+    gone = pairs.where(shapes.near(*SHAPE, *[f"w{c}" for c in SHAPE], F.lit(float(pixels)))).select(*KEY, "_o").distinct()
+    decided = written(won.unionByName(gone), "decided")
+    return rows.join(won, [*KEY, "_o"], "left_semi"), rows.join(decided, [*KEY, "_o"], "left_anti")
+
+
+def thin_by_spacing(assigned: DataFrame, pixels: float, order: str = "id", x: str = "lon", y: str = "lat", geom: str | None = None, task_rows: int = 20_000) -> DataFrame:
+    """Per tile, in order, drops a feature within ``pixels`` of one kept before. A pixel is 1/256 of the tile. Points of the columns
+    x and y, or shapes of any kind of the column geom (in lon/lat; clip it first if what is near outside the tile shouldn't count).
+    The distance is that of the shapes themselves, 0 where they cross or one lies in the other.
+
+    A tile of up to task_rows features is one sequential pass. In a larger one rounds over cells decide all features that have no
+    undecided earlier one near, wherever in the tile they are, and drop what is near those; it takes as many rounds as bring the rest
+    below task_rows, so that no task holds a whole hot tile. Features equal in order come in any order, nulls first."""
+    shape = _shape(F.col(geom) if geom else g.point(x, y))
+    rows = assigned.select("*", *shape).where(F.size("_xs") > 0)
+    rows = written(rows.withColumn("_n", F.monotonically_increasing_id()), "thin")
+    rows = rows.withColumn("_o", F.struct(F.col(order).alias("o"), F.col("_n").alias("n"))).drop("_n")
+    kept, few = [], []
+    while True:
+        sizes = rows.groupBy(*KEY).agg(F.count("*").alias("_m"))
+        hot = written(sizes.where(F.col("_m") > task_rows).select(*KEY), "hot")
+        if hot.isEmpty():
+            few.append(rows)
+            break
+        few.append(rows.join(F.broadcast(hot), list(KEY), "left_anti"))  # tiles of more than task_rows features are few
+        won, rest = _first_round(written(rows.join(F.broadcast(hot), list(KEY), "left_semi"), "thin"), pixels)
+        kept.append(won)
+        rows = written(rest, "thin")
+
+    columns = assigned.columns
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        keep = []
-        for px, py in zip(pdf["_px"], pdf["_py"], strict=True):
-            cx, cy = int(px // pixels), int(py // pixels)
-            near = (q for i in (-1, 0, 1) for j in (-1, 0, 1) for q in cells.get((cx + i, cy + j), ()))
-            ok = not any((px - a) ** 2 + (py - b) ** 2 <= pixels * pixels for a, b in near)
-            keep.append(ok)
-            if ok:
-                cells.setdefault((cx, cy), []).append((px, py))
-        return pdf[np.array(keep, dtype=bool)].drop(columns=["_px", "_py"])
-
-    return rows.groupBy(*KEY).applyInPandas(thin, assigned.schema)
+        pdf = pdf.assign(_p=[o["n"] for o in pdf["_o"]]).sort_values([order, "_p"], kind="stable", na_position="first")
+        return pdf[shapes.greedy(list(zip(*(pdf[c] for c in SHAPE), strict=True)), float(pixels))][columns]
+
+    todo = few[0]
+    for f in few[1:]:
+        todo = todo.unionByName(f)
+    out = todo.groupBy(*KEY).applyInPandas(thin, assigned.schema)
+    for k in kept:
+        out = out.unionByName(k.select(*columns))
+    return out
 
 
 def thin_in_catalyst(assigned: DataFrame, pixels: float, order: str = "id", x: str = "lon", y: str = "lat") -> DataFrame:
@@ -203,29 +251,80 @@ def within_radius(tiles: DataFrame, points: DataFrame, km: float) -> DataFrame:
     return out.where(F.col("km") <= km)
 
 
-def expand_search(tiles: DataFrame, features: DataFrame, limit: float = 1.61e15) -> DataFrame:
-    """For each tile the least level at which its box, grown by 3.5 spans on every side a level (8 times wider),
-    holds a feature's point (mx, my in metres): z, x, y, level; null where none does before the area passes limit.
+def occupancy(points: DataFrame, finest: int, levels: int, x: str = "mx", y: str = "my") -> DataFrame:
+    """The pyramid of the cells that have points (metres): k, cx, cy and the box of the cell's points, for cells of
+    CIRCUMFERENCE * 2 ** k metres, k = finest, finest + 3 and so on. Points are counted once; each coarser level is made of the finer one's
+    cells, 64 of them at most."""
+    at = lambda c: F.floor(F.col(c) / (grid.CIRCUMFERENCE * 2.0**finest)).cast("long")
+    kept = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    level = kept.groupBy(at(x).alias("cx"), at(y).alias("cy")).agg(*[f(c).alias(n) for f, c, n in ((F.min, x, "xmin"), (F.max, x, "xmax"), (F.min, y, "ymin"), (F.max, y, "ymax"))])
+    out = level = written(level.select(F.lit(finest).alias("k"), "*"), "cells")
+    for n in range(1, levels):
+        up = level.groupBy(F.shiftright("cx", 3).alias("cx"), F.shiftright("cy", 3).alias("cy")).agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
+        level = written(up.select(F.lit(finest + 3 * n).alias("k"), "*"), "cells")
+        out = out.unionByName(level)
+    return out
 
-    A level's boxes are cut into cells of their own size, so a point is compared with the few boxes over its cell.
-    """
-    spans = sorted(r["z"] for r in tiles.select("z").distinct().collect())  # zooms: a few dozen at most
-    # a level's width is CIRCUMFERENCE * 2 ** k with k = 3 * level - z, a whole number that names the cell size
-    widths = sorted({3 * n - z for z in spans for n in range(64) if (grid.CIRCUMFERENCE * 2.0 ** (3 * n - z)) ** 2 < limit * 64})
+
+def _search_level(rows: DataFrame) -> DataFrame:
+    """rows: a box (bx0, by0, bx1, by1) and a cell's points' box, no wider than half of it. Adds meets: true if a point is surely inside,
+    null if that is open, false if not. Cut along one axis only, the cell has a point on the inner side of the cut."""
+    apart = (F.col("xmax") < F.col("bx0")) | (F.col("xmin") > F.col("bx1")) | (F.col("ymax") < F.col("by0")) | (F.col("ymin") > F.col("by1"))
+    x_in, y_in = ((F.col(f"{c}min") >= F.col(f"b{c}0")) & (F.col(f"{c}max") <= F.col(f"b{c}1")) for c in "xy")
+    return rows.withColumn("meets", F.when(apart, False).when(x_in | y_in, True))
+
+
+def expand_search(tiles: DataFrame, features: DataFrame, limit: float = 1.61e15) -> DataFrame:
+    """For each tile the least level at which its box, grown by 3.5 spans on every side a level (8 times wider), edges
+    included, holds a feature's point (mx, my in metres): z, x, y, level; null where none does before the area passes limit.
+
+    By a pyramid of occupied cells, never by comparing tiles with features: a level's box lies over nine cells of half its
+    width, whose points' boxes mostly settle it. Where a corner of the box cuts a cell both ways, the cell's 64 parts are asked, level
+    by level; that leaves one part a corner. Points themselves are compared in the finest such parts, quarters of a tile, alone.
+    So the rows joined are a fixed number a tile and level, whatever the number of features."""
+    out = None
+    for z in sorted(r["z"] for r in tiles.select("z").distinct().collect()):  # zooms: a few dozen at most
+        span = grid.CIRCUMFERENCE / 2.0**z
+        levels = sum(1 for n in range(64) if (span * 8.0**n) ** 2 < limit * 64)
+        own = _expanded(tiles.where(F.col("z") == z).select(*KEY).distinct(), features, z, levels)
+        out = own if out is None else out.unionByName(own)
+    return tiles.select(*KEY).withColumn("level", F.lit(None).cast("int")) if out is None else tiles.select(*KEY).join(out, list(KEY), "left")
+
+
+def _lookups(tiles: DataFrame, z: int, levels: int) -> DataFrame:
+    """z, x, y, level, the level's box (bx0, by0, bx1, by1) and k, cx, cy: the cells of half its width that it lies over."""
     env = grid.tile_envelope("z", "x", "y")
-    levels = tiles.select(*KEY, env.alias("e")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in widths]))).where("(k + z) % 3 = 0 AND k + z >= 0")
-    wide = lambda: F.lit(grid.CIRCUMFERENCE) * F.pow(F.lit(2.0), F.col("k"))
-    grow = (wide() - (F.col("e.xmax") - F.col("e.xmin"))) / 2
-    levels = levels.withColumn("level", ((F.col("k") + F.col("z")) / 3).cast("int")).withColumn("g", grow)
-    cell = lambda v: F.floor(v / wide()).cast("long")
-    levels = levels.withColumn("cx", F.explode(F.sequence(cell(F.col("e.xmin") - F.col("g")), cell(F.col("e.xmax") + F.col("g")))))
-    levels = levels.withColumn("cy", F.explode(F.sequence(cell(F.col("e.ymin") - F.col("g")), cell(F.col("e.ymax") + F.col("g")))))
-    cells = features.withColumn("k", F.explode(F.array(*[F.lit(k) for k in widths]))).select("k", cell(F.col("mx")).alias("cx"), cell(F.col("my")).alias("cy"), "mx", "my")
-    hit = levels.join(cells, ["k", "cx", "cy"]).where(
-        F.col("mx").between(F.col("e.xmin") - F.col("g"), F.col("e.xmax") + F.col("g")) & F.col("my").between(F.col("e.ymin") - F.col("g"), F.col("e.ymax") + F.col("g"))
-    )
-    best = hit.groupBy(*KEY).agg(F.min("level").alias("level"))
-    return tiles.select(*KEY).join(best, list(KEY), "left")
+    asked = tiles.select(*KEY, env.alias("e")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    grow = F.lit(grid.CIRCUMFERENCE / 2.0**z) * (F.pow(F.lit(8.0), F.col("level")) - 1) / 2
+    asked = asked.select(*KEY, "level", *[(F.col(f"e.{c}") + s * grow).alias(n) for c, s, n in (("xmin", -1, "bx0"), ("ymin", -1, "by0"), ("xmax", 1, "bx1"), ("ymax", 1, "by1"))])
+    asked = asked.withColumn("k", (F.col("level") * 3 - z - 1).cast("int"))
+    cell = lambda v: F.floor(F.col(v) / (F.lit(grid.CIRCUMFERENCE) * F.pow(F.lit(2.0), F.col("k")))).cast("long")
+    for axis in "xy":
+        asked = asked.withColumn(f"c{axis}", F.explode(F.sequence(cell(f"b{axis}0"), cell(f"b{axis}1"))))
+    return asked
+
+
+def _expanded(tiles: DataFrame, features: DataFrame, z: int, levels: int) -> DataFrame:
+    """expand_search for the tiles of one zoom: z, x, y, level of those that are answered."""
+    finest, box, part = -(z + 1), ["bx0", "by0", "bx1", "by1"], ["xmin", "xmax", "ymin", "ymax"]
+    cells, asked = occupancy(features, finest, levels), _lookups(tiles, z, levels)
+    known = written(_search_level(asked.join(cells, ["k", "cx", "cy"])).where("meets IS NULL OR meets").drop(*part), "search")
+    answers = known.where("meets").groupBy(*KEY).agg(F.min("level").alias("level"))
+    open_ = known.where("meets IS NULL").drop("meets")
+    while True:
+        best = answers.select(*KEY, F.col("level").alias("_best"))
+        open_ = written(open_.join(best, list(KEY), "left").where("_best IS NULL OR level < _best").drop("_best"), "open")
+        if open_.isEmpty():
+            return answers
+        inside = cells.select((F.col("k") + 3).alias("k"), F.shiftright("cx", 3).alias("cx"), F.shiftright("cy", 3).alias("cy"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), *part)
+        finer = open_.where(F.col("k") > finest).join(inside, ["k", "cx", "cy"]).select(*KEY, "level", *box, (F.col("k") - 3).alias("k"), F.col("_x").alias("cx"), F.col("_y").alias("cy"), *part)
+        at = lambda c: F.floor(F.col(c) / (grid.CIRCUMFERENCE * 2.0**finest)).cast("long")
+        last = open_.where(F.col("k") == finest).join(features.select("mx", "my", at("mx").alias("cx"), at("my").alias("cy")), ["cx", "cy"])
+        last = last.where(F.col("mx").between(F.col("bx0"), F.col("bx1")) & F.col("my").between(F.col("by0"), F.col("by1"))).select(*KEY, "level").distinct()
+        found = written(_search_level(finer).where("meets IS NULL OR meets").drop(*part), "search")
+        more = found.where("meets").select(*KEY, "level").unionByName(last)
+        answers = written(answers.unionByName(more).groupBy(*KEY).agg(F.min("level").alias("level")), "answers")
+        open_ = found.where("meets IS NULL").drop("meets")
 
 
 def exact_in_bounds(tiles: DataFrame, bounds: DataFrame) -> DataFrame:

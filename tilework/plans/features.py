@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilework.functions import clip as clips
 from tilework.functions import geom as g
-from tilework.functions import grid
+from tilework.functions import grid, shapes, wkb
 from tilework.operators import encode, tiling
 from tilework.plans import fixtures as fx
 from tilework.plans.tiles import C, PZ
@@ -73,9 +74,58 @@ def _(spark, sf):
     return p.select("id", F.coalesce(given.cast("string"), own).alias("fid"))
 
 
-@query("feature_hashes", f"SELECT id, substr(md5('{{\"kind\":\"LineString\",\"parts\":[[[' || list_aggregate([('{{\"x\":' || p.lon || ',\"y\":' || p.lat || '}}') FOR p IN pts], 'string_agg', ',') || ']]]}}'), 1, 10) AS fid FROM ({fx.LINES})")
+def _bytes_sql(v: str, kept: int = 16) -> str:
+    """Little-endian hex of a double in SQL, with all but the first ``kept`` hex digits zero."""
+    h = f"rpad(left(hex({v}::DOUBLE::BIT::BLOB), {kept}), 16, '0')"
+    return " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 0, -2))
+
+
+def _wkb_sql(kept: int = 16) -> str:
+    """Hex of a line's binary form in SQL."""
+    n = "printf('%08x', len(pts))"
+    points = f"list_aggregate([{_bytes_sql('p.lon', kept)} || {_bytes_sql('p.lat', kept)} FOR p IN pts], 'string_agg', '')"
+    return f"'0102000000' || substr({n}, 7, 2) || substr({n}, 5, 2) || substr({n}, 3, 2) || substr({n}, 1, 2) || {points}"
+
+
+@query("feature_hashes", f"SELECT id, substr(md5(unhex({_wkb_sql()})), 1, 10) AS fid FROM ({fx.LINES})")
+def _(spark, sf):
+    return fx.lines(spark, sf).select("id", wkb.feature_id("geom").alias("fid"))
+
+
+@query("masked_wkb", f"SELECT id, md5(unhex({_wkb_sql(10)})) AS hash FROM ({fx.LINES})")
+def _(spark, sf):
+    return fx.lines(spark, sf).select("id", F.md5(wkb.to_wkb(clips.mask_coords("geom"))).alias("hash"))
+
+
+@query("wkb_round_trip", f"SELECT id, len(pts)::INT AS n, list_sum({XS}) AS sx, list_sum({YS}) AS sy FROM ({fx.LINES})")
 def _(spark, sf):
-    return fx.lines(spark, sf).select("id", g.feature_id("geom").alias("fid"))
+    back = fx.lines(spark, sf).select("id", g.points(wkb.from_wkb(wkb.to_wkb("geom"))).alias("p"))
+    total = lambda k: F.aggregate("p", F.lit(0.0), lambda a, p: a + p[k])
+    return back.select("id", F.size("p").alias("n"), total("x").alias("sx"), total("y").alias("sy"))
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    return f"sign(({b}.lon - {a}.lon) * ({c}.lat - {a}.lat) - ({b}.lat - {a}.lat) * ({c}.lon - {a}.lon))"
+
+
+def _apart(a: str, b: str, c: str, d: str) -> str:
+    return f"NOT ({_turn(a, b, c)} * {_turn(a, b, d)} <= 0 AND {_turn(c, d, a)} * {_turn(c, d, b)} <= 0)"
+
+
+#: Four points of each line that has them, as a ring; in SQL, rings with three points on one line are left out.
+QUADS = f"SELECT id, pts[1] AS a, pts[2] AS b, pts[3] AS c, pts[4] AS d FROM ({fx.LINES}) WHERE len(pts) >= 4"
+BENT = " AND ".join(f"{_turn(*t)} != 0" for t in ("abc", "abd", "acd", "bcd"))
+
+
+@query("valid_polygons", f"SELECT id, {_apart(*'abcd')} AND {_apart(*'bcda')} AS valid FROM ({QUADS}) WHERE {BENT}")
+def _(spark, sf):
+    at = lambda i: F.col("geom.parts")[0][0][i]
+    turn = lambda i, j, k: (at(j)["x"] - at(i)["x"]) * (at(k)["y"] - at(i)["y"]) - (at(j)["y"] - at(i)["y"]) * (at(k)["x"] - at(i)["x"])
+    quads = fx.lines(spark, sf).where(F.size(g.points("geom")) >= 4)
+    for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)):
+        quads = quads.where(turn(*t) != 0)
+    ring = g.polygon(F.array(at(0), at(1), at(2), at(3), at(0)))
+    return quads.select("id", shapes.is_valid(ring).alias("valid"))
 
 
 @query("select_properties", "SELECT c_custkey AS id, '{\"title\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}' AS props FROM customer")
@@ -201,6 +251,12 @@ def _(spark, sf):
     return tiling.thin_by_spacing(a, 16).select("z", "x", "y", "id")
 
 
+@query("thin_lines")
+def _(spark, sf):
+    a = tiling.assign_tiles(fx.lines(spark, sf), [4])
+    return tiling.thin_by_spacing(clips.clipped(a, "geom", tiling.lonlat_envelope()), 4, geom="geom").select("z", "x", "y", "id")
+
+
 @query(
     "thin_in_catalyst",
     THINNED,
@@ -301,9 +357,14 @@ def _(spark, sf):
     return encode.drop_repeats(a).select("id", "z", "x", "y")
 
 
-@query("sort_features", f"SELECT id, name FROM ({fx.POINTS})")
+@query("sort_features", f"SELECT id, name, (row_number() OVER (ORDER BY name DESC) - 1)::BIGINT AS place FROM ({fx.POINTS})")
 def _(spark, sf):
-    return encode.sort_features(fx.points(spark, sf).select("id", "name"), "name descending")
+    # the place that a row has in what was sorted: its number within its partition, after the partitions before
+    rows = encode.sort_features(fx.points(spark, sf).select("id", "name"), "name descending")
+    rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("m"), F.min("n").alias("first"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.select("part", "first", before.alias("before"))), "part").select("id", "name", (F.col("before") + F.col("n") - F.col("first")).alias("place"))
 
 
 @query("shared_keys", "SELECT c_mktsegment AS segment, key FROM (SELECT c_mktsegment, unnest(CASE WHEN c_custkey % 7 = 0 AND c_mktsegment = 'BUILDING' THEN ['name'] ELSE ['name', 'bal'] END) AS key FROM customer) JOIN (SELECT c_mktsegment, count(*) AS t FROM customer GROUP BY 1) USING (c_mktsegment) GROUP BY c_mktsegment, key, t HAVING count(*) = t")
@@ -319,10 +380,10 @@ def _(spark, sf):
     return encode.intersect_keys(p.where("balance > 0"), p.where("balance < 0"))
 
 
-@query("unknown_names", "SELECT DISTINCT event_type AS layer FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id % 3 = 5)")
+@query("unknown_names", "SELECT DISTINCT event_type AS layer FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_type > 'd')")
 def _(spark, sf):
     e = fx.table(spark, sf, "events").withColumnRenamed("event_type", "layer")
-    return encode.unknown_names(e, e.where("event_id % 3 = 5"))
+    return encode.unknown_names(e, e.where("layer > 'd'"))
 
 
 @query(
