@@ -147,16 +147,20 @@ def area_by_grid(polygons, box, n=160):
     return sum(shapes.inside(x, y, s) for x in xs for y in ys) * (box[2] - box[0]) * (box[3] - box[1]) / n / n
 
 
+def ridge(rng, n):
+    """A simple polygon with a jagged upper side."""
+    pts = [(0.0, -6.0), (float(n), -6.0), *[(float(i), rng.uniform(-2, 8)) for i in range(n, -1, -1)]]
+    return np.array([*pts, pts[0]])
+
+
 def test_concave_polygons_are_cut_apart():
     rng, several, holes = random.Random(21), 0, 0
-    box = np.array([-4.0, -3.0, 5.0, 4.0])
     for k in range(40):
-        outer = np.array(star(rng, rng.randint(5, 14), hi=10.0))
-        rings = [outer] + ([np.array(star(rng, 5, lo=0.3, hi=1.9))] if k % 2 else [])
+        n = rng.randint(6, 14)
+        rings = [ridge(rng, n)[:: rng.choice([1, -1])]] + ([np.array(star(rng, 9, 3.0, -4.0, 0.3, 1.9))] if k % 2 else [])
         if not shapes.simple_polygon(rings):
             rings = rings[:1]
-        if not shapes.simple_polygon(rings):
-            continue
+        box = np.array([rng.uniform(0, 3), rng.choice([-5.0, rng.uniform(-2, 3)]), n - rng.uniform(0, 2), rng.uniform(3.5, 7)])
         got = clip.clip_polygon(rings, box)
         assert all(((r >= box[:2]) & (r <= box[2:])).all() and (r[0] == r[-1]).all() for p in got for r in p)
         assert all(clip.signed_area(p[0]) > 0 and all(clip.signed_area(h) < 0 for h in p[1:]) for p in got)
@@ -165,7 +169,7 @@ def test_concave_polygons_are_cut_apart():
         assert abs(total - area_by_grid([rings], box, 80)) < 1.5 and abs(total - area_by_grid(got, box, 80)) < 1.5
         assert all(shapes.simple_polygon(p) for p in got)
         several, holes = several + (len(got) > 1), holes + any(len(p) > 1 for p in got)
-    assert several > 5 and holes > 5
+    assert several > 2 and holes > 2, (several, holes)
     comb = np.array([(0, 0), (10, 0), (10, 5), (8, 5), (8, 1), (6, 1), (6, 5), (4, 5), (4, 1), (2, 1), (2, 5), (0, 5), (0, 0)], float)
     teeth = clip.clip_polygon([comb], (0.0, 3.0, 10.0, 6.0))
     assert sorted((p[0][:, 0].min(), p[0][:, 0].max()) for p in teeth) == [(0, 2), (4, 6), (8, 10)] and all(len(p) == 1 for p in teeth)

@@ -58,35 +58,48 @@ def inside(x: float, y: float, s: np.ndarray) -> bool:
     return int((x < at).sum()) % 2 == 1
 
 
-def within(kind_a: str, a: np.ndarray, kind_b: str, b: np.ndarray, d: float) -> bool:
-    """Whether the distance of two shapes is d or less."""
+def _lines_within(a: np.ndarray, b: np.ndarray, d: float) -> bool:
+    """Whether segments of a and of b come within d of each other."""
     step = max(1, BLOCK // len(b))
     for i in range(0, len(a), step):
         s = a[i : i + step]
         near = min(_to_segments(s[:, :2], b).min(), _to_segments(s[:, 2:], b).min(), _to_segments(b[:, :2], s).min(), _to_segments(b[:, 2:], s).min())
         if near <= d * d or _cross(s, b):
             return True
+    return False
+
+
+def _holds(kind_a: str, a: np.ndarray, kind_b: str, b: np.ndarray) -> bool:
+    """Whether one shape, a polygon, has the other's first point inside."""
     return ("Polygon" in kind_a and inside(b[0, 0], b[0, 1], a)) or ("Polygon" in kind_b and inside(a[0, 0], a[0, 1], b))
 
 
-def _box(s: np.ndarray) -> tuple[float, float, float, float]:
-    x, y = s[:, [0, 2]], s[:, [1, 3]]
-    return x.min(), y.min(), x.max(), y.max()
+def within(kind_a: str, a: np.ndarray, kind_b: str, b: np.ndarray, d: float) -> bool:
+    """Whether the distance of two shapes is d or less."""
+    return _lines_within(a, b, d) or _holds(kind_a, a, kind_b, b)
 
 
 def greedy(shapes: list[tuple], d: float) -> np.ndarray:
-    """Of shapes in order, those that aren't within d of an earlier one of them."""
+    """Of shapes in order, those that aren't within d of an earlier one of them. All segments kept so far lie in one array, so a
+    shape is held against those around it at once."""
     own = [(k, edges(k, xs, ys, lens)) for k, xs, ys, lens in shapes]
-    boxes, kept, n = np.empty((len(own), 4)), [], 0
+    kept, polygons, n = np.empty((64, 4)), [], 0
     out = np.zeros(len(own), bool)
     for i, (kind, s) in enumerate(own):
-        x0, y0, x1, y1 = _box(s)
-        have = boxes[:n]
-        near = np.flatnonzero((have[:, 0] <= x1 + d) & (have[:, 2] >= x0 - d) & (have[:, 1] <= y1 + d) & (have[:, 3] >= y0 - d))
-        if not any(within(kind, s, *own[kept[j]], d) for j in near):
-            out[i], boxes[n] = True, (x0, y0, x1, y1)
-            kept.append(i)
-            n += 1
+        (x0, y0), (x1, y1) = s.reshape(-1, 2).min(axis=0) - d, s.reshape(-1, 2).max(axis=0) + d
+        k = kept[:n]
+        k = k[(np.minimum(k[:, 0], k[:, 2]) <= x1) & (np.maximum(k[:, 0], k[:, 2]) >= x0) & (np.minimum(k[:, 1], k[:, 3]) <= y1) & (np.maximum(k[:, 1], k[:, 3]) >= y0)]
+        if len(k) and _lines_within(s, k, d):
+            continue
+        # without a segment near, a shape is near only where one lies wholly in the other
+        if any(_holds(kind, s, *own[j]) for j in (range(i) if "Polygon" in kind else polygons) if out[j]):
+            continue
+        out[i] = True
+        polygons += [i] * ("Polygon" in kind)
+        while n + len(s) > len(kept):
+            kept = np.vstack([kept, np.empty_like(kept)])
+        kept[n : n + len(s)] = s
+        n += len(s)
     return out
 
 

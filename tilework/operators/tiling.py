@@ -211,18 +211,18 @@ def thin_by_spacing(assigned: DataFrame, pixels: float, order: str = "id", x: st
         kept.append(won)
         rows = written(rest, "thin")
 
-    columns = assigned.columns
-
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_p=[o["n"] for o in pdf["_o"]]).sort_values([order, "_p"], kind="stable", na_position="first")
-        return pdf[shapes.greedy(list(zip(*(pdf[c] for c in SHAPE), strict=True)), float(pixels))][columns]
+        pdf = pdf.sort_values(["_v", "_n"], kind="stable", na_position="first")
+        return pdf[shapes.greedy(list(zip(*(pdf[c] for c in SHAPE), strict=True)), float(pixels))][[*KEY, "_n"]]
 
     todo = few[0]
     for f in few[1:]:
         todo = todo.unionByName(f)
-    out = todo.groupBy(*KEY).applyInPandas(thin, assigned.schema)
+    kinds = dict(todo.dtypes)
+    own = todo.select(*KEY, F.col("_o.o").alias("_v"), F.col("_o.n").alias("_n"), *SHAPE).groupBy(*KEY).applyInPandas(thin, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", _n long")
+    out = todo.withColumn("_n", F.col("_o.n")).join(own, [*KEY, "_n"], "left_semi").select(*assigned.columns)
     for k in kept:
-        out = out.unionByName(k.select(*columns))
+        out = out.unionByName(k.select(*assigned.columns))
     return out
 
 

@@ -119,7 +119,7 @@ BENT = " AND ".join(f"{_turn(*t)} != 0" for t in ("abc", "abd", "acd", "bcd"))
 
 @query("valid_polygons", f"SELECT id, {_apart(*'abcd')} AND {_apart(*'bcda')} AS valid FROM ({QUADS}) WHERE {BENT}")
 def _(spark, sf):
-    at = lambda i: F.col("geom.parts")[0][0][i]
+    at = lambda i: F.get(g.points("geom"), F.lit(i))
     turn = lambda i, j, k: (at(j)["x"] - at(i)["x"]) * (at(k)["y"] - at(i)["y"]) - (at(j)["y"] - at(i)["y"]) * (at(k)["x"] - at(i)["x"])
     quads = fx.lines(spark, sf).where(F.size(g.points("geom")) >= 4)
     for t in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)):
@@ -253,8 +253,8 @@ def _(spark, sf):
 
 @query("thin_lines")
 def _(spark, sf):
-    a = tiling.assign_tiles(fx.lines(spark, sf), [4])
-    return tiling.thin_by_spacing(clips.clipped(a, "geom", tiling.lonlat_envelope()), 4, geom="geom").select("z", "x", "y", "id")
+    a = tiling.assign_tiles(fx.lines(spark, sf), [3])
+    return tiling.thin_by_spacing(clips.clipped(a, "geom", tiling.lonlat_envelope()), 8, geom="geom").select("z", "x", "y", "id")
 
 
 @query(
