@@ -2,6 +2,7 @@
 
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,14 +80,47 @@ def test_jdbc(spark, sf, tmp_path):
 
 def test_osm_xml(spark, sf, tmp_path):
     o = fx.osm(spark, sf)
-    tags = spark.createDataFrame([(1, "b", "2"), (1, "a", "1")], "id long, k string, v string")
+    tags = spark.createDataFrame([(1, "b", "2"), (1, "a", '1 <&" é')], "id long, k string, v string")
     tile = spark.createDataFrame([(0, 0, 0)], "z int, x int, y int")
     nodes = osm.osm_nodes(o["nodes"], tile, o["users"], tags)
     ways = osm.osm_ways(osm.nodes_in_tiles(o["nodes"], tile), o["ways"], o["way_nodes"], o["users"])
-    osm.write_osm_xml(nodes, ways, str(tmp_path))
-    text = "".join(p.read_text() for p in (tmp_path / "nodes").glob("part-*"))
-    assert '<tag k="a" v="1"' in text and text.index('k="a"') < text.index('k="b"') and 'timestamp="1995-01-01T00:00:00Z"' in text
-    assert "<nd ref=" in "".join(p.read_text() for p in (tmp_path / "ways").glob("part-*"))
+    osm.write_osm_xml(nodes, ways, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("z=0/x=0/y=0/part-*")
+    root = ElementTree.parse(file).getroot()
+    assert root.tag == "osm" and root.attrib == {"version": "0.6"}
+    kinds = [e.tag for e in root]
+    assert kinds == ["node"] * nodes.count() + ["way"] * ways.count() and ways.count() > 0
+    assert [int(e.get("id")) for e in root.iter("node")] == sorted(r["id"] for r in nodes.collect())
+    want = {r["id"]: r["nodes"] for r in ways.collect()}
+    assert {int(w.get("id")): [int(n.get("ref")) for n in w] for w in root.iter("way")} == want
+    first = root.find("node[@id='1']")
+    assert [(t.get("k"), t.get("v")) for t in first] == [("a", '1 <&" é'), ("b", "2")] and first.get("timestamp") == "1995-01-01T00:00:00Z"
+
+
+def test_osm_document_per_tile(spark, sf, tmp_path):
+    o = fx.osm(spark, sf)
+    tiles = spark.createDataFrame([(1, x, y) for x in (0, 1) for y in (0, 1)], "z int, x int, y int")
+    nodes = osm.osm_nodes(o["nodes"], tiles, o["users"])
+    ways = osm.osm_ways(osm.nodes_in_tiles(o["nodes"], tiles), o["ways"], o["way_nodes"], o["users"])
+    osm.write_osm_xml(nodes, ways, str(tmp_path / "out"))
+    files = {tuple(int(v.split("=")[1]) for v in f.parts[-4:-1]): f for f in (tmp_path / "out").glob("z=*/x=*/y=*/part-*")}
+    sizes = {(r["z"], r["x"], r["y"]): r["n"] for r in nodes.groupBy("z", "x", "y").agg(F.count("*").alias("n")).collect()}
+    assert {k: len(ElementTree.parse(f).getroot().findall("node")) for k, f in files.items()} == sizes and len(files) == 4
+
+
+def test_eviction_of_uses_of_one_moment(spark):
+    rows = [(f"p{i:04}", i % 7 * (i > 300), 10 + i % 5) for i in range(600)]
+    usage = spark.createDataFrame(rows, "path string, s int, size long").select("path", F.when(F.col("path") != "p0599", F.timestamp_seconds("s")).alias("used"), "size")
+    for limit in (0, 1, 3000, 5000, 10**6):
+        left, want = sum(r[2] for r in rows) - limit, set()
+        for path, _, size in sorted(rows, key=lambda r: (r[0] != "p0599", r[1], r[0])):
+            if left > 0:
+                want.add(path)
+            left -= size
+        for bucket_rows in (5, 100_000):
+            got = store.evict_lru(usage, limit, 4, bucket_rows)
+            assert {r["path"] for r in got.collect()} == want and got.columns == ["path", "used", "size"]
+    assert store.evict_lru(usage.where("false"), 5).count() == 0
 
 
 def test_sql_functions_and_user_code(spark, sf):

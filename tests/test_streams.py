@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tilework.functions import grid
 from tilework.operators import store
 from tilework.plans import fixtures as fx
-from tilework.streaming import streams
+from tilework.streaming import areas, streams
 
 
 def run(df, tmp_path, mode="append", name="out"):
@@ -73,11 +73,52 @@ def test_seeding_retries(spark, sf, tmp_path):
     assert made + failed == t.count() and failed == t.where("(x + y) % 5 = 4").count() and attempts == {1, 2, 3}
 
 
-def test_refresh_and_timing(spark, sf, tmp_path):
-    t = fx.tile_store(spark, sf).where("z < 4").select("z", "x", "y")
+def test_areas_are_replaced_once(spark, sf, tmp_path):
+    p = fx.points(spark, sf).select("id", "lon", "lat", F.lit("old").alias("state"))
+    z = F.lit(12)
+    tile = lambda df: df.select(grid.tile_x("lon", z).alias("x"), grid.tile_y("lat", z).alias("y"))
+    table = areas.AreaTable(spark, str(tmp_path / "table"), p.schema).create(p)
+    assert sorted(map(tuple, table.current().collect())) == sorted(map(tuple, p.collect()))
+    changed, calls = [tile(p.where("id % 10 = 3")), tile(p.where("id % 10 = 4"))], []
+    for k, c in enumerate(changed):
+        c.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def stage(tiles, n):
+        calls.append(n)
+        return p.where("id % 20 IN (3, 4)").withColumn("state", F.lit(f"new {n}"))  # every other one is gone
+
+    stream = spark.readStream.schema(changed[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    assert areas.refresh_areas(stream, table, stage, str(tmp_path / "c")).awaitTermination(180)
+    now = {r["id"]: r["state"] for r in table.current().collect()}
+    ids = [r["id"] for r in p.select("id").collect()]
+    assert set(now) == {i for i in ids if i % 20 not in (13, 14)}
+    assert {s for i, s in now.items() if i % 20 in (3, 4)} == {"new 0", "new 1"} and {s for i, s in now.items() if i % 10 not in (3, 4)} == {"old"}
+    # a replay of a batch, whatever it would stage, changes nothing; neither does what a failed attempt has left
+    assert not table.replace(changed[0], p.where("false"), 1)
+    table._placed(p.withColumn("state", F.lit("half"))).write.partitionBy("area").parquet(str(tmp_path / "table/rows/batch=7"))
+    assert {r["id"]: r["state"] for r in table.current().collect()} == now and sorted(calls) == [0, 1]
+    assert table.replace(changed[1], p.where("false"), 7)
+    assert {r["id"] for r in table.current().collect()} == {i for i in now if i % 10 != 4}
+
+
+def test_silence_is_reported_in_order_and_forgotten(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    minutes = [[(1, 0, "a"), (1, 0, "b"), (2, 0, "x")], [(2, 9, "x")], [(2, 13, "x")], [(2, 30, "x")], [(2, 80, "x")], [(2, 500, "x")], [(2, 501, "x")], [(1, 505, "back"), (2, 506, "x")], [(2, 507, "y")]]
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for k, rows in enumerate(minutes):
+        df = spark.createDataFrame(rows, "pid long, m int, message string").select("pid", (start + F.expr("make_interval(0, 0, 0, 0, 0, m)")).alias("ts"), "message")
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     seen = []
-    assert streams.refresh_areas(stream_of(spark, t, tmp_path), lambda df, n: seen.append(df.count()), str(tmp_path / "c")).awaitTermination(180)
-    assert sum(seen) == t.distinct().count()
+    q = streams.silent_processes(stream).writeStream.foreachBatch(lambda df, n: seen.extend((n, *r) for r in df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    one = [(r[3], r[4]) for r in sorted(seen, key=lambda r: r[0]) if r[1] == 1]
+    assert one == [("b", "shown"), ("b", "hidden"), ("b", "expired"), ("b", "dropped"), ("back", "shown")]
+    # after it was dropped nothing of it is left: "back" is a first message again, and pid 2 never fell silent for long enough but at 80 to 500
+    assert {r[4] for r in seen if r[1] == 2} >= {"shown", "hidden"}
+
+
+def test_request_pairs(spark, sf, tmp_path):
     s = timed(fx.status(spark, sf)).select("ts", F.col("pid"), F.concat(F.lit("/p"), (F.col("pid") % 5).cast("string")).alias("path"))
     a, b = stream_of(spark, s, tmp_path, "a"), stream_of(spark, s.withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 seconds")), tmp_path, "b")
     out = run(streams.request_timing(a, b), tmp_path, name="timing")
@@ -104,7 +145,7 @@ def test_process_states(spark):
 
 
 def test_flaky_maker_is_kept(spark, tmp_path):
-    """A maker that answers by chance: with keep, every tile is made or failed, once, and no attempt is rendered again."""
+    """A maker that answers by chance: every tile is made or failed, once, and no attempt is rendered again, with keep or without."""
     t = spark.range(200).select(F.lit(8).alias("z"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"))
 
     def keep(df, n):
@@ -114,3 +155,5 @@ def test_flaky_maker_is_kept(spark, tmp_path):
     maker = lambda df, n: df.withColumn("body", F.lit("b")).withColumn("error", F.when(F.expr("rand() < 0.5"), "no"))
     made, failed = streams.seed_batch(t, maker, 3, keep)
     assert sorted([r["x"] for r in made.collect()] + [r["x"] for r in failed.collect()]) == list(range(200))
+    made, failed = streams.seed_batch(t, maker, 3)
+    assert sorted([r["x"] for r in made.collect()] + [r["x"] for r in failed.collect()]) == list(range(200))

@@ -7,7 +7,7 @@ member_role, sequence_id), tags(id, k, v), users(id, name). All joins are on ids
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilework.functions import geom as g
@@ -101,14 +101,45 @@ def extract_nested(tiles: DataFrame, nodes: DataFrame, ways: DataFrame, way_node
     return out.join(nest(r, ["id", "version", "tstamp", "members"], "relations"), list(KEY), "left")
 
 
-def write_osm_xml(nodes: DataFrame, ways: DataFrame, path: str) -> None:
-    """OSM 0.6 XML under path/nodes and path/ways: one element a row, attributes with underscores in front as the
-    XML writer wants them. nodes: id, version, tstamp, user, lon, lat, tags; ways: id, version, tstamp, user, nodes, tags."""
+def _escaped(value: Column) -> Column:
+    """Text for an XML attribute."""
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        value = F.replace(value, F.lit(raw), F.lit(name))
+    return value
+
+
+def _attributes(values: dict[str, Column]) -> Column:
+    """Attributes of an element; one without a value is left out."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(f' {k}="'), _escaped(v.cast("string")), F.lit('"')), F.lit("")) for k, v in values.items()])
+
+
+def _element(name: str, df: DataFrame, more: dict[str, Column]) -> Column:
+    """A node or way as XML text: tags by key, a way's nodes in their order."""
     when = F.date_format(F.col("tstamp").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.struct(t["key"].alias("_k"), t["value"].alias("_v")))
-    some = lambda a: F.when(F.size(a) > 0, a)
-    base = [F.col("id").alias("_id"), F.col("version").alias("_version"), when.alias("_timestamp"), F.col("user").alias("_user")]
-    place = [F.format_string("%.7f", "lat").alias("_lat"), F.format_string("%.7f", "lon").alias("_lon")]
-    nd = F.transform("nodes", lambda i: F.struct(i.alias("_ref")))
-    for df, cols, name in ((nodes, [*base, *place, some(tags).alias("tag")], "node"), (ways, [*base, some(nd).alias("nd"), some(tags).alias("tag")], "way")):
-        df.select(*cols).write.mode("overwrite").format("xml").option("rootTag", 'osm version="0.6"').option("rowTag", name).save(f"{path}/{name}s")
+    base = {"id": F.col("id"), "version": F.col("version"), "timestamp": when, "user": F.col("user"), **more}
+    inner = [F.transform("nodes", lambda i: F.concat(F.lit('<nd ref="'), i.cast("string"), F.lit('"/>')))] if name == "way" else []
+    if "tags" in df.columns:
+        tags = F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat(F.lit("<tag"), _attributes({"k": t["key"], "v": t["value"]}), F.lit("/>")))
+        inner.append(F.coalesce(tags, F.array().cast("array<string>")))
+    text = F.array_join(F.concat(*inner), "") if inner else F.lit("")
+    return F.concat(F.lit(f"<{name}"), _attributes(base), F.lit(">"), text, F.lit(f"</{name}>"))
+
+
+def osm_documents(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """Z, x, y, part, id, line: the lines of one OSM 0.6 document per tile, in the order of part (its head, nodes, ways, its end) and id.
+    nodes: z, x, y, id, version, tstamp, user, lon, lat and, if any, tags; ways: z, x, y, id, version, tstamp, user, nodes and tags."""
+    place = {"lat": F.format_string("%.7f", "lat"), "lon": F.format_string("%.7f", "lon")}
+    n = nodes.select(*KEY, F.lit(1).alias("part"), "id", _element("node", nodes, place).alias("line"))
+    w = ways.select(*KEY, F.lit(2).alias("part"), "id", _element("way", ways, {}).alias("line"))
+    frame = [(0, '<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6">'), (3, "</osm>")]
+    ends = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).cast("long").alias("id"), F.lit(t).alias("line")) for p, t in frame]))
+    tiles = n.select(*KEY).union(w.select(*KEY)).distinct().select(*KEY, ends.alias("e")).select(*KEY, "e.*")
+    return n.unionByName(w).unionByName(tiles)
+
+
+def write_osm_xml(nodes: DataFrame, ways: DataFrame, path: str) -> None:
+    """A file under path/z=../x=../y=.. for each tile: one whole document with nodes before ways. Spark's text writer commits
+    a task's files when it ends and drops those of failed attempts. A tile's document is written by one task, as a file is; texts are
+    made before the shuffle, and the sort spills."""
+    lines = osm_documents(nodes, ways).repartition(*KEY).sortWithinPartitions(*KEY, "part", "id")
+    lines.select(*KEY, "line").write.mode("overwrite").partitionBy(*KEY).text(path)

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import re
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,24 +229,41 @@ def pixelate(pixels: DataFrame, n: int = 5, size: int = 256) -> DataFrame:
 
 
 def blur(pixels: DataFrame, radius: int = 5, size: int = 256) -> DataFrame:
-    """P10: separable discrete Gaussian of standard deviation radius / 2 over 2 * radius + 1 pixels, edges repeated:
-    two passes, each a spread over offsets and a pre-aggregated sum."""
+    """P10: separable discrete Gaussian of standard deviation radius / 2 over 2 * radius + 1 pixels, edges repeated. Pixels that
+    aren't there count for nothing, and a pixel comes out where one was within reach.
+
+    A tile's pixels are gathered once, into an array with a place for each; both passes go over that array."""
     if radius < 0:
         raise ValueError("the radius has to be 0 or more")
     if radius == 0:
         return pixels
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / (radius / 2)) ** 2)
-    weights /= weights.sum()
-    # edges: the weight of a pixel beyond the edge goes to the edge's pixel
-    taps = F.array(*[F.struct(F.lit(int(o)).alias("o"), F.lit(float(w)).alias("w")) for o, w in zip(range(-radius, radius + 1), weights, strict=True)])
-    out = pixels.select(*PIXEL, *[F.col(c).cast("double").alias(c) for c in (*RGB, "a")])
-    for axis in ("px", "py"):
-        edge = F.when(F.col(axis) == 0, F.lit(-radius)).otherwise(F.lit(0))
-        far = F.when(F.col(axis) == size - 1, F.lit(radius)).otherwise(F.lit(0))
-        wide = out.withColumn("_v", F.explode(F.sequence(F.col(axis) + edge, F.col(axis) + far))).withColumn("_t", F.explode(taps))
-        spread = wide.withColumn(axis, (F.col("_v") + F.col("_t.o")).cast("int")).where(F.col(axis).between(0, size - 1))
-        out = spread.groupBy(*PIXEL).agg(*[F.sum(F.col(c) * F.col("_t.w")).alias(c) for c in (*RGB, "a")])
-    return out
+    taps = [(int(o), float(w)) for o, w in zip(range(-radius, radius + 1), weights / weights.sum(), strict=True)]
+    channels, n = [*RGB, "a"], size * size
+    item = F.struct((F.col("py") * size + F.col("px")).cast("int").alias("at"), *[F.col(c).cast("double").alias(c) for c in channels])
+    kind = "struct<at:int," + ",".join(f"{c}:double" for c in channels) + ">"
+    tiles = pixels.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("v"))
+    none = lambda k: F.array_repeat(F.lit(None).cast(kind), k)
+    v = F.col("v")
+    gaps = F.transform(v, lambda p, i: F.concat(none(p["at"] - F.coalesce(F.get(v, i - 1)["at"], F.lit(-1)) - 1), F.array(p)))
+    out = tiles.withColumn("v", F.concat(F.flatten(gaps), none(n - 1 - F.element_at(v, -1)["at"])))
+    held = lambda p: F.greatest(F.lit(0), F.least(F.lit(size - 1), p))
+    row, column = lambda i: F.floor(i / size).cast("int"), lambda i: i % size
+
+    def passed(at) -> Column:
+        """The array after one pass; at: the place of the pixel that is o away from place i."""
+
+        def mixed(i: Column) -> Column:
+            near = [(F.get(F.col("v"), at(i, o)), w) for o, w in taps]
+            sums = [reduce(lambda a, b: a + b, [F.coalesce(p[c] * w, F.lit(0.0)) for p, w in near]).alias(c) for c in channels]
+            return F.when(F.coalesce(*[p for p, _ in near]).isNotNull(), F.struct(i.alias("at"), *sums))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), mixed)
+
+    out = out.select(*KEY, passed(lambda i, o: row(i) * size + held(column(i) + o)).alias("v"))
+    out = out.select(*KEY, passed(lambda i, o: held(row(i) + o) * size + column(i)).alias("v"))
+    out = out.select(*KEY, F.explode(F.filter("v", lambda p: p.isNotNull())).alias("p"))
+    return out.select(*KEY, column(F.col("p.at")).cast("int").alias("px"), row(F.col("p.at")).alias("py"), *[F.col(f"p.{c}").alias(c) for c in channels])
 
 
 # ---- geometry of rasters ---------------------------------------------------------------------------------------------

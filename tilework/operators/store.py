@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import grid
+from tilework.operators.tables import sums_before, written
 from tilework.operators.tiling import KEY, exact_in_bounds
 
 TILE = ("layer", *KEY, "format")
@@ -133,25 +134,35 @@ def clean_tiles(stored: DataFrame, plan: DataFrame, layers: list[str] | str, for
     return stored.join(gone, list(TILE), "left_anti")
 
 
-def evict_lru(usage: DataFrame, limit: int, buckets: int = 1024) -> DataFrame:
-    """Path, used, size of what to remove: if all sizes exceed limit, the least recently used first until the excess
-    is covered.
-
-    Without an order of all rows: sizes are summed by time buckets (a fixed number), the bucket in which the excess is
-    covered is found, and only its rows are ordered."""
-    t = F.unix_micros(F.col("used").cast("timestamp"))
-    span = usage.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.sum("size").alias("total"))
-    rows = usage.crossJoin(F.broadcast(span)).withColumn("_x", F.col("total") - limit)  # one row
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets))
-    rows = rows.withColumn("_b", F.floor((t - F.col("lo")) / width).cast("int")).where("_x > 0")
-    sums = rows.groupBy("_b").agg(F.sum("size").alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.col("_s"))  # buckets rows at most
-    rows = rows.join(F.broadcast(sums), "_b").where("_before < _x")
-    whole = rows.where("_before + _s <= _x")
-    inside = Window.partitionBy("_b").orderBy("used", "path").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("_before + _s > _x").withColumn("_c", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).where("_c < _x").drop("_c")
-    return whole.unionByName(edge).select("path", "used", "size")
+def evict_lru(usage: DataFrame, limit: int, buckets: int = 1024, bucket_rows: int = 100_000) -> DataFrame:
+    """Path, used, size of what to remove: if all sizes exceed limit, the least recently used first (null before all, ties by path)
+    until the excess is covered.
+
+    Without an order of all rows. Sizes are summed by a fixed number of time buckets, of which the one is found in which the
+    excess is covered; that one is cut into as many again, until it has few rows or is a microsecond wide. Only its rows are
+    ordered then, by ranges of time and path, so that uses of one moment don't meet in one task either. usage is read once."""
+    rows = written(usage.select("path", "used", "size", F.coalesce(F.unix_micros(F.col("used").cast("timestamp")), F.lit(-1 << 60)).alias("_t")), "usage")
+    whole = rows.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
+    excess, lo, hi, gone = whole["total"] - limit, whole["lo"], whole["hi"], rows.where(F.lit(False))
+    if excess <= 0:
+        return gone.drop("_t")
+    while True:
+        width = -(-(hi - lo + 1) // buckets)
+        inside, bucket = rows.where(F.col("_t").between(lo, hi)), ((F.col("_t") - lo) / width).cast("long")
+        hist = inside.groupBy(bucket.alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+        for b, s, n in sorted(hist.collect()):  # ``buckets`` rows at most, and one for what rounding puts beyond
+            crossing = (b, n)
+            if s >= excess:
+                break
+            excess -= s
+        edge = inside.where(bucket == crossing[0])
+        gone = gone.unionByName(inside.where(bucket < crossing[0]))
+        if width == 1 or crossing[1] <= bucket_rows:
+            break
+        span = edge.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
+        lo, hi = span["lo"], span["hi"]
+    edge = sums_before(edge, ["_t", "path"], {"_c": F.col("size")}).where(F.col("_c") < excess)
+    return gone.unionByName(edge.drop("_c")).drop("_t")
 
 
 def store_size(tiles: DataFrame, by: list[str] | None = None, block: int | None = None) -> DataFrame:

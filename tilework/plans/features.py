@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tilework.functions import clip as clips
@@ -359,12 +358,7 @@ def _(spark, sf):
 
 @query("sort_features", f"SELECT id, name, (row_number() OVER (ORDER BY name DESC) - 1)::BIGINT AS place FROM ({fx.POINTS})")
 def _(spark, sf):
-    # the place that a row has in what was sorted: its number within its partition, after the partitions before
-    rows = encode.sort_features(fx.points(spark, sf).select("id", "name"), "name descending")
-    rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("m"), F.min("n").alias("first"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(sizes.select("part", "first", before.alias("before"))), "part").select("id", "name", (F.col("before") + F.col("n") - F.col("first")).alias("place"))
+    return fx.with_place(encode.sort_features(fx.points(spark, sf).select("id", "name"), "name descending"))
 
 
 @query("shared_keys", "SELECT c_mktsegment AS segment, key FROM (SELECT c_mktsegment, unnest(CASE WHEN c_custkey % 7 = 0 AND c_mktsegment = 'BUILDING' THEN ['name'] ELSE ['name', 'bal'] END) AS key FROM customer) JOIN (SELECT c_mktsegment, count(*) AS t FROM customer GROUP BY 1) USING (c_mktsegment) GROUP BY c_mktsegment, key, t HAVING count(*) = t")

@@ -3,7 +3,7 @@ and, as SQL text, in an oracle. The shared tables have no locations, so keys sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import geom as g
@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Adds place, the number of each row in the order that the DataFrame is in: its number within its partition, after the partitions before."""
+    rows = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_n"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_m"), F.min("_n").alias("_first"))
+    before = F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    return rows.join(F.broadcast(sizes.select("_part", "_first", before.alias("_b"))), "_part").withColumn("place", F.col("_b") + F.col("_n") - F.col("_first")).drop("_part", "_n", "_first", "_b")
+
+
 def place(key: str) -> list:
     k = F.col(key)
     return [((k * 7919 % 36000).cast("double") / 100.0 - 180.0).alias("lon"), ((k * 104729 % 17000).cast("double") / 100.0 - 85.0).alias("lat")]

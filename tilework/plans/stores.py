@@ -237,9 +237,36 @@ def _(spark, sf):
     return osm.osm_relations(at, w, o["relations"], o["members"], o["users"]).select("x", "y", "id", F.size("members").cast("long").alias("n"))
 
 
-@query("osm_ordered", f"WITH {CLOSED} SELECT id, count(*) AS tiles FROM nd GROUP BY id")
+@query("osm_ordered", f"WITH {CLOSED} SELECT id, count(*) AS tiles, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place FROM nd GROUP BY id")
 def _(spark, sf):
     o = fx.osm(spark, sf)
-    return osm.nodes_in_tiles(o["nodes"], osm_tiles(spark)).groupBy("id").agg(F.count("*").alias("tiles")).orderBy("id")
+    return fx.with_place(osm.nodes_in_tiles(o["nodes"], osm_tiles(spark)).groupBy("id").agg(F.count("*").alias("tiles")).orderBy("id"))
+
+
+@query(
+    "osm_nested",
+    f"""WITH {CLOSED}, t AS (SELECT a::INT AS x, b::INT AS y FROM range(8) AS q(a), range(8) AS s(b)),
+refs AS (SELECT way_id AS id, string_agg(node_id, ',' ORDER BY sequence_id, node_id) AS refs FROM wn GROUP BY way_id),
+m AS (SELECT relation_id AS id, string_agg(member_type || member_id, ',' ORDER BY sequence_id, member_type, member_id) AS members FROM mem GROUP BY relation_id)
+SELECT x, y, (SELECT string_agg(id, ',' ORDER BY id) FROM nd WHERE nd.x = t.x AND nd.y = t.y) AS nodes,
+  (SELECT md5(string_agg(id || ':' || refs, ';' ORDER BY id)) FROM w JOIN refs USING (id) WHERE w.x = t.x AND w.y = t.y) AS ways,
+  (SELECT md5(string_agg(id || ':' || members, ';' ORDER BY id)) FROM r JOIN rel USING (id) JOIN m USING (id) WHERE r.x = t.x AND r.y = t.y) AS relations FROM t""",
+)
+def _(spark, sf):
+    o = fx.osm(spark, sf)
+    e = osm.extract_nested(osm_tiles(spark), o["nodes"], o["ways"], o["way_nodes"], o["relations"], o["members"], o["users"])
+    refs = F.transform("ways", lambda w: F.concat_ws(":", w["id"], F.array_join(w["nodes"], ",")))
+    members = F.transform("relations", lambda r: F.concat_ws(":", r["id"], F.array_join(F.transform(r["members"], lambda m: F.concat(m["member_type"], m["member_id"])), ",")))
+    digest = lambda a: F.md5(F.array_join(a, ";").cast("binary"))
+    return e.select("x", "y", F.array_join(F.transform("nodes", lambda n: n["id"].cast("string")), ",").alias("nodes"), digest(refs).alias("ways"), digest(members).alias("relations"))
+
+
+@query("osm_document", f"WITH {CLOSED} SELECT x, y, nd.id, '<node id=\"' || nd.id || '\" version=\"1\" timestamp=\"1995-01-01T00:00:00Z\"' || coalesce(' user=\"' || n_name || '\"', '') || ' lat=\"' || printf('%.7f', lat) || '\" lon=\"' || printf('%.7f', lon) || '\"></node>' AS line FROM nd JOIN osm_n USING (id) LEFT JOIN nation ON n_nationkey = user_id")
+def _(spark, sf):
+    o = fx.osm(spark, sf)
+    at = osm.nodes_in_tiles(o["nodes"], osm_tiles(spark))
+    d = osm.osm_documents(osm.osm_nodes(o["nodes"], osm_tiles(spark), o["users"]), osm.osm_ways(at, o["ways"], o["way_nodes"], o["users"]))
+    return d.where("part = 1").select("x", "y", "id", "line")
+
 
 

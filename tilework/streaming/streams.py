@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tilework.functions import grid
 from tilework.functions.paths import parse_tile_path
+from tilework.operators.tables import written
 from tilework.operators.tiling import KEY
 
 
@@ -58,6 +59,62 @@ def idle_processes(stream: DataFrame, gap: str = "10 minutes", delay: str = "1 h
     return spans.select("pid", F.col("w.start").alias("first"), (F.col("w.end") - F.expr(f"INTERVAL {gap}")).alias("last"), "n")
 
 
+#: What a process is once nothing has come from it for so many minutes.
+IDLE = {"hidden": 10, "expired": 60, "dropped": 360}
+
+
+class _Silence(StatefulProcessor):
+    """A process's newest message as value state, with an event-time timer for each kind of silence after it."""
+
+    def __init__(self, spans: dict[str, int]):
+        self.spans = sorted((minutes * 60_000, name) for name, minutes in spans.items())
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long, message string")
+
+    def _row(self, key, ms: int, message: str, state: str) -> pd.DataFrame:
+        return pd.DataFrame({"pid": [key[0]], "ms": [ms], "message": [message], "state": [state]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        have = tuple(self.last.get()) if self.last.exists() else None
+        new = have
+        for pdf in rows:
+            for found in pdf[["ms", "message"]].itertuples(index=False, name=None):
+                new = found if new is None else max(new, found)
+        if new != have:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            # a message exactly so old is not yet silent, hence the millisecond
+            for span, _ in self.spans:
+                self.handle.registerTimer(int(new[0]) + span + 1)
+            self.last.update((int(new[0]), new[1]))
+            yield self._row(key, int(new[0]), new[1], "shown")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ms, message = self.last.get()
+        idle = expiredTimerInfo.getExpiryTimeInMs() - ms
+        state = [name for span, name in self.spans if span < idle][-1]
+        if state == self.spans[-1][1]:
+            self.last.clear()
+        yield self._row(key, ms, message, state)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_processes(stream: DataFrame, delay: str = "1 minute", spans: dict[str, int] | None = None) -> DataFrame:
+    """T03 as a stream: pid, last, message, state. A row whenever a process's newest message changes (shown) and, without any message of
+    its own, when event time shows that it has been silent for longer than 10 minutes (hidden), an hour (expired) and 6 hours
+    (dropped, and its state is gone). Each row replaces the pid's earlier one. Event time is that of all processes' messages,
+    less the delay. Needs the RocksDB state store."""
+    rows = stream.withWatermark("ts", delay).select("pid", "ts", F.unix_millis("ts").alias("ms"), "message")
+    out = rows.groupBy("pid").transformWithStateInPandas(
+        statefulProcessor=_Silence(spans or IDLE), outputStructType="pid long, ms long, message string, state string", outputMode="Update", timeMode="EventTime"
+    )
+    return out.select("pid", F.timestamp_millis("ms").alias("last"), "message", "state")
+
+
 def process_states(messages: DataFrame, now, hide: str = "10 minutes", expire: str = "1 hour", drop: str = "6 hours") -> DataFrame:
     """Pid, last, message (the newest one) and state of each process at a time: shown, hidden once idle for longer than
     hide, expired once its messages are older than expire, dropped once idle for longer than drop. Messages after now don't
@@ -91,21 +148,13 @@ def tile_counts_stream(stream: DataFrame, zoom: int, window: str = "1 hour", del
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *KEY, "n")
 
 
-def refresh_areas(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """Area changes (tile keys) handed over a batch at a time, distinct; apply has to be idempotent by batch number
-    (operators.store.replace_area written with partition overwrite is)."""
-    return stream.writeStream.foreachBatch(lambda df, n: apply(df.select(*KEY).distinct(), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def seed_batch(tiles: DataFrame, render: Callable[[DataFrame, int], DataFrame], attempts: int = 3, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """T07's step: (made, failed). render(tiles, attempt) adds body and error; tiles with an error are tried again.
 
-    keep(rendered, attempt) writes an attempt's rows and returns what was written, so that nothing is rendered twice and a
-    maker that answers differently from time to time can't put a tile on both sides or on neither. Without it, attempts
-    are eagerly checkpointed where the session has a checkpoint folder, and plain (a pure maker gives the same) elsewhere."""
-    sc = tiles.sparkSession.sparkContext
-    if keep is None:
-        keep = (lambda df, n: df.checkpoint()) if sc.getCheckpointDir() or tiles.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df, n: df)
+    Every attempt's rows are written, by keep(rendered, attempt), which returns what it has written, or else to a table in the shared
+    folder. So nothing is rendered twice, and a maker that answers differently from time to time can't put a tile on both
+    sides or on neither."""
+    keep = keep or (lambda df, n: written(df, f"attempt-{n}"))
     made, todo = None, tiles.select(*KEY)
     failed = None
     for attempt in range(1, attempts + 1):
