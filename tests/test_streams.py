@@ -114,8 +114,8 @@ def test_silence_is_reported_in_order_and_forgotten(spark, tmp_path):
     assert q.awaitTermination(300)
     one = [(r[3], r[4]) for r in sorted(seen, key=lambda r: r[0]) if r[1] == 1]
     assert one == [("b", "shown"), ("b", "hidden"), ("b", "expired"), ("b", "dropped"), ("back", "shown")]
-    # after it was dropped nothing of it is left: "back" is a first message again, and pid 2 never fell silent for long enough but at 80 to 500
-    assert {r[4] for r in seen if r[1] == 2} >= {"shown", "hidden"}
+    # pid 2's own messages make event time go on, so it is never silent
+    assert {r[4] for r in seen if r[1] == 2} == {"shown"}
 
 
 def test_request_pairs(spark, sf, tmp_path):
