@@ -7,7 +7,8 @@ stands for everything the replica holds, in its place. Two replicas' trees are m
 root: only below nodes that differ are children fetched from both sides and compared, and only in the ranges that
 differ at last are records held against each other.
 
-A lost record leaves a hole and a changed one keeps its place, so neighbours' ranges stay equal. A range holds so many
+A lost record leaves a hole and a changed one keeps its place, so neighbours' ranges stay equal. Files may have any length: a file
+has as many range numbers as the longest one of either replica needs, and numbers without records cost nothing. A range holds so many
 records at most as its bytes allow and a node ``fan`` children, so no group grows with the archive. Levels are written
 narrow tables, about fan times smaller each. Records as a whole are joined only with the list of differing ranges.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilework.llm.common import running, small, written
 
-FILE_BYTES, RANGE_BYTES, FAN, RANGES = 1 << 28, 1 << 17, 16, 1 << 12
+FILE_BYTES, RANGE_BYTES, FAN = 1 << 28, 1 << 17, 16
 FIELDS = ["file", "offset", "record_id", "length", "sha256"]
 
 
@@ -56,15 +57,22 @@ def laid_out(hashed: DataFrame) -> DataFrame:
     return placed.join(small(begins), F.col("file") == F.col("_f")).withColumn("offset", F.col("_at") - F.col("_begin")).drop("_at", "_f", "_begin")
 
 
-def _range(offset: Column, file: Column, range_bytes: int) -> Column:
-    return file * RANGES + F.least(F.floor(offset / range_bytes), F.lit(RANGES - 1)).cast("long")
+def ranges_of(*inventories: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[int, int]:
+    """Ranges of a file, as many as the longest file of all the inventories has, a power of two; and the number of files."""
+    ends = [i.agg(F.max("offset").alias("at"), F.max("file").alias("file")).first() for i in inventories]
+    most = max((e["at"] or 0) for e in ends) // range_bytes + 1
+    return 1 << (most - 1).bit_length(), max((e["file"] or 0) for e in ends) + 1
 
 
-def leaves(inventory: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """node, hash of an inventory's ranges."""
+def _range(offset: Column, file: Column, range_bytes: int, ranges: int) -> Column:
+    return file * ranges + F.floor(offset / range_bytes).cast("long")
+
+
+def leaves(inventory: DataFrame, ranges: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """node, hash of an inventory's ranges; a file has as many as ``ranges``."""
     each = F.struct("offset", "record_id", "length", "sha256")
     text = F.transform("c", lambda x: F.concat_ws(":", x["offset"], F.coalesce(x["record_id"].cast("string"), F.lit("none")), x["length"], x["sha256"]))
-    out = inventory.groupBy(_range(F.col("offset"), F.col("file"), range_bytes).alias("node")).agg(F.array_sort(F.collect_list(each)).alias("c"))
+    out = inventory.groupBy(_range(F.col("offset"), F.col("file"), range_bytes, ranges).alias("node")).agg(F.array_sort(F.collect_list(each)).alias("c"))
     return written(out.select("node", F.sha2(F.array_join(text, "\n"), 256).alias("hash")), "leaves")
 
 
@@ -75,18 +83,17 @@ def parents(level: DataFrame, fan: int = FAN) -> DataFrame:
     return written(out.select(F.col("up").alias("node"), F.sha2(text, 256).alias("hash")), "level")
 
 
-def tree(inventory: DataFrame, height: int, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> list[DataFrame]:
+def tree(inventory: DataFrame, ranges: int, height: int, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> list[DataFrame]:
     """The levels of a replica's tree, ranges first, the root's (node 0) last."""
-    levels = [leaves(inventory, range_bytes)]
+    levels = [leaves(inventory, ranges, range_bytes)]
     for _ in range(height):
         levels.append(parents(levels[-1], fan))
     return levels
 
 
-def height_of(*inventories: DataFrame, fan: int = FAN) -> int:
-    """Levels above the ranges that lead to one root for all the inventories."""
-    last = max((i.agg(F.max("file").alias("f")).first()["f"] or 0) for i in inventories)
-    nodes, height = (last + 1) * RANGES, 0
+def height_of(nodes: int, fan: int = FAN) -> int:
+    """Levels above so many ranges that lead to one root."""
+    height = 0
     while nodes > 1:
         nodes, height = -(-nodes // fan), height + 1
     return height
@@ -108,9 +115,10 @@ def audit(archive: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     """One row per record of either inventory: file, offset, record_id, length, sha256 (the archive's, for extra
     records the replica's), range, status."""
     archive, replica = (x.select(*FIELDS) for x in (archive, replica))
-    height = height_of(archive, replica, fan=fan)
-    bad = small(differing(tree(archive, height, range_bytes, fan), tree(replica, height, range_bytes, fan), fan))
-    at_ = _range(F.col("offset"), F.col("file"), range_bytes)
+    ranges, files = ranges_of(archive, replica, range_bytes=range_bytes)
+    height = height_of(ranges * files, fan)
+    bad = small(differing(*(tree(x, ranges, height, range_bytes, fan) for x in (archive, replica)), fan))
+    at_ = _range(F.col("offset"), F.col("file"), range_bytes, ranges)
     order = Window.partitionBy("file", "offset", "record_id").orderBy("sha256", "length")
     one, two = (x.withColumn("range", at_) for x in (archive, replica))
     inside = [x.join(bad, F.col("range") == F.col("node"), "left_semi").withColumn("copy", F.row_number().over(order)) for x in (one, two)]
