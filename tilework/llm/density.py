@@ -9,8 +9,7 @@ are adjusted by its links:
 with C characters, T tags, LC characters in links, LT links of the subtree (0 counts as 1). A node's density sum is that
 of its children. The node of the largest sum is taken; the least density on its path to body is the threshold. From
 body down, each node that reaches the threshold contributes the node of largest sum in its subtree, so that parts of an
-article beside the first one are found too. An article or main element around the first is taken whole instead. The
-chosen subtrees' text blocks, in page order, are the result.
+article beside the first one are found too. The chosen subtrees' text blocks, in page order, are the result.
 
 One pass in mapInArrow, a page at a time: no shuffle, memory of a batch.
 
@@ -199,8 +198,7 @@ class Page:
 
     def content(self) -> set[int]:
         """The nodes of the chosen subtrees. The node of the largest density sum gives the threshold, the least density on its
-        path to body. From body down, as long as nodes reach the threshold, each contributes its subtree's node of largest sum. An
-        article or main element around the first is taken whole, and nothing beside it."""
+        path to body. From body down, as long as nodes reach the threshold, each contributes its subtree's node of largest sum."""
         density, n = self.densities(), len(self.tag)
         sums = [0.0] * n
         for i in range(n - 1, 0, -1):
@@ -210,19 +208,15 @@ class Page:
             p = self.parent[i]
             if (sums[top[i]], -top[i]) > (sums[top[p]], -top[p]):
                 top[p] = top[i]
-        threshold, i, whole = density[top[0]], top[0], None
+        threshold, i = density[top[0]], top[0]
         while i >= 0:
             threshold = min(threshold, density[i])
-            if self.tag[i] in ("article", "main"):
-                whole = i
             i = self.parent[i]
-        chosen = {top[0]} if whole is None else {whole}
-        if whole is None:
-            reached = {0}
-            for i in range(1, n):
-                if self.parent[i] in reached and self.chars[i] and density[i] >= threshold:
-                    reached.add(i)
-                    chosen.add(top[i])
+        chosen, reached = {top[0]}, {0}
+        for i in range(1, n):
+            if self.parent[i] in reached and self.chars[i] and density[i] >= threshold:
+                reached.add(i)
+                chosen.add(top[i])
         for i in range(min(chosen) + 1, n):
             if self.parent[i] in chosen:
                 chosen.add(i)
