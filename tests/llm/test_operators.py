@@ -307,6 +307,43 @@ def test_disguised_words_are_restored(lm, text, word):
     assert word in toxicity.Restorer(lm).words(f"and {text} then")
 
 
+def test_doubled_letters_are_searched(spark):
+    plain = "the bullshit of that asshole was small and the fool fell all over the shit hole " * 30
+    r = toxicity.Restorer(toxicity.language_model(frame(spark, [(1, plain, "s")])))
+    for text, word in (("bullshiit", "bullshit"), ("asshoole", "asshole"), ("asssholle", "asshole"), ("BULLSHITT", "bullshit"), ("bbuullsshhiitt", "bullshit")):
+        assert word in r.words(text), text
+        choices = r.decoder.columns(text)
+        best = max(("".join(p) for p in itertools.product(*[[t for t, _ in c] for c in choices])), key=lambda w: -cost_of(r.decoder, w, text))
+        assert best in r.words(text)
+    assert "fell" in r.words("fell") and "small" in r.words("small")
+
+
+def cost_of(decoder, word, text):
+    """Of a word read from a text, its least cost in the channel less its log probability."""
+    a = b = 0
+    total = 0.0
+    for x in word + " ":
+        n = toxicity.CODE.get(x, 0)
+        total -= decoder.model[a][b][n]
+        a, b = b, n
+    costs = [c for p in itertools.product(*decoder.columns(text)) if "".join(t for t, _ in p) == word for c in [sum(c for _, c in p)]]
+    return total + min(costs)
+
+
+@pytest.mark.parametrize("text", ["1 " * 100_000, "1- " * 100_000, "1-" * 100_000, "a " * 100_000 + "word", "1. 1- " * 50_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.time()
+    assert len(toxicity.spaced_runs(text)) == ("a" in text)
+    assert time.time() - began < 20
+
+
+def test_spaced_runs():
+    assert toxicity.spaced_runs("you i d i o t, x") == ["i d i o t"] and toxicity.spaced_runs("a b c") == [] and toxicity.spaced_runs("s.t.u.p.i.d") == ["s.t.u.p.i.d"]
+    assert toxicity.spaced_runs("1 2 3 4 5") == [] and toxicity.spaced_runs("i d 1 0 t word") == ["i d 1 0 t"] and toxicity.spaced_runs("m o r o n-like a b") == ["m o r o"]
+
+
 @pytest.mark.parametrize("token", ["1d1", "s+p", "l00s", "t.r@", "aabb", "i d 1", "6*t", "x"])
 def test_decoding_against_all_paths_of_the_lattice(lm, token):
     d = toxicity.Decoder(lm)
@@ -455,7 +492,7 @@ def held_against(one, two):
 
 
 def root(spark, rows):
-    (top,) = fixity.tree(inventory(spark, rows), 4)[-1].collect()
+    (top,) = fixity.tree(inventory(spark, rows), 1 << 12, 4)[-1].collect()
     return top["hash"]
 
 
@@ -482,6 +519,12 @@ def test_audit_against_a_plain_comparison_under_random_damage(spark, seed):
         got = fixity.audit(inventory(spark, a), inventory(spark, b), range_bytes=4096).collect()
         assert Counter(((r["file"], r["offset"], r["record_id"]), r["status"]) for r in got) == held_against(a, b)
     assert fixity.audit(inventory(spark, []), inventory(spark, [])).count() == 0
+    # a file of more than 512 MiB: each range is its own leaf, to the last
+    long_ = [(0, i << 20, i, 1 << 20, f"h{i}") for i in range(1200)] + [(2, 0, 9999, 5, "x")]
+    bad = [(*r[:4], "bad") if r[2] == 1100 else r for r in long_]
+    got = fixity.audit(inventory(spark, long_), inventory(spark, bad)).collect()
+    assert Counter(((r["file"], r["offset"], r["record_id"]), r["status"]) for r in got) == held_against(long_, bad)
+    assert len({r["range"] for r in got}) == 1201
     base = root(spark, one)
     assert base == root(spark, one[::-1]) and base != root(spark, [*one, (9, 0, 77, 5, "new")]) and base != root(spark, [(r[0], r[1] + (i == 5), *r[2:]) for i, r in enumerate(one)])
 
@@ -560,6 +603,36 @@ def test_densities_against_their_definition():
             assert tag == node[0] and got == pytest.approx(want)
 
 
+def test_chosen_nodes_against_their_definition():
+    """Random trees: sums, the path's threshold and what is reached, each by recursion from the densities."""
+    import random
+
+    for seed in range(60):
+        rng, n = random.Random(seed), itertools.count()
+
+        def tree(depth, rng=rng, n=n):
+            inner = "".join(tree(depth - 1) if depth and rng.random() < 0.7 else f"<p>{'text ' * rng.randint(0, 30)}{'<a>link</a>' * rng.randint(0, 2)} {next(n)}</p>" for _ in range(rng.randint(1, 4)))
+            return f"<{(tag := rng.choice(['div', 'section', 'article', 'main']))}>{inner}</{tag}>"
+
+        page = density.Page(f"<body>{tree(4)}{tree(2)}</body>")
+        d, nodes = page.densities(), range(len(page.tag))
+        kids = {i: [k for k in nodes if k and page.parent[k] == i] for i in nodes}
+        total = {i: sum(d[k] for k in kids[i]) for i in nodes}
+        below = lambda i: {i}.union(*(below(k) for k in kids[i]))  # noqa: B023, E731
+        best = lambda i: max(below(i), key=lambda k: (total[k], -k))  # noqa: B023, E731
+        path, i = [], best(0)
+        while i >= 0:
+            path.append(d[i])
+            i = page.parent[i]
+        want, waiting = below(best(0)), [0]
+        while waiting:
+            for k in kids[waiting.pop()]:
+                if page.chars[k] and d[k] >= min(path):
+                    waiting.append(k)
+                    want |= below(best(k))
+        assert page.content() == want, seed
+
+
 def test_every_page_of_the_table(spark, sf):
     """The pages' template is known: the article's blocks in order are the text."""
     for r in density.extracted(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():

@@ -5,8 +5,8 @@ spread out with spaces or dots, or repeated. A suspicious token, or a run of sin
 columns hold the letters each written character may stand for (with the channel's cost), repeated letters may collapse,
 and separators may vanish or be a word's edge; a Viterbi pass under a character trigram model, counted over all
 documents, picks the likeliest words. Tokens and runs are decoded whole, whatever their length: time is linear in it, and
-states are pairs of letters. Where doubled letters are a token's only sign, its lattice's two ends, as written and wholly
-collapsed, are both taken without a search. Tokens without such signs stay as they are. The restored words are then scored.
+states are pairs of letters. Letters written twice or more are such a sign, too: each of them may be kept or collapsed. Tokens without
+signs stay as they are. The restored words are then scored, and those that were written.
 
 The score is a logistic model over word beginnings and whole words, fitted on a bounded, documented sample of labelled
 documents (sample_rows). Its features are those whose document frequencies differ most between the labels; their counts
@@ -49,7 +49,8 @@ _MIXED = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|^[{_SI
 _DOUBLED = re.compile(r"([^\W\d_])\1+")
 #: A run of single letters and look-alikes (four or more, one letter at least) with one or two separators or white space between.
 _ONE = rf"(?:[^\W\d_]|[{_SIGNS.replace(re.escape('*'), '')}])"
-_SPACED = re.compile(rf"(?<!\S)(?=\S[\s{re.escape(SEPARATORS)}])(?=[^\w\s]?\W*(?:[\d_]\W+)*[^\W\d_])(?:{_ONE}[\s{re.escape(SEPARATORS)}]{{1,2}}){{3,}}{_ONE}(?![^\s.,!?;:])")
+_SPACED = re.compile(rf"(?<!\S){_ONE}(?:[\s{re.escape(SEPARATORS)}]{{1,2}}{_ONE}){{3,}}+")
+_BETWEEN = re.compile(rf"[\s{re.escape(SEPARATORS)}]")
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
 _WORD = re.compile(r"[^\W\d_]+")
 _AROUND = ".,;:!?\"'()[]"
@@ -139,6 +140,22 @@ class Decoder:
         return "".join(reversed(parts)).split()
 
 
+def spaced_runs(text: str) -> list[str]:
+    """The text's runs of single characters, in one pass: a run is taken as far as it goes, and back to the last character that white
+    space or punctuation follows."""
+    out = []
+    for m in _SPACED.finditer(text):
+        start, end = m.span()
+        while end > start and end < len(text) and not text[end].isspace() and text[end] not in ".,!?;:":
+            end -= 1
+            while end > start and _BETWEEN.match(text[end - 1]):
+                end -= 1
+        run = text[start:end]
+        if sum(not _BETWEEN.match(c) for c in run) >= 4 and any(c.isalpha() for c in run):
+            out.append(run)
+    return out
+
+
 class Restorer:
     """Words of texts, with disguised ones restored. What was decoded is remembered, up to MEMORY characters."""
 
@@ -167,11 +184,8 @@ class Restorer:
             else:
                 found = _WORD.findall(low)
             # both readings count: the channel may have left the token alone
-            doubled = _DOUBLED.search(core) is not None
-            if (found != () or doubled) and _MIXED.search(core) is not None:
+            if _DOUBLED.search(core) is not None or (found != () and _MIXED.search(core) is not None):
                 found = [*found, *self.decoded(core)]
-            elif doubled:
-                found = [*found, *_WORD.findall(_DOUBLED.sub(r"\1", core))]
             if found:
                 words.extend(found)
                 owner.extend([i] * len(found))
@@ -179,7 +193,7 @@ class Restorer:
 
     def runs(self, text: str) -> list[str]:
         """Words of the text's spaced runs."""
-        return [w for m in _SPACED.finditer(text) for w in self.decoder.decode(m[0])]
+        return [w for run in spaced_runs(text) for w in self.decoder.decode(run)]
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of one text."""
