@@ -126,6 +126,28 @@ def _(spark, sf):
     )
 
 
+_M = "6378137.0 * 2 * pi()"
+_LAT = "degrees(2 * atan(exp((0.5 - ({0}) / 2.0 ** z) * 2 * pi())) - pi() / 2)"
+
+
+@query(
+    "sql_grid_functions",
+    f"""SELECT id, z, round((x / 2.0 ** z - 0.5) * {_M}, 3) AS xmin, round((0.5 - y / 2.0 ** z) * {_M} + 4 * {_M} / 2.0 ** (z + 8), 3) AS ymax, round({_LAT.format('y')}, 6) AS north, round(x / 2.0 ** z * 360 - 180, 6) AS west,
+  round((x + 0.5) / 2.0 ** z * 360 - 180, 6) AS lon, round({_LAT.format('y + 0.5')}, 6) AS lat, x // 4 AS up, x * 2 + 1 AS child_x, y * 2 + 1 AS child_y, x // 4 * 4 AS block, x % 4 * 256 + 64 AS pixel, 1152 AS size,
+  round({_M} / 2.0 ** (z + 8), 6) AS tolerance, ceil(log10(2.0 ** (z + 10)) - 2)::INT AS "precision", lon >= -60 AND lon <= 60 AND z >= 9 AS inside
+FROM (SELECT id, z, floor((lon + 180) / 360 * 2.0 ** z)::INT AS x, {fx.TY} AS y, round(floor((lon + 180) / 360 * 2.0 ** z) / 2.0 ** z * 360 - 180, 6) AS lon FROM {PZ} WHERE z IN (6, 10) AND abs(lon) NOT BETWEEN 54 AND 66)""",
+)
+def _(spark, sf):
+    udf.register_sql(spark)
+    p = fx.points(spark, sf).where("abs(lon) NOT BETWEEN 54 AND 66").selectExpr("id", "lon", "lat", "explode(array(6, 10)) AS z").selectExpr("id", "z", "tw_tile_x(lon, z) AS x", "tw_tile_y(lat, z) AS y")
+    return p.selectExpr(
+        "id", "z", "round(tw_envelope(z, x, y).xmin, 3) AS xmin", "round(tw_padded_envelope(z, x, y, 4D).ymax, 3) AS ymax", "round(tw_bbox(z, x, y).n, 6) AS north", "round(tw_bbox(z, x, y).w, 6) AS west",
+        "round(tw_center(z, x, y).lon, 6) AS lon", "round(tw_center(z, x, y).lat, 6) AS lat", "tw_parent(x, 2) AS up", "tw_children(x, y)[3].x AS child_x", "tw_children(x, y)[3].y AS child_y",
+        "tw_metatile(x, 4) AS block", "tw_metatile_offset(x, 4, 64, 256) AS pixel", "tw_metatile_size(4, 64, 256) AS size", "round(tw_tolerance(z), 6) AS tolerance", "tw_precision(z) AS precision",
+        "tw_in_bounds(z, x, y, 89D, -60D, -89D, 60D, 9, 12) AS inside",
+    )
+
+
 @query(
     "cover_tiles",
     f"""SELECT id, x, y FROM (SELECT id, 5 AS z, greatest(0, floor((xmin + 180) / 360 * 32))::INT AS x0, least(31, floor((xmax + 180) / 360 * 32))::INT AS x1,
