@@ -69,6 +69,20 @@ def test_depleted_documents_are_rejected(spark):
     assert not any(got[i]["kept"] for i in range(12)) and got[50]["kept"] and got[3]["removed_words"] == 80
 
 
+def test_limit_is_bounded_for_large_hosts_and_names_may_clash(spark):
+    often = "a line of boilerplate that eleven documents share " * 3
+    own = lambda i: sentence(i, 60).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731 (digits are all one to a normalised line)
+    rows = [(i, own(i) + (f"\n{often}" if i < 11 else ""), "h") for i in range(300)]
+    docs = frame(spark, rows).selectExpr("*", "'t' AS _t", "'k' AS _keys", "'h' AS _hh", "1 AS _id", "2 AS _host")
+    texts = {r["doc_id"]: r for r in quality.apply_quality(docs).collect()}
+    assert all(texts[i]["text"] == t for i, t, _ in rows)  # 5 % of 300 documents are 15
+    got = quality.apply_quality(docs, max_docs=10)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert r["text"] == own(r["doc_id"]) and r["n_chars"] == len(r["text"]) and (r["_t"], r["_keys"], r["_hh"], r["_id"], r["_host"]) == ("t", "k", "h", 1, 2)
+    assert got.count() == 300
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 

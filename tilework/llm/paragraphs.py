@@ -284,18 +284,21 @@ def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """The documents in their own columns, without the passages that repeat another; n_chars, where there is such
-    a column, follows the text. All documents stay, those left without text too. Columns of docs whose names begin with an
-    underscore may clash with this operator's own."""
+    a column, follows the text. All documents stay, those left without text too, with columns of any names."""
     gone = repeated_passages(docs, **parameters).where("NOT kept").groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.collect_list(F.struct("at", "until")).alias("_gone"))
     gone = written(gone, "removals")
     gone = small(gone, gone.agg(F.sum(F.size("_gone")).alias("n")).first()["n"] or 0)
-    d = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = d.join(gone, d["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_t"] == gone["_tt"]), "left")
-    left = _cut_out(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))
-    out = out.withColumn("_left", left).withColumn("text", F.coalesce("_left", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long")))
-    return out.select(*docs.columns)
+    # the row's own columns travel inside a struct, where their names can't meet those of the removals
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["text"].alias("_text"))
+    d = d.withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    out = d.join(gone, d["_doc.doc_id"].cast("long").eqNullSafe(gone["_id"]) & (d["_t"] == gone["_tt"]), "left")
+    left = _cut_out(F.when(F.col("_gone").isNotNull(), F.col("_text")), F.col("_gone"))
+    out = out.withColumn("_left", left)
+    own = {c: F.col("_doc").getField(c) for c in docs.columns}
+    own["text"] = F.coalesce("_left", "_text")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("_left").isNull(), own["n_chars"]).otherwise(F.length("_left").cast("long"))
+    return out.select(*[v.alias(k) for k, v in own.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

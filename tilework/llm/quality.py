@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed), hashed with their host, and counted by
 distinct documents of that host; a document is a distinct text, so exact copies (another operator's business) count
-once. Lines above the limit are removed, and a document that loses most of its words is rejected.
+once. Lines above the limit are removed, and a document that loses most of its words is rejected. The limit is a share
+of the host's documents, bounded below for small hosts and above for large ones.
 
 Two shuffles of narrow rows (host-and-line hash, text hash): one for the counts, pre-aggregated on the map side, one
 to find the lines above the limit in their documents. The texts themselves are never shuffled. The join on the line's
@@ -74,21 +75,21 @@ def line_table(docs: DataFrame, host: str = "source", text: str = "text") -> Dat
     return rows.select("doc_id", "_t", F.col("_l.k").alias("_k"), F.col("_l.n").alias("_n"))
 
 
-def line_losses(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 10, host_share: float = 0.05) -> DataFrame:
+def line_losses(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 10, host_share: float = 0.05, max_docs: int = 1000) -> DataFrame:
     """The documents with lines above the limit: doc_id, _t, removed_words, removed_lines, _keys (the lines' hashes).
 
     A line is above the limit if more than max(min_docs, host_share * the host's documents) distinct documents of
-    the host have it.
+    the host have it, or more than max_docs however large the host is.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.groupBy("doc_id", F.xxhash64(t).alias("_t"), F.col(host).alias("_h")).agg(F.count("*").alias("_rows"))
     hosts = rows.groupBy("_h").agg(F.count_distinct("_t").alias("_docs"))
     lines = line_table(docs, host, text)
-    counts = lines.select("_k", "_t").distinct().groupBy("_k").agg(F.count("*").alias("_df")).where(F.col("_df") > min_docs)
+    counts = lines.select("_k", "_t").distinct().groupBy("_k").agg(F.count("*").alias("_df")).where(F.col("_df") > min(min_docs, max_docs))
     found = lines.join(counts, "_k").groupBy("doc_id", "_t", "_k").agg(F.max("_df").alias("_df"), F.sum("_n").alias("_n"), F.count("*").alias("_m"))
     rows = rows.withColumnsRenamed({"doc_id": "_id", "_t": "_tt"})
     placed = found.join(rows, found["doc_id"].eqNullSafe(rows["_id"]) & (found["_t"] == rows["_tt"]))
-    limits = hosts.select(F.col("_h").alias("_hh"), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share).alias("_limit"))
+    limits = hosts.select(F.col("_h").alias("_hh"), F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share)).alias("_limit"))
     above = placed.join(limits, F.col("_h").eqNullSafe(F.col("_hh"))).where(F.col("_df") > F.col("_limit"))
     # of a repeated row every line was met as often as the row; the division takes that back
     return above.groupBy("doc_id", "_t", "_h").agg(
@@ -124,22 +125,25 @@ def quality_verdicts(docs: DataFrame, host: str = "source", text: str = "text",
 
 
 def apply_quality(docs: DataFrame, host: str = "source", text: str = "text", max_loss: float = 0.5, **limits) -> DataFrame:
-    """The documents that stay, in their own columns, without the lines above the limit. Columns of docs whose names
-    begin with an underscore may clash with this operator's own."""
+    """The documents that stay, in their own columns (of any names), without the lines above the limit."""
     # verdicts are written first: a filter on them must not be pushed into the features' expressions
     d = docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text"))
     f = base_features(d, "_text").withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit("")))).drop("_text")
     v = _with_losses(f, line_losses(d, "_host", "_text", **limits), "_host", "_text")
     v = written(v.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt"), F.col("_host").alias("_hh"), "n_words", "n_repeat_words", "removed_words", "_keys"), "verdicts")
     v = v.where(~F.expr(BASE_FAILED) & ~(F.col("removed_words") > F.col("n_words") * max_loss)).select("_id", "_tt", "_hh", "_keys").dropDuplicates(["_id", "_tt", "_hh"])
-    out = docs.withColumn("_t", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = out.join(v, out["doc_id"].eqNullSafe(v["_id"]) & (out["_t"] == v["_tt"]) & out[host].eqNullSafe(v["_hh"]))
-    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_keys", F.xxhash64(F.col(host), normalised(x))))
-    cleaned = F.when(F.col("_keys").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    out = out.withColumn(text, cleaned)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keys").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*docs.columns)
+    # the row's own columns travel inside a struct, where their names can't meet those of the verdicts
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[host].alias("_host"), docs[text].alias("_text"))
+    rows = rows.withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    out = rows.join(v, rows["_doc.doc_id"].eqNullSafe(v["_id"]) & (rows["_t"] == v["_tt"]) & rows["_host"].eqNullSafe(v["_hh"]))
+    left = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("_keys", F.xxhash64(F.col("_host"), normalised(x))))
+    whole = F.col("_keys").isNull()
+    out = out.withColumn("_left", F.when(whole, F.col("_text")).otherwise(F.array_join(left, "\n")))
+    own = {c: F.col("_doc").getField(c) for c in docs.columns}
+    own[text] = F.col("_left")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(whole, own["n_chars"]).otherwise(F.length("_left").cast("long"))
+    return out.select(*[v.alias(k) for k, v in own.items()])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -163,7 +167,7 @@ df AS (SELECT source, norm, count(DISTINCT t) AS df FROM line GROUP BY source, n
 host AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
 loss AS (
   SELECT doc_id, sum(n)::BIGINT AS words, count(*) AS lines FROM line JOIN df USING (source, norm) JOIN host USING (source)
-  WHERE df > greatest(10.0, docs * 0.05::DOUBLE) GROUP BY doc_id),
+  WHERE df > least(1000.0, greatest(10.0, docs * 0.05::DOUBLE)) GROUP BY doc_id),
 f AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
