@@ -35,7 +35,10 @@ def test_archives(spark, sf, tmp_path):
     tiles.write_mbtiles(t.repartition(2), str(tmp_path / "a"), meta)
     files = sorted(str(p) for p in (tmp_path / "a").iterdir())
     assert files and all(tiles.tileset_exists(f) for f in files) and tiles.tileset_info(files[0])["format"] == "json"
-    assert rows(tiles.read_mbtiles(spark, ",".join(files), 3), "z", "x", "y", "body") == rows(t, "z", "x", "y", "body")
+    for given in (",".join(files), str(tmp_path / "a")):
+        assert rows(tiles.read_mbtiles(spark, given, 3), "z", "x", "y", "body") == rows(t, "z", "x", "y", "body")
+    (tmp_path / "none").mkdir()
+    assert tiles.read_mbtiles(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError):
         tiles.write_mbtiles(t, str(tmp_path / "b"), {"name": "n"})
     tiles.write_tileset(t.select("z", "x", "y", "body"), str(tmp_path / "set"), meta)

@@ -152,12 +152,13 @@ def _(spark, sf):
 
 @query(
     "mosaic",
-    f"""SELECT px, py, r, g, b, a FROM (SELECT (x * 16 + px - round((1.0 / 360 * 1024) * 16 - 50))::INT AS px, (py - round((1 - ln(tan(pi() / 4 + radians(85.0) / 2)) / pi()) / 2 * 1024 * 16 - 40))::INT AS py, r, g, b, a FROM {P})
-WHERE px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 79""",
+    f"""SELECT (x * 16 + px)::INT AS px, (py - round((1 - ln(tan(pi() / 4 + radians(85.06) / 2)) / pi()) / 2 * 1024 * 16))::INT AS py, r, g, b, a FROM {P}""",
 )
 def _(spark, sf):
+    # a frame around all tiles of the table, its top a little above the world's
     p = fx.pixels(spark, sf)
-    frame = raster.mosaic_frame(center=(85.0, -179.0), zoom=10, size=(100, 80), dim=16)
+    last = p.agg(F.max("x")).first()[0] or 0
+    frame = raster.mosaic_frame(extent=(85.06, -180.0, 85.0, (last + 1) / 1024 * 360 - 180), zoom=10, dim=16)
     return raster.mosaic(p, frame, 16)
 
 

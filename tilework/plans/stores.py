@@ -134,7 +134,7 @@ def _(spark, sf):
 
 @query("clean_tiles", f"WITH {AREA} SELECT layer, z, x, y FROM store WHERE NOT (layer IN ('BUILDING', 'MACHINERY') AND (z, x, y) IN (SELECT (z, x, y) FROM plan))")
 def _(spark, sf):
-    plan = area(spark, sf, [2, 4, 6], 1)
+    plan = area(spark, sf, 1)
     return store.clean_tiles(fx.tile_store(spark, sf), plan, ["BUILDING", "MACHINERY"], {"BUILDING": ["json"], "MACHINERY": ["JSON", "png"]}).select("layer", "z", "x", "y")
 
 

@@ -275,23 +275,27 @@ def _(spark, sf):
 # ---- plans over the store's area -------------------------------------------------------------------------------------
 
 
-def area(spark, sf, zooms, padding=0):
-    """The plan of the area that the points around the first customer span: its size follows the data."""
-    b = fx.points(spark, sf).where("abs(lon) < 60 AND abs(lat) < 45").agg(F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
-    return tiling.tile_plan(spark, tuple(b), zooms, padding)
+def area(spark, sf, padding=0):
+    """The plan of the box around all points at zoom 2 and the two zooms about which a tile has a point: it grows with the points."""
+    p = fx.points(spark, sf)
+    n, *box = p.agg(F.count("*"), F.min("lat"), F.min("lon"), F.max("lat"), F.max("lon")).first()
+    deep = (n.bit_length() + 1) // 2
+    # a longitude of 180 degrees or -180 is on the world's edge, which a plan's box can't touch
+    south, west, north, east = box
+    return tiling.tile_plan(spark, (south, max(west, -179.99), north, east), sorted({2, deep - 1, deep}), padding)
 
 
 AREA = f"""
-b AS (SELECT min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM ({fx.POINTS}) WHERE abs(lon) < 60 AND abs(lat) < 45),
+b AS (SELECT min(lat) AS s, greatest(min(lon), -179.99) AS w, max(lat) AS n, max(lon) AS e, (length(bin(count(*))) + 1) // 2 AS deep FROM ({fx.POINTS})),
 r AS (SELECT z, floor((w + 180) / 360 * 2.0 ** z)::INT - 1 AS x0, floor((e + 180) / 360 * 2.0 ** z)::INT + 1 AS x1, floor((1 - ln(tan(pi() / 4 + radians(n) / 2)) / pi()) / 2 * 2.0 ** z)::INT - 1 AS y0,
-  floor((1 - ln(tan(pi() / 4 + radians(s) / 2)) / pi()) / 2 * 2.0 ** z)::INT + 1 AS y1 FROM b, (SELECT unnest([2, 4, 6])::INT AS z)),
+  floor((1 - ln(tan(pi() / 4 + radians(s) / 2)) / pi()) / 2 * 2.0 ** z)::INT + 1 AS y1 FROM b, (SELECT DISTINCT unnest([2, deep - 1, deep])::INT AS z FROM b)),
 plan AS (SELECT z, x::INT AS x, y::INT AS y FROM (SELECT z, y0, y1, unnest(range(x0, x1 + 1)) AS x FROM r) a, LATERAL (SELECT unnest(range(a.y0, a.y1 + 1)) AS y)),
 store AS ({fx.TILE_STORE})"""
 
 
 @query("tile_plan", f'WITH {AREA} SELECT z, x, y, row_number() OVER (ORDER BY z, y, x) - 1 AS "offset", count(*) OVER () AS total FROM plan')
 def _(spark, sf):
-    return area(spark, sf, [2, 4, 6], 1)
+    return area(spark, sf, 1)
 
 
 @query("plan_progress", f'WITH {AREA} SELECT z, x, y, row_number() OVER (ORDER BY z, x, y) - 1 AS "offset", count(*) OVER () AS total FROM (SELECT DISTINCT z, x, y FROM store WHERE z = 3)')
@@ -301,17 +305,17 @@ def _(spark, sf):
 
 @query("keep_tiles", f"WITH {AREA} SELECT layer, z, x, y FROM store WHERE (z, x, y) IN (SELECT (z, x, y) FROM plan)")
 def _(spark, sf):
-    return tiling.keep_tiles(fx.tile_store(spark, sf), area(spark, sf, [2, 4, 6], 1)).select("layer", "z", "x", "y")
+    return tiling.keep_tiles(fx.tile_store(spark, sf), area(spark, sf, 1)).select("layer", "z", "x", "y")
 
 
 @query("missing_tiles", f"WITH {AREA} SELECT z, x, y FROM plan WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.z = plan.z AND s.x = plan.x AND s.y = plan.y)")
 def _(spark, sf):
-    return tiling.missing_tiles(area(spark, sf, [2, 4, 6], 1).select("z", "x", "y"), fx.tile_store(spark, sf))
+    return tiling.missing_tiles(area(spark, sf, 1).select("z", "x", "y"), fx.tile_store(spark, sf))
 
 
 @query("tile_source", f"WITH {AREA} SELECT z, x, y FROM plan")
 def _(spark, sf):
-    return tiling.tile_source(None, None, area(spark, sf, [2, 4, 6], 1))
+    return tiling.tile_source(None, None, area(spark, sf, 1))
 
 
 @query("tile_list", f"SELECT z || '/' || x || '/' || y AS value FROM ({fx.TILE_STORE})")

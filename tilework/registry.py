@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tilework.plans import features, rasters, stores, streams, tiles
+from tilework.plans import features, files, rasters, stores, streams, tiles
 
-MODULES = (tiles, features, stores, rasters, streams)
+MODULES = (tiles, features, stores, rasters, streams, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

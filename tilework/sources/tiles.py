@@ -8,6 +8,7 @@ as a Parquet tile set.
 from __future__ import annotations
 
 import contextlib
+import glob
 import gzip
 import os
 import sqlite3
@@ -149,12 +150,16 @@ class _Reader(DataSourceReader):
     options.partitions at most; zooms are looked up one after the other in the index, so no tile is read for planning."""
 
     def __init__(self, options):
-        self.paths = [p for p in options["path"].split(",") if p]
+        self.given = [p for p in options["path"].split(",") if p]
         self.parts = max(1, int(options.get("partitions", "8")))
 
+    def archives(self) -> list[str]:
+        """The archives named, and those in folders named (as the writer leaves them)."""
+        return [a for p in self.given for a in (sorted(glob.glob(os.path.join(glob.escape(p), "*.mbtiles"))) if os.path.isdir(p) else [p])]
+
     def partitions(self):
         out = []
-        for p in self.paths:
+        for p in self.archives():
             with contextlib.closing(sqlite3.connect(f"file:{p}?mode=ro", uri=True)) as db:
                 first = lambda q, *a: db.execute(q, a).fetchone()[0]  # noqa: B023, E731
                 z = first("SELECT min(zoom_level) FROM tiles")
@@ -163,9 +168,11 @@ class _Reader(DataSourceReader):
                     step = -(-(high - low + 1) // self.parts)
                     out += [_Part(p, z, a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
                     z = first("SELECT min(zoom_level) FROM tiles WHERE zoom_level > ?", z)
-        return out or [_Part(p, 0, 0, -1) for p in self.paths]
+        return out or [_Part("", 0, 0, -1)]
 
     def read(self, part):
+        if not part.path:  # no tile anywhere
+            return
         with contextlib.closing(sqlite3.connect(f"file:{part.path}?mode=ro", uri=True)) as db:
             kind = (db.execute("SELECT value FROM metadata WHERE name = 'format'").fetchone() or [None])[0]
             q = "SELECT zoom_level, tile_column, (1 << zoom_level) - 1 - tile_row, tile_data FROM tiles WHERE zoom_level = ? AND tile_column BETWEEN ? AND ?"
@@ -222,7 +229,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_mbtiles(spark: SparkSession, path: str, partitions: int = 8) -> DataFrame:
-    """Z, x, y (from the top), format, body."""
+    """Z, x, y (from the top), format, body of archives (paths between commas) or folders of them."""
     register(spark)
     return spark.read.format("mbtiles").option("partitions", partitions).load(path)
 
