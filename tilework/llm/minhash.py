@@ -116,15 +116,16 @@ def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     one = kept.groupBy(F.col("doc_id").alias("_id"), F.when(F.col("doc_id").isNull(), F.coalesce("_root", "_t")).alias("_r"))
     # the rows of the least text; a text without words is a component of its own
     verdict = written(one.agg(F.min("_t").alias("_tt")).drop("_r").distinct(), "kept")
-    d = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["_t"] == b["_tt"])
-    rows = d.groupBy(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt")).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+    # the row's own columns travel inside a struct, where their names can't meet those of the decision
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs["doc_id"].alias("_d"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_t"))
+    same = lambda a, b: a["_d"].eqNullSafe(b["_id"]) & (a["_t"] == b["_tt"])
+    rows = d.groupBy(F.col("_d").alias("_id"), F.col("_t").alias("_tt")).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
     twice = written(rows, "repeated")
     out = d.join(verdict, same(d, verdict), "left_semi")
-    if twice.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(twice, same(out, twice), "left_anti")
-    return once.unionByName(out.join(twice, same(out, twice), "left_semi").dropDuplicates(["doc_id", "_t"])).select(*docs.columns)
+    if not twice.isEmpty():
+        once = out.join(twice, same(out, twice), "left_anti")
+        out = once.unionByName(out.join(twice, same(out, twice), "left_semi").dropDuplicates(["_d", "_t"]))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
