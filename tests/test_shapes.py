@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -255,3 +256,60 @@ def test_progress_and_ties(spark):
     want = {r: i for i, r in enumerate(sorted(rows))}
     assert {(r["z"], r["x"], r["y"]): r["offset"] for r in got.collect()} == want and got.first()["total"] == 500
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString().split("_range")[0]
+
+
+def clipped_run_by_run(line, box):
+    """Segment by segment, with fractions: the runs of a line inside a box."""
+    runs = []
+    for (ax, ay), (bx, by) in zip(line, line[1:]):
+        dx, dy, t0, t1 = Fraction(bx) - Fraction(ax), Fraction(by) - Fraction(ay), Fraction(0), Fraction(1)
+        for p, q in ((-dx, Fraction(ax) - Fraction(box[0])), (dx, Fraction(box[2]) - Fraction(ax)), (-dy, Fraction(ay) - Fraction(box[1])), (dy, Fraction(box[3]) - Fraction(ay))):
+            if p == 0:
+                t1 = t1 if q >= 0 else Fraction(-1)
+            elif p < 0:
+                t0 = max(t0, q / p)
+            else:
+                t1 = min(t1, q / p)
+        if t0 <= t1:
+            a, b = ((Fraction(ax) + t * dx, Fraction(ay) + t * dy) for t in (t0, t1))
+            if runs and runs[-1][-1] == a:
+                runs[-1].append(b)
+            else:
+                runs.append([a, b])
+    runs = [[p for i, p in enumerate(r) if not i or p != r[i - 1]] for r in runs]
+    real = [r for r in runs if len(r) > 1]
+    return real or [r * 2 for r in runs[:1]]
+
+
+def test_lines_of_a_batch_are_clipped_as_one_by_one(spark):
+    random.seed(11)
+    spot = lambda: (float(random.randint(-8, 8)), float(random.randint(-8, 8)))
+    rows = []
+    for i in range(400):
+        lines = [[spot() for _ in range(random.choice([0, 1, 2, 3, 9]))] for _ in range(random.choice([0, 1, 1, 3]))]
+        for line in lines[:1] if i % 3 == 0 else []:
+            line.extend(line[-1:])  # a segment without length
+        x, y = random.randint(-6, 4), random.randint(-6, 4)
+        rows.append((i, "LineString" if len(lines) == 1 else "MultiLineString", lines, float(x), float(y), float(x + random.choice([0, 2, 4])), float(y + random.choice([0, 4]))))
+    rows += [(400, None, [[(0.0, 0.0), (1.0, 1.0)]], -1.0, -1.0, 2.0, 2.0), (401, "LineString", None, -1.0, -1.0, 2.0, 2.0), (402, "LineString", [[(0.0, 0.0), (1.0, 1.0)]], None, -1.0, 2.0, 2.0)]
+    rows += [(403, "Point", [[(1.0, 1.0)]], 0.0, 0.0, 2.0, 2.0), (404, "Polygon", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]], 0.0, 0.0, 9.0, 9.0)]
+    shaped = [(i, k, None if p is None else [[[{"x": x, "y": y} for x, y in line]] for line in p], *b) for i, k, p, *b in rows]
+    df = spark.createDataFrame(shaped, "id long, kind string, parts array<array<array<struct<x:double,y:double>>>>, xmin double, ymin double, xmax double, ymax double").coalesce(1)
+    df = df.withColumn("geom", F.struct("kind", "parts"))
+    env = F.struct("xmin", "ymin", "xmax", "ymax")
+    found = clip.clipped(df.select("id", "geom", "xmin", "ymin", "xmax", "ymax"), "geom", env)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # the filter on what is left doesn't clip once more
+    got = {r["id"]: r["geom"] for r in found.collect()}
+    for i, kind, lines, *box in rows[:400]:
+        want = [r for line in lines for r in clipped_run_by_run(line, box)]
+        if not want:
+            assert i not in got, i
+            continue
+        assert got[i]["kind"] == ("LineString" if len(want) == 1 else "MultiLineString")
+        assert [len(p) for p in got[i]["parts"]] == [1] * len(want)
+        have = [[(p["x"], p["y"]) for p in part[0]] for part in got[i]["parts"]]
+        assert [len(r) for r in have] == [len(r) for r in want], (i, have, want)
+        assert all(abs(float(u) - v) < 1e-9 for a, b in zip(want, have) for p, q in zip(a, b) for u, v in zip(p, q))
+    assert set(got) - set(range(400)) == {403, 404} and got[403]["kind"] == "Point" and len(got[404]["parts"][0][0]) == 4
+    assert clip.clipped(df.where("id < 0"), "geom", env).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,36 +28,6 @@ def _rows(ring: Ring) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in ring]
 
 
-def clip_line(line: Ring, box) -> list[Ring]:
-    """Liang-Barsky on each segment; touching runs are joined. A line that only touches the box gives a point's run."""
-    x0, y0, x1, y1 = box
-    runs: list[list[tuple[float, float]]] = []
-    for (ax, ay), (bx, by) in zip(line[:-1], line[1:], strict=True):
-        dx, dy, t0, t1 = bx - ax, by - ay, 0.0, 1.0
-        for p, q in ((-dx, ax - x0), (dx, x1 - ax), (-dy, ay - y0), (dy, y1 - ay)):
-            if p == 0:
-                if q < 0:
-                    t0, t1 = 1.0, 0.0
-                    break
-            elif p < 0:
-                t0 = max(t0, q / p)
-            else:
-                t1 = min(t1, q / p)
-        if t0 > t1:
-            continue
-        a, b = (ax + t0 * dx, ay + t0 * dy) if t0 > 0 else (ax, ay), (ax + t1 * dx, ay + t1 * dy) if t1 < 1 else (bx, by)
-        if runs and runs[-1][-1] == a:
-            runs[-1].append(b)
-        else:
-            runs.append([a, b])
-    out = []
-    for r in runs:
-        kept = [r[0]] + [b for a, b in zip(r[:-1], r[1:], strict=True) if a != b]
-        out.append(np.array(kept if len(kept) > 1 else [r[0], r[0]], dtype=float))
-    real = [r for r in out if len(r) > 2 or (r[0] != r[1]).any()]
-    return real or out[:1]
-
-
 def signed_area(ring: Ring) -> float:
     """Positive for a ring that runs counter-clockwise."""
     x, y = (ring - ring[0]).T
@@ -131,28 +102,95 @@ def clip_polygon(rings: list[Ring], box) -> list[list[Ring]]:
 
 
 def clip_geometry(kind: str, parts, box) -> tuple[str, list] | None:
-    """(kind, parts) inside box, or None."""
+    """(kind, parts) of points or polygons inside box, or None."""
     if kind in ("Point", "MultiPoint"):
         kept = [p for p in parts for q in [p[0][0]] if box[0] <= q["x"] <= box[2] and box[1] <= q["y"] <= box[3]]
         return (kind if len(kept) == len(parts) or len(kept) > 1 else "Point", kept) if kept else None
-    if kind in ("LineString", "MultiLineString"):
-        runs = [r for p in parts for r in clip_line(_ring(p[0]), box)]
-        return ("LineString" if len(runs) == 1 else "MultiLineString", [[_rows(r)] for r in runs]) if runs else None
     out = [[_rows(r) for r in polygon] for p in parts for polygon in clip_polygon([_ring(r) for r in p], box)]
     return ("Polygon" if len(out) == 1 else "MultiPolygon", out) if out else None
 
 
-@F.arrow_udf(GEOM_TYPE)
-def _clip(kind: pa.Array, parts: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
-    rows = zip(*(c.to_pylist() for c in (kind, parts, x0, y0, x1, y1)), strict=True)
-    out = [None if k is None or a is None else clip_geometry(k, a, b) for k, a, *b in rows]
-    return _geometries([o and o[0] for o in out], [o and o[1] for o in out])
+def _nested(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    """Values as lists of so many each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def clip_lines(parts: pa.Array, boxes: np.ndarray) -> pa.Array:
+    """All lines of a batch inside their rows' boxes (rows of xmin, ymin, xmax, ymax): Liang-Barsky on every segment at once.
+
+    Touching runs are joined, a run without length is left only where its line has no other. A row without a run is null."""
+    lists, lines = parts.value_lengths().to_numpy(zero_copy_only=False), parts.flatten()
+    first = lines.offsets.to_numpy()[:-1]
+    rings = lines.values.take(pa.array(first))  # a line's points are its part's one ring
+    sizes, points = rings.value_lengths().to_numpy(zero_copy_only=False), rings.flatten()
+    xy = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(lists)), lists)
+    start = np.flatnonzero(line[1:] == line[:-1])  # the points that a segment starts from
+    a, b, at = xy[start], xy[start + 1], line[start]
+    box, d = boxes[row[at]], b - a
+    t0, t1, off = np.zeros(len(a)), np.ones(len(a)), np.zeros(len(a), dtype=bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for p, q in ((-d[:, 0], a[:, 0] - box[:, 0]), (d[:, 0], box[:, 2] - a[:, 0]), (-d[:, 1], a[:, 1] - box[:, 1]), (d[:, 1], box[:, 3] - a[:, 1])):
+            t = q / p
+            off |= (p == 0) & (q < 0)
+            t0, t1 = np.where((p < 0) & (t > t0), t, t0), np.where((p > 0) & (t < t1), t, t1)
+    on = ~off & (t0 <= t1)
+    a, b, d, at, t0, t1 = a[on], b[on], d[on], at[on], t0[on, None], t1[on, None]
+    a, b = np.where(t0 > 0, a + t0 * d, a), np.where(t1 < 1, a + t1 * d, b)
+    # runs: segments of a line that each start where the one before ended
+    opens = np.ones(len(a), dtype=bool)
+    opens[1:] = (at[1:] != at[:-1]) | (a[1:] != b[:-1]).any(axis=1)
+    run = np.cumsum(opens) - 1
+    long = (a != b).any(axis=1)
+    head = np.flatnonzero(opens)
+    steps = np.bincount(run[long], minlength=len(head))
+    of = at[head]
+    real = np.bincount(of[steps > 0], minlength=len(sizes)) > 0
+    foremost = np.ones(len(head), dtype=bool)
+    foremost[1:] = of[1:] != of[:-1]
+    kept = np.where(real[of], steps > 0, foremost) if len(head) else foremost
+    # a run's points: its first start and the ends of its segments with length, or the start twice
+    spots = np.flatnonzero(kept[run] & long)
+    flat = np.concatenate([a[head[kept]], a[head[kept & (steps == 0)]], b[spots]])
+    owner = np.concatenate([np.flatnonzero(kept), np.flatnonzero(kept & (steps == 0)), run[spots]])
+    flat = flat[np.argsort(owner, kind="stable")]
+    count = np.maximum(steps[kept], 1) + 1
+    runs = np.bincount(row[of[kept]], minlength=len(lists))
+    xs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    nested = _nested(_nested(_nested(xs, count), np.ones(len(count), dtype=int)), runs)
+    kind = pa.array(np.where(runs == 1, "LineString", "MultiLineString").astype(object), pa.string(), mask=runs == 0)
+    return pa.StructArray.from_arrays([kind, pc.if_else(pa.array(runs > 0), nested, pa.scalar(None, nested.type))], ["kind", "parts"])
+
+
+def _clip_batch(kind: pa.Array, parts: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    there = pc.and_(pc.is_valid(kind), pc.is_valid(parts))
+    for c in (x0, y0, x1, y1):
+        there = pc.and_(there, pc.is_valid(c))
+    lined = pc.and_(there, pc.fill_null(pc.is_in(kind, pa.array(["LineString", "MultiLineString"])), False))
+    at, rest = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (lined, pc.and_not(there, lined)))
+    boxes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1)]).astype(float)
+    shapes = zip(kind.take(pa.array(rest)).to_pylist(), parts.take(pa.array(rest)).to_pylist(), boxes[rest].tolist(), strict=True)
+    out = [clip_geometry(k, p, b) for k, p, b in shapes]
+    done = [clip_lines(parts.take(pa.array(at)), boxes[at]).cast(ARROW_GEOM), _geometries([o and o[0] for o in out], [o and o[1] for o in out])]
+    place = np.full(len(kind), -1)
+    place[at], place[rest] = np.arange(len(at)), len(at) + np.arange(len(rest))
+    return pa.concat_arrays(done).take(pa.array(place, mask=place < 0))
+
+
+_clip = F.arrow_udf(_clip_batch, GEOM_TYPE)
+#: The same for ``clipped``: a filter on its result isn't pushed below it, which would clip every row twice.
+_clip_once = F.arrow_udf(_clip_batch, GEOM_TYPE).asNondeterministic()
+
+
+def _sides(geom: Column, env: Column) -> list[Column]:
+    return [geom["kind"], geom["parts"], *[env[side].cast("double") for side in ("xmin", "ymin", "xmax", "ymax")]]
 
 
 def clip(geom, env) -> Column:
-    """The part of a geometry inside a box; its kind is null where nothing is left (see ``clipped``)."""
-    g, e = _c(geom), _c(env)
-    return _clip(g["kind"], g["parts"], e["xmin"], e["ymin"], e["xmax"], e["ymax"])
+    """The part of a geometry inside a box; its kind is null where nothing is left (see ``clipped``). A null geometry or
+    side of the box gives null."""
+    return _clip(*_sides(_c(geom), _c(env)))
 
 
 def _edge_meets(e: Column):
@@ -188,8 +226,14 @@ def contains_point(part: Column, x: Column, y: Column) -> Column:
 
 def meets(geom, env) -> Column:
     """Whether a geometry meets a box, edges included, without Python. Points: one lies inside. Lines: a segment meets
-    the box. Polygons: an edge does, or none does and the box lies inside (then so does any of its corners)."""
-    g, e = _c(geom), _c(env)
+    the box. Polygons: an edge does, or none does and the box lies inside (then so does any of its corners).
+
+    The shape and the box are bound to a lambda's argument, so that both are computed once a row: an envelope's own
+    expression would else be put into the test of every segment."""
+    return F.exists(F.array(F.struct(_c(geom).alias("g"), _c(env).alias("e"))), lambda v: _meets(v["g"], v["e"]))
+
+
+def _meets(g: Column, e: Column) -> Column:
     edge = _edge_meets(e)
     near = lambda p: p["x"].between(e["xmin"], e["xmax"]) & p["y"].between(e["ymin"], e["ymax"])
     points = F.exists(g["parts"], lambda part: F.exists(part, lambda ring: F.exists(ring, near)))
@@ -201,7 +245,7 @@ def meets(geom, env) -> Column:
 
 def clipped(df, geom: str, env: Column):
     """V04 on a DataFrame: geom becomes its part inside env, rows without one are dropped; ``clipped`` says so."""
-    out = df.withColumn(geom, clip(F.col(geom), env))
+    out = df.withColumn(geom, _clip_once(*_sides(F.col(geom), env)))
     return out.where(F.col(geom)["kind"].isNotNull()).withColumn("clipped", F.lit(True))
 
 
