@@ -5,9 +5,10 @@ distinct documents of that host; a document is a distinct text, so exact copies
 once. Lines above the limit are removed, and a document that loses most of its words is rejected. The limit is a share
 of the host's documents, bounded below for small hosts and above for large ones.
 
-Two shuffles of narrow rows (host-and-line hash, text hash): one for the counts, pre-aggregated on the map side, one
-to find the lines above the limit in their documents. The texts themselves are never shuffled. The join on the line's
-hash is an inner join of plain exchanges, so adaptive execution splits the partition of a line that everyone has.
+The texts are read once: their features and the hashes and word counts of their lines are written as a narrow table,
+from which all else is taken. Two shuffles of narrow rows (host-and-line hash, text hash): one for the counts,
+pre-aggregated on the map side, one to find the lines above the limit in their documents. The join on the line's hash
+is an inner join of plain exchanges, so adaptive execution splits the partition of a line that everyone has.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own; a repeated
 row gets a repeated result; extra columns are ignored; an empty table gives an empty result.
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilework.llm.common import SPACE, WORD, documents, words, written
+from tilework.llm.common import WORD, documents, words, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def normalised(line: Column) -> Column:
@@ -30,11 +31,6 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(mapped, r"[\x20\x09-\x0D]+", " "))
 
 
-def _without(text: Column, chars: str) -> Column:
-    """Code points left when chars are taken out."""
-    return F.length(F.translate(text, chars, ""))
-
-
 def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) of each whole text.
 
@@ -42,7 +38,7 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     neighbours are the repeats, and the words they cover are summed as the gaps of their positions, 3 at most.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: _without(x, SPACE) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     out = docs.withColumn("_w", words(F.col(text))).withColumn("_lines", lines)
     w = F.col("_w")
     spots = F.transform(
@@ -59,36 +55,39 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     features = {
         "n_words": F.size(w),
-        "word_chars": _without(t, SPACE),
-        "n_symbols": F.length(t) - _without(t, SYMBOLS),
+        "word_chars": F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x)),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": F.coalesce(covered, F.lit(0)),
     }
     return out.withColumns({k: v.cast("long") for k, v in features.items()}).drop("_w", "_lines", "_s", "_p")
 
 
-def line_table(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """One row per line with a word: doc_id, _t (text's hash), _k (hash of host and normalised line), _n (its words)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    each = F.transform(F.split(t, "\n"), lambda x: F.struct(F.xxhash64(F.col(host), normalised(x)).alias("k"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    rows = docs.select("doc_id", F.xxhash64(t).alias("_t"), F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("_l"))
-    return rows.select("doc_id", "_t", F.col("_l.k").alias("_k"), F.col("_l.n").alias("_n"))
+def facts(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """A written row per document, without its text: doc_id, _host, the base features, _t (the text's hash) and _l, its
+    lines with a word as structs of k (hash of host and normalised line) and n (words)."""
+    d = docs.select("doc_id", F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    lines = F.filter(F.transform(F.split("_text", "\n"), normalised), lambda x: x != "")
+    # a normalised line has one space between two words
+    each = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col("_host"), x).alias("k"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    f = base_features(d, "_text").withColumns({"_t": F.xxhash64("_text"), "_l": each})
+    return written(f.drop("_text"), "facts")
 
 
-def line_losses(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = 10, host_share: float = 0.05, max_docs: int = 1000) -> DataFrame:
-    """The documents with lines above the limit: doc_id, _t, removed_words, removed_lines, _keys (the lines' hashes).
+def line_losses(found: DataFrame, min_docs: int = 10, host_share: float = 0.05, max_docs: int = 1000) -> DataFrame:
+    """Of a table of ``facts``, the documents with lines above the limit: doc_id, _t, _h (the host), removed_words,
+    removed_lines, _keys (the lines' hashes).
 
     A line is above the limit if more than max(min_docs, host_share * the host's documents) distinct documents of
     the host have it, or more than max_docs however large the host is.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.groupBy("doc_id", F.xxhash64(t).alias("_t"), F.col(host).alias("_h")).agg(F.count("*").alias("_rows"))
+    rows = found.groupBy("doc_id", "_t", F.col("_host").alias("_h")).agg(F.count("*").alias("_rows"))
     hosts = rows.groupBy("_h").agg(F.count_distinct("_t").alias("_docs"))
-    lines = line_table(docs, host, text)
+    lines = found.select("doc_id", "_t", F.explode("_l").alias("_l")).select("doc_id", "_t", F.col("_l.k").alias("_k"), F.col("_l.n").alias("_n"))
     counts = lines.select("_k", "_t").distinct().groupBy("_k").agg(F.count("*").alias("_df")).where(F.col("_df") > min(min_docs, max_docs))
-    found = lines.join(counts, "_k").groupBy("doc_id", "_t", "_k").agg(F.max("_df").alias("_df"), F.sum("_n").alias("_n"), F.count("*").alias("_m"))
+    met = lines.join(counts, "_k").groupBy("doc_id", "_t", "_k").agg(F.max("_df").alias("_df"), F.sum("_n").alias("_n"), F.count("*").alias("_m"))
     rows = rows.withColumnsRenamed({"doc_id": "_id", "_t": "_tt"})
-    placed = found.join(rows, found["doc_id"].eqNullSafe(rows["_id"]) & (found["_t"] == rows["_tt"]))
+    placed = met.join(rows, met["doc_id"].eqNullSafe(rows["_id"]) & (met["_t"] == rows["_tt"]))
     limits = hosts.select(F.col("_h").alias("_hh"), F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), F.col("_docs") * host_share)).alias("_limit"))
     above = placed.join(limits, F.col("_h").eqNullSafe(F.col("_hh"))).where(F.col("_df") > F.col("_limit"))
     # of a repeated row every line was met as often as the row; the division takes that back
@@ -99,9 +98,10 @@ def line_losses(docs: DataFrame, host: str = "source", text: str = "text", min_d
     )
 
 
-def _with_losses(docs: DataFrame, losses: DataFrame, host: str, text: str) -> DataFrame:
+def _with_losses(docs: DataFrame, losses: DataFrame) -> DataFrame:
+    docs = docs.drop("_l")
     right = losses.withColumnsRenamed({"doc_id": "_id", "_t": "_tt", "_h": "_hh"})
-    same = docs["doc_id"].eqNullSafe(right["_id"]) & (docs["_t"] == right["_tt"]) & docs[host].eqNullSafe(right["_hh"])
+    same = docs["doc_id"].eqNullSafe(right["_id"]) & (docs["_t"] == right["_tt"]) & docs["_host"].eqNullSafe(right["_hh"])
     out = docs.join(right, same, "left").drop("_id", "_tt", "_hh")
     return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)).cast("long") for k in ("removed_words", "removed_lines")})
 
@@ -115,9 +115,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", text: str = "text",
     kept is false if base_failed, or if lines above the limit hold more than max_loss of the words. The text itself
     stays where it was read; only features and hashes travel.
     """
-    d = docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text"))
-    f = base_features(d, "_text").withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit("")))).drop("_text")
-    out = _with_losses(f, line_losses(d, "_host", "_text", **limits).drop("_keys"), "_host", "_text")
+    f = facts(docs, host, text)
+    out = _with_losses(f, line_losses(f, **limits).drop("_keys"))
     out = out.withColumn("base_failed", F.expr(BASE_FAILED))
     lost = F.col("removed_words") > F.col("n_words") * max_loss
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -126,12 +125,10 @@ def quality_verdicts(docs: DataFrame, host: str = "source", text: str = "text",
 
 def apply_quality(docs: DataFrame, host: str = "source", text: str = "text", max_loss: float = 0.5, **limits) -> DataFrame:
     """The documents that stay, in their own columns (of any names), without the lines above the limit."""
-    # verdicts are written first: a filter on them must not be pushed into the features' expressions
-    d = docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text"))
-    f = base_features(d, "_text").withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit("")))).drop("_text")
-    v = _with_losses(f, line_losses(d, "_host", "_text", **limits), "_host", "_text")
-    v = written(v.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt"), F.col("_host").alias("_hh"), "n_words", "n_repeat_words", "removed_words", "_keys"), "verdicts")
-    v = v.where(~F.expr(BASE_FAILED) & ~(F.col("removed_words") > F.col("n_words") * max_loss)).select("_id", "_tt", "_hh", "_keys").dropDuplicates(["_id", "_tt", "_hh"])
+    f = facts(docs, host, text)
+    v = _with_losses(f, line_losses(f, **limits))
+    v = v.where(~F.expr(BASE_FAILED) & ~(F.col("removed_words") > F.col("n_words") * max_loss))
+    v = v.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_tt"), F.col("_host").alias("_hh"), "_keys").dropDuplicates(["_id", "_tt", "_hh"])
     # the row's own columns travel inside a struct, where their names can't meet those of the verdicts
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[host].alias("_host"), docs[text].alias("_text"))
     rows = rows.withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit(""))))
