@@ -195,10 +195,12 @@ def recent_messages(status: DataFrame, n: int = 21) -> DataFrame:
 
 
 def latest_per_process(status: DataFrame, now: Column, hide_s: int = 600, drop_s: int = 21600) -> DataFrame:
-    """Pid, ts, message, hidden: the newest message of each process; hidden after 10 minutes, gone after 6 hours."""
+    """Pid, ts, message, hidden: the newest message of each process; hidden when 10 minutes and a second
+    have passed since (whole seconds passed), gone after 6 hours (by the clock's seconds)."""
     best = status.groupBy("pid").agg(F.max(F.struct("ts", "message")).alias("b")).select("pid", "b.ts", "b.message")
-    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return best.withColumn("_a", age).where(F.col("_a") <= drop_s).withColumn("hidden", F.col("_a") > hide_s).drop("_a")
+    at, ts = now.cast("timestamp"), F.col("ts").cast("timestamp")
+    passed = F.floor((F.unix_micros(at) - F.unix_micros(ts)) / 1_000_000)  # seconds cut off on both sides would count one more
+    return best.where(F.unix_timestamp(at) - F.unix_timestamp(ts) <= drop_s).withColumn("hidden", passed > hide_s)
 
 
 def top_messages(status: DataFrame, n: int = 250) -> DataFrame:
