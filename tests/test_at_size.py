@@ -41,6 +41,15 @@ def test_age_of_messages(spark):
 
 
 def test_place_of_many_rows(spark):
-    rows = spark.range(0, 300_000, numPartitions=8).select("id", F.hash("id").cast("string").alias("name"))
-    placed = fx.with_place(encode.sort_features(rows, "name descending")).orderBy("place").select("place", "name", F.lag("name").over(fx.Window.orderBy("place")).alias("before"))
-    assert placed.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("name") > F.col("before"))).first() == (300_000, 0, 299_999, 0)
+    # a sort of many small partitions, read with all columns and for the sizes with its own only
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 300_000, numPartitions=8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("name"))
+        placed = fx.with_place(encode.sort_features(rows, "name descending")).select("place", "id", "name", F.lag("name").over(fx.Window.orderBy("place")).alias("before"))
+        assert placed.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.count_if(F.col("name") > F.col("before")), F.count_distinct("id")).first() == (300_000, 0, 299_999, 0, 300_000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
