@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilework.functions import grid
+from tilework.operators.tables import spread
 from tilework.operators.tiling import KEY
 
 CELL = ("cy", "cx")
@@ -48,7 +49,7 @@ def point_cells(points: DataFrame, zooms: list[int], scale: int = 4) -> DataFram
 
 def polygon_cells(assigned: DataFrame, scale: int = 4) -> DataFrame:
     """A09 for polygons assigned to tiles (geom in lon/lat): the cells whose centre is inside (even-odd over all rings).
-    Cells of the box only are made and tested."""
+    Cells of the box only are made and tested; the polygons are dealt out before."""
     from tilework.functions import geom as g
 
     n = 256 // scale
@@ -56,7 +57,7 @@ def polygon_cells(assigned: DataFrame, scale: int = 4) -> DataFrame:
     low = grid.lonlat_to_tile(b["xmin"], F.least(b["ymax"], F.lit(89.9)), "z")
     high = grid.lonlat_to_tile(b["xmax"], F.greatest(b["ymin"], F.lit(-89.9)), "z")
     clamp = lambda v, o: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - o) * n))).cast("int")
-    rows = assigned.withColumn("_a", F.struct(clamp(low["x"], F.col("x")).alias("x0"), clamp(high["x"], F.col("x")).alias("x1"), clamp(low["y"], F.col("y")).alias("y0"), clamp(high["y"], F.col("y")).alias("y1")))
+    rows = spread(assigned).withColumn("_a", F.struct(clamp(low["x"], F.col("x")).alias("x0"), clamp(high["x"], F.col("x")).alias("x1"), clamp(low["y"], F.col("y")).alias("y0"), clamp(high["y"], F.col("y")).alias("y1")))
     rows = rows.withColumn("cx", F.explode(F.sequence("_a.x0", "_a.x1"))).withColumn("cy", F.explode(F.sequence("_a.y0", "_a.y1")))
     at = grid.tile_to_lonlat(F.col("x") + (F.col("cx") + 0.5) / n, F.col("y") + (F.col("cy") + 0.5) / n, F.col("z"))
     rows = rows.withColumn("_p", at)
