@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tilework.functions import geom as g
-from tilework.operators import encode, store, tiling
+from tilework.functions import utm
+from tilework.operators import encode, osm, store, tiling, utfgrid
 from tilework.plans import fixtures as fx
 
 
@@ -53,3 +56,24 @@ def test_place_of_many_rows(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_views_and_polygons_are_dealt_out(spark):
+    # one partition in, as a small file is; the work on its rows isn't one task's
+    views = spark.range(0, 100, numPartitions=1).withColumn("c", F.col("id") * 10000.0)
+    t = tiling.view_tiles(views, "id", F.col("c"), F.col("c"), F.col("c") + 1e5, F.col("c") + 1e5, F.lit(0.001))
+    one = views.select("id", F.explode(utm.tiles_for_view(F.col("c"), F.col("c"), F.col("c") + 1e5, F.col("c") + 1e5, F.lit(0.001))).alias("t")).select("id", "t.*")
+    assert t.exceptAll(one).isEmpty() and one.exceptAll(t).isEmpty()
+    boxes = spark.range(0, 100, numPartitions=1).withColumn("geom", g.box(F.col("id") * 0.1, F.lit(1.0), F.col("id") * 0.1 + 5, F.lit(6.0)))
+    cells = utfgrid.polygon_cells(tiling.assign_tiles(boxes, [3], exact=False), 16)
+    for rows in (t, cells):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_relation_that_names_a_member_many_times(spark):
+    tile = spark.createDataFrame([(1, 0, 0, 5)], "z int, x int, y int, id long")
+    members = spark.createDataFrame([(r, m, t, "", n) for n in range(50) for r, m, t in ((1, 5, "N"), (2, 1, "R"), (1, 1, "R"))], "relation_id long, member_id long, member_type string, member_role string, sequence_id long")
+    found = osm.relations_of(tile, tile.where("id < 0"), members)
+    assert sorted(found.select("id", "level").collect()) == [(1, 0), (2, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[id#\d+L, relation_id#\d+L\]", plan)  # pairs are made distinct below the joins

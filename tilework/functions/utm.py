@@ -81,11 +81,19 @@ def view_zoom(resolution, zoom_adjust: int = 0) -> Column:
     return F.round(F.lit(math.log2(CIRCUMFERENCE)) + F.log2(_c(resolution)) - zoom_adjust).cast("int")
 
 
-def tiles_for_view(xmin, ymin, xmax, ymax, resolution, zoom_adjust: int = 0) -> Column:
-    """Array of struct(z, x, y) that cover a box in mercator metres at the view's zoom, column by column."""
+def view_range(xmin, ymin, xmax, ymax, resolution, zoom_adjust: int = 0) -> Column:
+    """struct(z, x0, x1, y0, y1): the columns and rows of tiles that cover a box in mercator metres at the view's zoom."""
     z = view_zoom(resolution, zoom_adjust)
-    scale = F.pow(F.lit(2.0), z)
-    at = lambda v: F.floor(scale * v).cast("int")
-    xs = F.sequence(at(_c(xmin) / CIRCUMFERENCE + 0.5), at(_c(xmax) / CIRCUMFERENCE + 0.5))
-    ys = F.sequence(at(0.5 - _c(ymax) / CIRCUMFERENCE), at(0.5 - _c(ymin) / CIRCUMFERENCE))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(z.alias("z"), x.alias("x"), y.alias("y")))))
+    at = lambda v: F.floor(F.pow(F.lit(2.0), z) * v).cast("int")
+    return F.struct(
+        z.alias("z"), at(_c(xmin) / CIRCUMFERENCE + 0.5).alias("x0"), at(_c(xmax) / CIRCUMFERENCE + 0.5).alias("x1"),
+        at(0.5 - _c(ymax) / CIRCUMFERENCE).alias("y0"), at(0.5 - _c(ymin) / CIRCUMFERENCE).alias("y1"),
+    )
+
+
+def tiles_for_view(xmin, ymin, xmax, ymax, resolution, zoom_adjust: int = 0) -> Column:
+    """Array of struct(z, x, y) that cover a box in mercator metres at the view's zoom, column by column. For tables of views
+    ``tiling.view_tiles`` makes rows at less cost."""
+    v = view_range(xmin, ymin, xmax, ymax, resolution, zoom_adjust)
+    xs, ys = F.sequence(v["x0"], v["x1"]), F.sequence(v["y0"], v["y1"])
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(v["z"].alias("z"), x.alias("x"), y.alias("y")))))

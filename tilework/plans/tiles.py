@@ -205,8 +205,8 @@ SELECT id, z, count(*) AS n, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM (SE
 def _(spark, sf):
     m = fx.points(spark, sf).where("abs(lon) < 170").withColumn("m", grid.lonlat_to_mercator("lon", "lat"))
     x, y = F.col("m.mx"), F.col("m.my")
-    t = m.select("id", F.explode(utm.tiles_for_view(x - 500000, y - 500000, x + 500000, y + 500000, F.lit(0.0001), 1)).alias("t"))
-    return t.groupBy("id", "t.z").agg(F.count("*").alias("n"), F.sum("t.x").alias("xs"), F.sum("t.y").alias("ys"))
+    t = tiling.view_tiles(m, "id", x - 500000, y - 500000, x + 500000, y + 500000, F.lit(0.0001), 1)
+    return t.groupBy("id", "z").agg(F.count("*").alias("n"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
 
 
 @query(
