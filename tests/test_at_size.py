@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -77,3 +78,19 @@ def test_relation_that_names_a_member_many_times(spark):
     assert sorted(found.select("id", "level").collect()) == [(1, 0), (2, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[id#\d+L, relation_id#\d+L\]", plan)  # pairs are made distinct below the joins
+
+
+def test_nested_extract_in_pieces(spark):
+    # batches smaller than a tile: the sums go on over them
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(200).select(F.lit(1).alias("z"), (F.col("id") % 2).cast("int").alias("x"), F.lit(0).alias("y"), (F.col("id") % 3).cast("int").alias("kind"), "id", F.concat(F.lit("N"), F.col("id")).alias("refs"))
+        tiles = spark.createDataFrame([(1, x, 0) for x in (0, 1)] + [(1, 0, 1)], "z int, x int, y int")
+        got = {(r["x"], r["y"]): r for r in osm.extract_sums(tiles, rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = lambda x, k: [i for i in range(200) if i % 2 == x and i % 3 == k]
+    for x in (0, 1):
+        assert got[x, 0]["nodes"] == ",".join(map(str, own(x, 0)))
+        assert [got[x, 0][c] for c in ("ways", "relations")] == [hashlib.md5(";".join(f"{i}:N{i}" for i in own(x, k)).encode()).hexdigest() for k in (1, 2)]
+    assert got[0, 1]["nodes"] is None and got[0, 1]["ways"] is None
