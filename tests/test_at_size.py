@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tilework.functions import geom as g
-from tilework.functions import utm
+from tilework.functions import clip as clips
+from tilework.functions import shapes, utm
 from tilework.operators import encode, osm, store, tiling, utfgrid
 from tilework.plans import fixtures as fx
 
@@ -94,3 +96,24 @@ def test_nested_extract_in_pieces(spark):
         assert got[x, 0]["nodes"] == ",".join(map(str, own(x, 0)))
         assert [got[x, 0][c] for c in ("ways", "relations")] == [hashlib.md5(";".join(f"{i}:N{i}" for i in own(x, k)).encode()).hexdigest() for k in (1, 2)]
     assert got[0, 1]["nodes"] is None and got[0, 1]["ways"] is None
+
+
+def test_thinning_with_few_winners(spark, sf, monkeypatch):
+    # the rest of a hot tile is held against its first features' winners, not decided by rounds over cells
+    lines = clips.clipped(tiling.assign_tiles(fx.lines(spark, sf), [1]), "geom", tiling.lonlat_envelope())
+    thin = lambda n: sorted(map(tuple, tiling.thin_by_spacing(lines, 40, geom="geom", task_rows=n).select("z", "x", "y", "id").collect()))
+    whole = thin(10**6)
+    monkeypatch.setattr(tiling, "_first_round", None)
+    assert thin(70) == whole
+
+
+def test_clear_of():
+    rng = np.random.default_rng(5)
+    for kinds in (["LineString"], ["Point", "LineString", "Polygon"]):
+        def shape():
+            p = rng.uniform(0, 100, 2) + rng.uniform(-8, 8, (4, 2))
+            return {"Point": ("Point", p[:1, 0], p[:1, 1], [1]), "LineString": ("LineString", p[:, 0], p[:, 1], [4]), "Polygon": ("Polygon", p[[0, 1, 2, 0], 0], p[[0, 1, 2, 0], 1], [4])}[kinds[rng.integers(len(kinds))]]
+
+        own, kept = [shape() for _ in range(150)], [shape() for _ in range(12)]
+        near = [any(shapes.within(a[0], shapes.edges(*a), b[0], shapes.edges(*b), 3.0) for b in kept) for a in own]
+        assert 0 < sum(near) < 150 and shapes.clear_of(own, kept, 3.0).tolist() == [not v for v in near]
