@@ -117,3 +117,16 @@ def test_clear_of():
         own, kept = [shape() for _ in range(150)], [shape() for _ in range(12)]
         near = [any(shapes.within(a[0], shapes.edges(*a), b[0], shapes.edges(*b), 3.0) for b in kept) for a in own]
         assert 0 < sum(near) < 150 and shapes.clear_of(own, kept, 3.0).tolist() == [not v for v in near]
+
+
+def test_validity_by_signs_as_in_sql():
+    # points in keys' progressions, nearly on one line, where rounding decides: segments whose boxes are apart, and the corner before the first point
+    apart = [(-65.76, 76.84), (116.08999999999997, -9.810000000000002), (6.97999999999999, 42.18000000000001), (-29.389999999999986, 59.50999999999999)]
+    corner = [(-8.050000000000011, 57.44999999999999), (-104.53, 25.769999999999996), (-152.77, 9.930000000000007), (40.19, 73.28999999999999)]
+    for points, valid in ((apart, False), (corner, True)):
+        side = lambda i, j, k, p=points: np.sign(shapes.turn(*p[i], *p[j], *p[k]))
+        cut = lambda a, b, c, d: side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+        assert (not cut(0, 1, 2, 3) and not cut(1, 2, 3, 0)) == valid
+        assert shapes.simple_polygon([np.array(points + points[:1])]) == valid
+    far = [(0, 0), (4, 0), (4, 4), (8, 4), (8, 0), (12, 0), (12, 9), (0, 9), (0, 0)]  # two sides on one line, apart
+    assert shapes.simple_polygon([np.array(far, float)])
