@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from tilework.functions import geom as g
 from tilework.functions import clip as clips
 from tilework.functions import shapes, utm
-from tilework.operators import encode, osm, store, tiling, utfgrid
+from tilework.operators import encode, osm, store, tables, tiling, utfgrid
+from tilework.plans import features
 from tilework.plans import fixtures as fx
 
 
@@ -130,3 +132,35 @@ def test_validity_by_signs_as_in_sql():
         assert shapes.simple_polygon([np.array(points + points[:1])]) == valid
     far = [(0, 0), (4, 0), (4, 4), (8, 4), (8, 0), (12, 0), (12, 9), (0, 9), (0, 0)]  # two sides on one line, apart
     assert shapes.simple_polygon([np.array(far, float)])
+
+
+def test_topology_in_lines(spark, sf):
+    # a tile's lines one after the other are its body; its features lie in many ranges
+    lines = tiling.assign_tiles(fx.lines(spark, sf).where("id % 4 = 0"), [1, 2]).withColumn("props", F.lit("{}"))
+    points = tiling.assign_tiles(fx.point_features(spark, sf), [2, 5], edges="half_open")
+    boxes = tiling.assign_tiles(fx.boxes(spark, sf).select("id", "geom"), [1], exact=False).withColumn("props", F.lit('{"a":1}')).withColumn("clipped", F.col("id") % 2 == 0)
+
+    def joined(layers):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "layer", "place", "line"))), lambda v: v["line"]), "")
+        return {tuple(r[:3]): r for r in encode.topojson_lines(layers).groupBy("z", "x", "y").agg(text.alias("body"), F.max("n_layers").alias("n_layers"), F.max("n").alias("n"), F.max("n_arcs").alias("n_arcs")).collect()}
+
+    for own in (lines, points, boxes):
+        want = {tuple(r[:3]): (r["n"], r["n_arcs"], r["body"]) for r in encode.topojson_tiles(own).collect()}
+        assert {k: (r["n"], r["n_arcs"], r["body"]) for k, r in joined({"vectile": own}).items()} == want
+    merged = None
+    for name, own in (("b", lines), ("a", points), ("c", boxes)):
+        t = encode.topojson_tiles(own).withColumn("layer", F.lit(name))
+        merged = t if merged is None else merged.unionByName(t)
+    want = {tuple(r[:3]): (r["n_layers"], r["n_arcs"], json.loads(r["body"])) for r in encode.merge_topojson(merged).collect()}
+    assert {k: (r["n_layers"], r["n_arcs"], json.loads(r["body"])) for k, r in joined({"b": lines, "a": points, "c": boxes}).items()} == want
+    rows = lines.select("z", "x", "y", "id", F.lit(1).alias("one"))
+    numbered = tables.sums_within(tables.written(rows, "rows"), ["z", "x", "y"], ["id"], {"place": "one"})
+    assert numbered.groupBy("z", "x", "y").agg(F.count_distinct("place").alias("n"), F.max("place").alias("m"), F.count("*").alias("c")).where("n != c OR m != c - 1").isEmpty()
+    assert numbered.select("z", "x", "y").distinct().count() == 20
+
+
+def test_topology_queries_hold_no_tile(spark, sf):
+    # the queries' rows are a body's lines: none grows with its tile's features
+    for name in ("topojson_tiles", "merge_topojson"):
+        longest, rows, most = features.QUERIES[name](spark, sf).agg(F.max(F.length("line")), F.count("*"), F.max("n_arcs")).first()
+        assert longest < 2000 and rows > most > 50
