@@ -164,3 +164,15 @@ def test_topology_queries_hold_no_tile(spark, sf):
     for name in ("topojson_tiles", "merge_topojson"):
         longest, rows, most = features.QUERIES[name](spark, sf).agg(F.max(F.length("line")), F.count("*"), F.max("n_arcs")).first()
         assert longest < 2000 and rows > most > 50
+
+
+def test_geojson_lengths_without_bodies(spark, sf):
+    lines = tiling.assign_tiles(fx.lines(spark, sf).where("id % 3 = 0"), [3]).withColumn("props", F.lit("{}"))
+    whole = encode.geojson_tiles(clips.clipped(lines, "geom", tiling.lonlat_envelope()), precision_by_zoom=True)
+    boxes = tiling.assign_tiles(fx.lines(spark, sf).where("id % 3 = 0"), [3], exact=False).withColumn("props", F.lit("{}"))
+    sums = encode.geojson_lengths(encode.geojson_lines(clips.clipped(boxes, "geom", tiling.lonlat_envelope()), precision_by_zoom=True))
+    assert sorted(map(tuple, sums.collect())) == sorted(tuple(r) for r in whole.select("z", "x", "y", "n", F.length("body")).collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    query = plan(features.QUERIES["geojson_line_tiles"](spark, sf))
+    # no body as one value, no test of segments before the clipping
+    assert query.count("collect_list") == plan(fx.lines(spark, sf)).count("collect_list") and "exists(" not in query and "exists(" in plan(lines)
