@@ -15,6 +15,7 @@ from tilework.functions import shapes, utm
 from tilework.operators import encode, osm, store, tables, tiling, utfgrid
 from tilework.plans import features
 from tilework.plans import fixtures as fx
+from tilework.streaming import streams
 
 
 def test_points_on_edges(spark):
@@ -176,3 +177,29 @@ def test_geojson_lengths_without_bodies(spark, sf):
     query = plan(features.QUERIES["geojson_line_tiles"](spark, sf))
     # no body as one value, no test of segments before the clipping
     assert query.count("collect_list") == plan(fx.lines(spark, sf)).count("collect_list") and "exists(" not in query and "exists(" in plan(lines)
+
+
+def test_status_feed_calls_for_state():
+    # one reading and one writing of state for the messages of several processes in a batch
+    calls, state = [], [None]
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return state[0]
+
+        def update(self, value):
+            calls.append("update")
+            state[0] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    feed = streams._Last(2)
+    feed.init(Handle())
+    first = list(feed.handleInputRows((0,), iter([(0, pid, us, f"m{us}") for pid in range(16) for us in (1, 3, 2)]), None))
+    assert [tuple(r) for r in first if r["pid"] == 5] == [(5, 1, 3, "m3"), (5, 2, 2, "m2")] and len(first) == 32
+    second = list(feed.handleInputRows((0,), iter([(0, 5, 3, "a"), (0, 5, None, "b"), (0, 7, 9, "c"), (0, None, 1, "d")]), None))
+    assert sorted(map(tuple, second), key=repr) == sorted([(5, 1, 3, "m3"), (5, 2, 3, "a"), (7, 1, 9, "c"), (7, 2, 3, "m3"), (None, 1, 1, "d")], key=repr)
+    assert calls == ["get", "update"] * 2 and len(state[0][0]) == 33

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,22 +24,39 @@ def recent_tiles(stream: DataFrame, ttl: str = "300 seconds", key: tuple[str, ..
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(list(key))
 
 
+#: Neighbouring process ids whose messages are one value of state: a call for state costs more than the messages of some processes.
+PIDS = 16
+
+
+def _newest(message: tuple) -> tuple:
+    """The order of messages (time, text): by time, then by text; one without a time or text is older."""
+    us, text = message
+    return us is not None, us or 0, text is not None, text or ""
+
+
 class _Last(StatefulProcessor):
-    """The newest n messages of each process as list state."""
+    """The newest n messages of each of up to PIDS processes as one value of state, read and written once a batch."""
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "ts timestamp, message string")
+        self.kept = handle.getValueState("kept", "pids array<bigint>, us array<bigint>, messages array<string>")
 
-    def handleInputRows(self, key, rows, timers):
-        items = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        for pdf in rows:
-            items += list(pdf[["ts", "message"]].itertuples(index=False, name=None))
-            items = sorted(items, key=lambda r: (pd.Timestamp(r[0]), r[1]), reverse=True)[: self.n]
-        self.kept.put([(pd.Timestamp(t).to_pydatetime(), m) for t, m in items])
-        yield pd.DataFrame({"pid": key[0], "rn": range(1, len(items) + 1), "ts": [pd.Timestamp(t) for t, _ in items], "message": [m for _, m in items]})
+    def handleInputRows(self, key, rows, timerValues):
+        of, fresh = {}, set()
+        for pid, us, message in zip(*(self.kept.get() or ((), (), ())), strict=True):
+            of.setdefault(pid, []).append((us, message))
+        for _, pid, us, message in rows:
+            of.setdefault(pid, []).append((us, message))
+            fresh.add(pid)
+        for pid in fresh:
+            of[pid] = sorted(of[pid], key=_newest, reverse=True)[: self.n]
+        flat = [(pid, *m) for pid, items in of.items() for m in items]
+        self.kept.update(tuple(map(list, zip(*flat, strict=True))))
+        for pid in fresh:
+            for i, (us, message) in enumerate(of[pid], 1):
+                yield Row(pid=pid, rn=i, us=us, message=message)
 
     def close(self) -> None:
         pass
@@ -47,10 +64,12 @@ class _Last(StatefulProcessor):
 
 def status_feed(stream: DataFrame, n: int = 21) -> DataFrame:
     """After each batch, the last n messages of each process in it: pid, rn, ts, message (the later row of a pid and rn
-    replaces the earlier). Needs the RocksDB state store."""
-    return stream.select("pid", "ts", "message").groupBy("pid").transformWithStateInPandas(
-        statefulProcessor=_Last(n), outputStructType="pid long, rn int, ts timestamp, message string", outputMode="Update", timeMode="None"
+    replaces the earlier). Needs the RocksDB state store. Times are whole microseconds in the state and in Python."""
+    rows = stream.select(F.floor(F.col("pid") / PIDS).alias("pids"), "pid", F.unix_micros("ts").alias("us"), "message")
+    last = rows.groupBy("pids").transformWithState(
+        statefulProcessor=_Last(n), outputStructType="pid long, rn int, us long, message string", outputMode="Update", timeMode="None"
     )
+    return last.select("pid", "rn", F.timestamp_micros("us").alias("ts"), "message")
 
 
 def idle_processes(stream: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
