@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import re
@@ -203,3 +204,17 @@ def test_status_feed_calls_for_state():
     second = list(feed.handleInputRows((0,), iter([(0, 5, 3, "a"), (0, 5, None, "b"), (0, 7, 9, "c"), (0, None, 1, "d")]), None))
     assert sorted(map(tuple, second), key=repr) == sorted([(5, 1, 3, "m3"), (5, 2, 3, "a"), (7, 1, 9, "c"), (7, 2, 3, "m3"), (None, 1, 1, "d")], key=repr)
     assert calls == ["get", "update"] * 2 and len(state[0][0]) == 33
+
+
+def test_compressed_osm_documents(spark, sf, tmp_path):
+    # the same whole document a tile, in a fraction of the bytes
+    o = fx.osm(spark, sf)
+    tiles = spark.createDataFrame([(1, x, y) for x in (0, 1) for y in (0, 1)], "z int, x int, y int")
+    nodes = osm.osm_nodes(o["nodes"], tiles, o["users"])
+    ways = osm.osm_ways(osm.nodes_in_tiles(o["nodes"], tiles), o["ways"], o["way_nodes"], o["users"])
+    for name, compression in (("plain", None), ("gzip", "gzip")):
+        osm.write_osm_xml(nodes, ways, str(tmp_path / name), compression=compression)
+    files = {name: {f.parts[-4:-1]: f for f in (tmp_path / name).glob("z=*/x=*/y=*/part-*")} for name in ("plain", "gzip")}
+    assert {k: f.read_bytes() for k, f in files["plain"].items()} == {k: gzip.decompress(f.read_bytes()) for k, f in files["gzip"].items()} and len(files["gzip"]) == 4
+    size = {name: sum(f.stat().st_size for f in fs.values()) for name, fs in files.items()}
+    assert size["gzip"] * 4 < size["plain"]

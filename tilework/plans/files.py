@@ -95,7 +95,7 @@ def _(spark, sf):
 def _(spark, sf):
     o, path = fx.osm(spark, sf), folder(spark, "osm")
     at = osm.nodes_in_tiles(o["nodes"], osm_tiles(spark))
-    osm.write_osm_xml(osm.osm_nodes(o["nodes"], osm_tiles(spark), o["users"]), osm.osm_ways(at, o["ways"], o["way_nodes"], o["users"]), path)
+    osm.write_osm_xml(osm.osm_nodes(o["nodes"], osm_tiles(spark), o["users"]), osm.osm_ways(at, o["ways"], o["way_nodes"], o["users"]), path, compression="gzip")
     lines = spark.read.text(path)
     is_node, is_way = F.col("value").startswith("<node "), F.col("value").startswith("<way ")
     frame = F.col("value").isin('<osm version="0.6">', "</osm>")
