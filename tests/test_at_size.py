@@ -16,6 +16,7 @@ from tilework.functions import shapes, utm
 from tilework.operators import encode, osm, store, tables, tiling, utfgrid
 from tilework.plans import features
 from tilework.plans import fixtures as fx
+from tilework.plans import stores
 from tilework.streaming import streams
 
 
@@ -50,6 +51,15 @@ def test_age_of_messages(spark):
     assert {r["pid"]: r["hidden"] for r in out.collect()} == {1: False, 2: True}
 
 
+def test_age_of_messages_to_the_microsecond(spark, tmp_path):
+    # in the query's SQL the fraction of a second counts: 600.5 seconds are more than 600
+    rows = [(0, "2024-01-01 00:10:01.4"), (1, "2024-01-01 00:00:00.9"), (2, "2024-01-01 00:00:01.399999"), (3, "2024-01-01 00:00:01.4"), (4, "2023-12-31 18:10:01.0"), (5, "2023-12-31 18:10:00.9")]
+    e = spark.createDataFrame([(i, ts, "view", i) for i, ts in rows], "user_id long, ts string, event_type string, event_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    out = stores.QUERIES["latest_per_process"](spark, str(tmp_path))
+    assert {r["pid"]: r["hidden"] for r in out.collect()} == {0: False, 1: True, 2: True, 3: False, 4: True}
+
+
 def test_place_of_many_rows(spark):
     # a sort of many small partitions, read with all columns and for the sizes with its own only
     conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "500k"}

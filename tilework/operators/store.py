@@ -194,13 +194,15 @@ def recent_messages(status: DataFrame, n: int = 21) -> DataFrame:
     return status.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= n)
 
 
-def latest_per_process(status: DataFrame, now: Column, hide_s: int = 600, drop_s: int = 21600) -> DataFrame:
-    """Pid, ts, message, hidden: the newest message of each process; hidden when 10 minutes and a second
-    have passed since (whole seconds passed), gone after 6 hours (by the clock's seconds)."""
+def latest_per_process(status: DataFrame, now: Column, hide_s: int = 600, drop_s: int = 21600, whole_seconds: bool = True) -> DataFrame:
+    """Pid, ts, message, hidden: the newest message of each process; hidden when more than 10 minutes have passed since (counted
+    in whole seconds, or with whole_seconds=False to the microsecond), gone after 6 hours (by the clock's seconds)."""
     best = status.groupBy("pid").agg(F.max(F.struct("ts", "message")).alias("b")).select("pid", "b.ts", "b.message")
     at, ts = now.cast("timestamp"), F.col("ts").cast("timestamp")
-    passed = F.floor((F.unix_micros(at) - F.unix_micros(ts)) / 1_000_000)  # seconds cut off on both sides would count one more
-    return best.where(F.unix_timestamp(at) - F.unix_timestamp(ts) <= drop_s).withColumn("hidden", passed > hide_s)
+    passed = F.unix_micros(at) - F.unix_micros(ts)
+    if whole_seconds:
+        passed = F.floor(passed / 1_000_000) * 1_000_000  # seconds cut off on both sides would count one more
+    return best.where(F.unix_timestamp(at) - F.unix_timestamp(ts) <= drop_s).withColumn("hidden", passed > hide_s * 1_000_000)
 
 
 def top_messages(status: DataFrame, n: int = 250) -> DataFrame:
