@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import json
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -112,6 +113,35 @@ def test_nested_extract_in_pieces(spark):
     assert got[0, 1]["nodes"] is None and got[0, 1]["ways"] is None
 
 
+def _shuffled(spark):
+    """Bytes that this session's shuffles have written."""
+    time.sleep(1)  # the last task's figures
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_nested_extract_ships_a_text_once_for_eight_tiles(spark, sf):
+    before = _shuffled(spark)
+    stores.QUERIES["osm_nested"](spark, sf).write.format("noop").mode("overwrite").save()
+    assert _shuffled(spark) - before < 800_000  # 1,549,000 when a line was shuffled for each of its tiles
+
+
+def test_sets_of_tiles(spark):
+    # blocks of 64 tiles, the last bit included; sums over sets and over their rows are the same
+    rows = spark.range(3000).select(F.lit(5).alias("z"), (F.col("id") % 17).cast("int").alias("x"), (F.col("id") % 23).cast("int").alias("y"), (F.col("id") % 40).alias("id"))
+    sets = osm.tile_sets(rows.union(rows))
+    assert sorted(map(tuple, osm.tiles_of(sets).select("z", "x", "y", "id").collect())) == sorted(set(map(tuple, rows.collect())))
+    assert sets.count() == sets.select(*osm.BLOCK, "id").distinct().count() and not sets.where("tiles < 0").isEmpty()
+    lines = sets.select("*", (F.col("id") % 3).cast("int").alias("kind"), F.concat(F.lit("N"), F.col("id")).alias("refs"))
+    sums = [sorted(map(tuple, osm.extract_sums(rows, df).select("z", "x", "y", "nodes", "ways", "relations").collect())) for df in (lines, osm.tiles_of(lines))]
+    assert sums[0] == sums[1] and len(sums[0]) == 391
+    own = {}
+    for z, x, y, i in sorted(set(map(tuple, rows.collect()))):
+        own.setdefault((z, x, y), ([], [], []))[i % 3].append(i)
+    md5 = lambda ids: hashlib.md5(";".join(f"{i}:N{i}" for i in ids).encode()).hexdigest() if ids else None
+    assert sums[0] == sorted((*k, ",".join(map(str, a)) or None, md5(b), md5(c)) for k, (a, b, c) in own.items())
+
+
 def test_thinning_with_few_winners(spark, sf, monkeypatch):
     # the rest of a hot tile is held against its first features' winners, not decided by rounds over cells
     lines = clips.clipped(tiling.assign_tiles(fx.lines(spark, sf), [1]), "geom", tiling.lonlat_envelope())
