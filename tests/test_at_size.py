@@ -142,6 +142,20 @@ def test_sets_of_tiles(spark):
     assert sums[0] == sorted((*k, ",".join(map(str, a)) or None, md5(b), md5(c)) for k, (a, b, c) in own.items())
 
 
+def test_relations_with_user_tags_and_members(spark, sf):
+    # the query returns what J06 finds of a relation, not only its id
+    found = stores.QUERIES["osm_relations"](spark, sf).select("id", "user", "tags", "members").distinct().collect()
+    assert len(found) == len({r["id"] for r in found}) > 150
+    parts = {r["p_partkey"]: r for r in fx.table(spark, sf, "part").collect()}
+    members = {}
+    for r in sorted(fx.table(spark, sf, "lineitem").collect(), key=lambda r: (r["l_orderkey"], r["l_linenumber"])):
+        k, i = r["l_partkey"], r["l_linenumber"] % 3
+        members.setdefault(k, []).append(f"{'NWR'[i]}{(r['l_suppkey'], r['l_orderkey'], k // 2 + 1)[i]}")
+    for r in found:
+        p = parts[r["id"]]
+        assert tuple(r)[1:] == ("NATION_1", f"brand={p['p_brand']},type={p['p_type']}", hashlib.md5(",".join(members[r["id"]]).encode()).hexdigest())
+
+
 def test_thinning_with_few_winners(spark, sf, monkeypatch):
     # the rest of a hot tile is held against its first features' winners, not decided by rounds over cells
     lines = clips.clipped(tiling.assign_tiles(fx.lines(spark, sf), [1]), "geom", tiling.lonlat_envelope())
