@@ -9,6 +9,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tilework.functions import geom as g
@@ -177,6 +178,37 @@ def test_clear_of():
         assert 0 < sum(near) < 150 and shapes.clear_of(own, kept, 3.0).tolist() == [not v for v in near]
 
 
+def test_hot_tiles_stay_where_they_are(spark, sf, monkeypatch):
+    # of a hot tile only the first features are shuffled as shapes; winners of many points are gone to by the rest in pieces, with the same result
+    a = tiling.assign_tiles(fx.lines(spark, sf), [0])
+    lines = tables.written(a.unionByName(a.withColumn("id", F.col("id") + 1000)).select(*tiling.KEY, "id", "geom"), "lines")
+    thin = lambda n: sorted(map(tuple, tiling.thin_by_spacing(lines, 40, geom="geom", task_rows=n).select("z", "x", "y", "id").collect()))
+    whole = thin(10**6)
+    before = _shuffled(spark)
+    assert thin(20) == whole
+    assert _shuffled(spark) - before < 60_000
+    monkeypatch.setattr(tiling, "WINNER_POINTS", 0)
+    assert thin(20) == whole
+
+
+def test_clear_rows():
+    rng = np.random.default_rng(6)
+    for kinds in (["LineString", "MultiLineString"], ["Point", "LineString", "Polygon"]):
+        def shape():
+            p = rng.uniform(0, 100, 2) + rng.uniform(-8, 8, (4, 2))
+            kind = kinds[rng.integers(len(kinds))]
+            n = {"Point": [1], "LineString": [4], "MultiLineString": [2, 2], "Polygon": [4]}[kind]
+            p = p[[0, 1, 2, 0]] if kind == "Polygon" else p[: sum(n)]
+            return kind, p[:, 0].tolist(), p[:, 1].tolist(), n
+
+        own, group = [shape() for _ in range(300)], rng.integers(0, 4, 300)
+        kept = {0: [shape() for _ in range(9)], 1: [shape()], 2: [shape() for _ in range(20)]}  # none for the last group
+        columns = [pa.array(c) for c in zip(*[("x", [], [], [])] * 2, *own, strict=True)]
+        got = shapes.clear_rows([c.slice(2) for c in columns], group, kept, 3.0)
+        want = [not any(shapes.within(s[0], shapes.edges(*s), k[0], shapes.edges(*k), 3.0) for k in kept.get(int(g), [])) for s, g in zip(own, group, strict=True)]
+        assert got.tolist() == want and 0 < sum(want) < 300
+
+
 def test_validity_by_signs_as_in_sql():
     # points in keys' progressions, nearly on one line, where rounding decides: segments whose boxes are apart, and the corner before the first point
     apart = [(-65.76, 76.84), (116.08999999999997, -9.810000000000002), (6.97999999999999, 42.18000000000001), (-29.389999999999986, 59.50999999999999)]
