@@ -127,6 +127,15 @@ def test_nested_extract_ships_a_text_once_for_eight_tiles(spark, sf):
     assert _shuffled(spark) - before < 800_000  # 1,549,000 when a line was shuffled for each of its tiles
 
 
+def test_packed_lines():
+    # one pack a column of eight tiles and run of ids; a line comes out for each of its tiles once
+    ids, tiles = np.arange(5000, 5006), np.array([1, 1 << 63, 3 << 8, 257, 1 << 9, 129], np.uint64).view(np.int64)
+    lines = ["", ";5001:é", ";5002:a", ";5003:b", ";5004:c", ";5005:"]
+    b = pa.RecordBatch.from_arrays([pa.array([v] * 6, pa.int32()) for v in (3, 0, 0, 1)] + [pa.array([0, 0, 0, 0, 1, 1]), pa.array(ids), pa.array(tiles), pa.array(lines)], ["z", "bx", "by", "kind", "chunk", "id", "tiles", "line"])
+    packs = [(r["column"], r["id"], *(v.tolist() if isinstance(v, np.ndarray) else v.to_pylist() for v in osm._unpacked(r["lines"]))) for out in osm._packed([b, b.slice(0, 0)]) for r in out.to_pylist()]
+    assert packs == [(0, 5000, [1, 1], ["", ";5003:b"]), (1, 5000, [3, 1], [";5002:a", ";5003:b"]), (7, 5000, [128], [";5001:é"]), (0, 5004, [129], [";5005:"]), (1, 5004, [2], [";5004:c"])]
+
+
 def test_sets_of_tiles(spark):
     # blocks of 64 tiles, the last bit included; sums over sets and over their rows are the same
     rows = spark.range(3000).select(F.lit(5).alias("z"), (F.col("id") % 17).cast("int").alias("x"), (F.col("id") % 23).cast("int").alias("y"), (F.col("id") % 40).alias("id"))
